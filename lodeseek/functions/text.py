@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # The characters Python's str.strip()/str.split() treat as space.
-SPACE_CLASS = (
-    r"\t\n\x0B\f\r\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
-    r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
-)
+SPACE = r"(?U)[\s\x1C-\x1F]"
 # Line breaks of an event stream.
 LINE_BREAK = r"\r\n|\r|\n"
 
@@ -19,22 +16,22 @@ def col_of(value) -> Column:
 
 def py_strip(value) -> Column:
     """``str.strip()``."""
-    return F.regexp_replace(col_of(value), f"^[{SPACE_CLASS}]+|[{SPACE_CLASS}]+$", "")
+    return F.regexp_replace(col_of(value), f"{SPACE}+$|^{SPACE}+", "")
 
 
 def collapse_space(value) -> Column:
     """``" ".join(s.split())``."""
-    return py_strip(F.regexp_replace(col_of(value), f"[{SPACE_CLASS}]+", " "))
+    return py_strip(F.regexp_replace(col_of(value), f"{SPACE}+", " "))
 
 
 def has_text(value) -> Column:
     """True when something other than white space is present."""
-    return F.regexp_like(col_of(value), F.lit(f"[^{SPACE_CLASS}]"))
+    return col_of(value).rlike(r"(?U)[^\s\x1C-\x1F]")
 
 
 def words(value) -> Column:
     """``str.split()``: white-space tokens, case kept, empties dropped."""
-    return F.filter(F.split(col_of(value), f"[{SPACE_CLASS}]+"), lambda w: w != "")
+    return F.array_remove(F.split(col_of(value), f"{SPACE}+"), "")
 
 
 def head(value, chars: int) -> Column:

@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
 from lodeseek.functions.text import words
-from lodeseek.operators.bounded import bounded
+from lodeseek.operators.bounded import bounded, staged_hint
 from lodeseek.operators.ordered import top_k
-from lodeseek.runtime import stage
+from lodeseek.runtime import spread, stage
 
 
 def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -23,9 +23,9 @@ def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     Each document contributes its distinct terms once, so the shuffle carries
     partial counts per term, never per-occurrence rows.
     """
-    tokens = docs.select(words(text).alias("tokens")).select(
+    tokens = spread(docs.select(text)).select(words(text).alias("tokens")).select(
         F.size("tokens").cast("bigint").alias("length"),
-        F.explode(
+        F.explode_outer(
             F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))
         ).alias("term"),
     )
@@ -82,17 +82,18 @@ def bm25_scores(
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
-    weights = bounded(
+    weights, hint = staged_hint(
         term_weights(counts, cfg)
         .join(bounded(query_terms, label="query-terms"), "term")
         .select("query_id", "term", (F.col("idf") * F.col("uses")).alias("weight")),
         label="weights",
     )
-    vocabulary = bounded(weights.select("term").distinct(), label="vocabulary")
+    vocabulary = hint(weights.select("term").distinct())
     average = corpus_totals(counts).select("avg_len").scalar()
     hits = (
-        docs.select(F.col(doc_id), words(text).alias("tokens"))
-        .select(doc_id, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
+        spread(docs.select(doc_id, text))
+        .select(doc_id, words(text).alias("tokens"))
+        .select(doc_id, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
         .join(vocabulary, "term", "left_semi")
         .repartition(doc_id)
         .groupBy(doc_id, "length", "term")
@@ -103,7 +104,7 @@ def bm25_scores(
     )
     return (
         hits.select(doc_id, "term", saturation.alias("gain"))
-        .join(weights, "term")
+        .join(hint(weights), "term")
         .groupBy("query_id", doc_id)
         .agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
     )

@@ -9,15 +9,20 @@ from lodeseek.runtime import stage
 BROADCAST_ROWS = 200_000
 
 
-def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, label: str = "side") -> DataFrame:
-    """A join side whose size is known.
+def staged_hint(df: DataFrame, max_rows: int = BROADCAST_ROWS, label: str = "side"):
+    """(staged frame, hint) where the hint broadcasts only a frame of counted size.
 
-    The frame is staged and counted. At most ``max_rows`` rows earn a broadcast
-    hint; anything larger stays unhinted, so Spark shuffles it and adaptive
-    execution splits hot keys.
+    Over ``max_rows`` rows the hint is the identity: Spark shuffles that side and
+    adaptive execution splits hot keys. Subsets of the frame may reuse the hint.
     """
     staged = stage(df, label)
-    return F.broadcast(staged) if staged.count() <= max_rows else staged
+    return staged, F.broadcast if staged.count() <= max_rows else lambda side: side
+
+
+def bounded(df: DataFrame, max_rows: int = BROADCAST_ROWS, label: str = "side") -> DataFrame:
+    """``df`` staged, counted, and broadcast only when small; see :func:`staged_hint`."""
+    staged, hint = staged_hint(df, max_rows, label)
+    return hint(staged)
 
 
 def local_rows(df: DataFrame, max_rows: int) -> list | None:

@@ -52,6 +52,24 @@ def stage(df: DataFrame, label: str = "stage") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SPREAD_BYTES_PER_CORE = 16 << 20
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """The optimizer's size estimate; reads file sizes, runs no job."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Put a small input on every core before a CPU-heavy step.
+
+    Inputs over ``SPREAD_BYTES_PER_CORE`` per core already have splits enough and
+    are left alone, so a large table is never shuffled for this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if plan_bytes(df) < cores * SPREAD_BYTES_PER_CORE else df
+
+
 def _filesystem(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()), jvm_path

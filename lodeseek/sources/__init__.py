@@ -1 +1 @@
-
+"""Readers and writers around the DataFrame operators."""
