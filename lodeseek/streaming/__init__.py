@@ -1 +1 @@
-
+"""Result event streams: emit, parse, dispatch and fold."""
