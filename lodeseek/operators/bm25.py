@@ -8,12 +8,14 @@ term are not candidates.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+from pyspark.sql import Column, DataFrame, Row, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
 from lodeseek.functions.text import words
-from lodeseek.operators.bounded import bounded, staged_hint
+from lodeseek.operators.bounded import bounded, local_rows, staged_hint
 from lodeseek.operators.ordered import top_k
+from lodeseek.operators.scan_topk import result_schema, scan_topk
 from lodeseek.runtime import spread, stage
 
 
@@ -52,67 +54,104 @@ def corpus_totals(counts: DataFrame) -> DataFrame:
     )
 
 
-def term_weights(counts: DataFrame, cfg: Tunables = DEFAULTS) -> DataFrame:
-    """(term, df, idf) with the negative-weight floor applied."""
-    totals = corpus_totals(counts)
-    raw = _raw_idf(totals.select("n_docs").scalar(), F.col("df"))
-    floor = cfg.bm25_floor * totals.select("mean_idf").scalar()
+def term_weights(counts: DataFrame, totals: Row, cfg: Tunables = DEFAULTS) -> DataFrame:
+    """(term, df, idf) with the negative-weight floor applied; ``totals`` is the row of :func:`corpus_totals`."""
+    raw = _raw_idf(F.lit(totals["n_docs"]), F.col("df"))
+    floor = F.lit(cfg.bm25_floor * (totals["mean_idf"] or 0.0))
     return counts.where(F.col("term").isNotNull()).select(
         "term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf")
     )
 
 
-def bm25_scores(
-    docs: DataFrame,
-    queries: DataFrame,
-    counts: DataFrame | None = None,
-    *,
-    doc_id: str = "doc_id",
-    text: str = "text",
-    cfg: Tunables = DEFAULTS,
-) -> DataFrame:
-    """(query_id, doc_id, score) for every document sharing a term with a query.
-
-    Only occurrences of query terms leave the scan. They are hashed once on the
-    document, which serves both the term-frequency count and the per-query sum.
-    """
-    counts = stage(term_counts(docs, text), "terms") if counts is None else counts
+def query_weights(queries: DataFrame, counts: DataFrame, totals: Row, cfg: Tunables = DEFAULTS) -> DataFrame:
+    """(query_id, term, weight): idf times the uses of each known query term."""
     query_terms = (
-        queries.select("query_id", F.explode(words("query")).alias("term"))
+        queries.select("query_id", F.explode_outer(words("query")).alias("term"))
+        .where(F.col("term").isNotNull())
         .groupBy("query_id", "term")
         .agg(F.count(F.lit(1)).alias("uses"))
     )
-    weights, hint = staged_hint(
-        term_weights(counts, cfg)
-        .join(bounded(query_terms, label="query-terms"), "term")
-        .select("query_id", "term", (F.col("idf") * F.col("uses")).alias("weight")),
-        label="weights",
-    )
-    vocabulary = hint(weights.select("term").distinct())
-    average = corpus_totals(counts).select("avg_len").scalar()
+    return term_weights(counts, totals, cfg).join(bounded(query_terms, label="query-terms"), "term").select(
+        "query_id", "term", (F.col("idf") * F.col("uses")).alias("weight"))
+
+
+def bm25_scores(docs: DataFrame, weights: DataFrame, average: float, hint=lambda side: side, *,
+                doc_id: str = "doc_id", text: str = "text", cfg: Tunables = DEFAULTS) -> DataFrame:
+    """(query_id, doc_id, score) for every document sharing a term with a query.
+
+    The plan for query batches of any size. Only occurrences of query terms leave the
+    scan. They are hashed once on the document, which serves both the term-frequency
+    count and the per-query sum.
+    """
     hits = (
         spread(docs.select(doc_id, text))
         .select(doc_id, words(text).alias("tokens"))
         .select(doc_id, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
-        .join(vocabulary, "term", "left_semi")
+        .join(hint(weights.select("term").distinct()), "term", "left_semi")
         .repartition(doc_id)
         .groupBy(doc_id, "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
-    saturation = F.col("tf") * (cfg.bm25_k1 + 1) / (
-        F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average)
-    )
+    gain = F.col("tf") * (cfg.bm25_k1 + 1) / (
+        F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average))
     return (
-        hits.select(doc_id, "term", saturation.alias("gain"))
+        hits.select(doc_id, "term", gain.alias("gain"))
         .join(hint(weights), "term")
         .groupBy("query_id", doc_id)
         .agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
     )
 
 
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, *, doc_id: str = "doc_id", **options) -> DataFrame:
-    """(query_id, doc_id, score, rank): best ``k`` per query, 1-based, ties by id."""
-    cfg = options.get("cfg", DEFAULTS)
-    scores = bm25_scores(docs, queries, doc_id=doc_id, **options)
-    order = [F.round("score", 9).desc(), F.col(doc_id)]
-    return top_k(scores, ["query_id"], order, k or cfg.bm25_k)
+def _scored_in_scan(docs, rows, schema, average: float, k, doc_id, text, cfg) -> DataFrame:
+    """Score whole documents where they are read: weights travel as one small matrix."""
+    terms = {t: n for n, t in enumerate(sorted({r["term"] for r in rows}))}
+    query_ids = sorted({r["query_id"] for r in rows})
+    at = {q: n for n, q in enumerate(query_ids)}
+    # Left half: weights. Right half: one where the query has the term, to tell no match from score 0.
+    table = np.zeros((len(terms), 2 * len(query_ids)))
+    for r in rows:
+        table[terms[r["term"]], at[r["query_id"]]] = r["weight"]
+        table[terms[r["term"]], len(query_ids) + at[r["query_id"]]] = 1.0
+    k1, b = cfg.bm25_k1, cfg.bm25_b
+
+    def score(column) -> np.ndarray:
+        out = np.full((len(column), len(query_ids)), -np.inf)
+        for row, body in enumerate(column.to_pylist()):
+            tokens = (body or "").split()
+            found = [terms[t] for t in tokens if t in terms]
+            if found:
+                index, tf = np.unique(found, return_counts=True)
+                both = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / average))) @ table[index]
+                matched = both[len(query_ids):] > 0
+                out[row, matched] = both[:len(query_ids)][matched]
+        return out.T
+
+    return scan_topk(spread(docs.select(doc_id, text)), schema, query_ids, score, k)
+
+
+# Largest weight list and matrix that may travel with the tasks.
+DENSE_ROWS = 200_000
+DENSE_CELLS = 8_000_000
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, counts: DataFrame | None = None, *,
+              doc_id: str = "doc_id", text: str = "text", cfg: Tunables = DEFAULTS) -> DataFrame:
+    """(query_id, doc_id, score, rank): best ``k`` per query, 1-based, ties by id.
+
+    A batch whose weights fit a small matrix is scored inside the scan, and each task
+    shuffles only its own best ``k`` per query. A larger batch takes the join plan of
+    :func:`bm25_scores`. Both are exact. ``counts`` passes staged :func:`term_counts`.
+    """
+    k = k or cfg.bm25_k
+    counts = stage(term_counts(docs, text), "terms") if counts is None else counts
+    totals = corpus_totals(counts).first()
+    weights = query_weights(queries, counts, totals, cfg)
+    rows = local_rows(weights, DENSE_ROWS)
+    schema = result_schema(docs, doc_id, weights)
+    if not rows and rows is not None:
+        return top_k(docs.sparkSession.createDataFrame([], schema), ["query_id"], [F.col(doc_id)], k)
+    if rows and len({r["term"] for r in rows}) * len({r["query_id"] for r in rows}) <= DENSE_CELLS:
+        return _scored_in_scan(docs, rows, schema, totals["avg_len"], k, doc_id, text, cfg)
+    weights, hint = staged_hint(weights, label="weights")
+    scores = bm25_scores(docs, weights, totals["avg_len"], hint, doc_id=doc_id, text=text, cfg=cfg)
+    return top_k(scores, ["query_id"], [F.round("score", 9).desc(), F.col(doc_id)], k)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
 from lodeseek.operators.bm25 import bm25_topk
-from lodeseek.operators.bounded import bounded
+from lodeseek.operators.bounded import staged_hint
 from lodeseek.operators.ordered import top_k
 from lodeseek.operators.vector import mmr_topk
 from lodeseek.runtime import stage
@@ -48,16 +48,12 @@ def rank_fusion(
     return ranked.select("query_id", doc_id, text, "score", (F.col("rank") - 1).alias("rank"))
 
 
-def with_columns_of(ranked: DataFrame, corpus: DataFrame, doc_id: str, columns: Sequence[str]) -> DataFrame:
-    """Attach corpus columns to a short ranked list with one pruned scan."""
-    return corpus.select(doc_id, *columns).join(bounded(ranked, label="ranked"), doc_id)
-
-
 def hybrid_retrieve(
     corpus: DataFrame,
     queries: DataFrame,
     top_k_hits: int | None = None,
     *,
+    vectors: DataFrame | None = None,
     doc_id: str = "doc_id",
     text: str = "text",
     embedding: str = "embedding",
@@ -66,21 +62,22 @@ def hybrid_retrieve(
 ) -> DataFrame:
     """(query_id, doc_id, text, *carry, score, rank): keyword and vector lists, fused.
 
-    ``queries`` has query_id, query and embedding. The pool is at most
+    ``queries`` has query_id, query and embedding. ``vectors`` (doc_id, embedding) may
+    come from another table than the texts; without it the corpus holds them. The pool is at most
     ``bm25_k + vector_k`` documents whatever ``top_k_hits`` says. An empty corpus
     is an error.
     """
     if corpus.isEmpty():
         raise ValueError("the corpus is empty: build the index first")
     words_list = bm25_topk(corpus, queries, cfg.bm25_k, doc_id=doc_id, text=text, cfg=cfg)
-    vector_list = mmr_topk(corpus, queries, vec_id=doc_id, embedding=embedding, cfg=cfg)
-    both = bounded(
+    vector_list = mmr_topk(corpus if vectors is None else vectors, queries, vec_id=doc_id, embedding=embedding, cfg=cfg)
+    both, hint = staged_hint(
         words_list.select("query_id", doc_id, "rank", F.lit(0).alias("list")).unionByName(
             vector_list.select("query_id", doc_id, "rank", F.lit(1).alias("list"))
         ),
         label="candidates",
     )
-    candidates = stage(corpus.select(doc_id, text).join(both, doc_id), "candidate-texts")
+    candidates = stage(corpus.select(doc_id, *dict.fromkeys([text, *carry])).join(hint(both), doc_id), "candidate-texts")
     fused = rank_fusion(
         [(candidates.where(F.col("list") == 0), cfg.bm25_weight),
          (candidates.where(F.col("list") == 1), cfg.vector_weight)],
@@ -88,6 +85,5 @@ def hybrid_retrieve(
     )
     if not carry:
         return fused
-    return with_columns_of(fused, corpus, doc_id, carry).select(
-        "query_id", doc_id, text, *carry, "score", "rank"
-    )
+    shown = candidates.select(doc_id, *carry).dropDuplicates([doc_id])
+    return fused.join(hint(shown), doc_id).select("query_id", doc_id, text, *carry, "score", "rank")

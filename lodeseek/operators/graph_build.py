@@ -129,13 +129,15 @@ def normalize(graph_docs: DataFrame) -> DataFrame:
 
 def node_rows(normalized: DataFrame, *keep: str) -> DataFrame:
     """(chunk_id, *keep, entity_id, type, name, properties), one row per chunk and entity."""
-    return normalized.select("chunk_id", *keep, F.explode("nodes").alias("n")).select("chunk_id", *keep, "n.*")
+    # The outer form keeps the optimizer from evaluating the array once more as a filter.
+    rows = normalized.select("chunk_id", *keep, F.explode_outer("nodes").alias("n"))
+    return rows.where(F.col("n").isNotNull()).select("chunk_id", *keep, "n.*")
 
 
 def relation_rows(normalized: DataFrame, *keep: str) -> DataFrame:
     """(chunk_id, *keep, pos, src, type, dst, rel_id, properties), repeats kept."""
-    return normalized.select("chunk_id", *keep, F.posexplode("rels").alias("pos", "r")).select(
-        "chunk_id", *keep, "pos", "r.*")
+    rows = normalized.select("chunk_id", *keep, F.posexplode_outer("rels").alias("pos", "r"))
+    return rows.where(F.col("r").isNotNull()).select("chunk_id", *keep, "pos", "r.*")
 
 
 def extraction_totals(normalized: DataFrame) -> DataFrame:

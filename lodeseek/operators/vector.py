@@ -2,66 +2,22 @@
 
 from __future__ import annotations
 
-from typing import Iterator
-
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodeseek.config import DEFAULTS, Tunables
-from lodeseek.operators.bounded import local_rows
+from lodeseek.operators.bounded import bounded, local_rows
 from lodeseek.operators.ordered import top_k
+from lodeseek.operators.scan_topk import TIE_DECIMALS, best_of, id_array, result_schema, scan_topk
 from lodeseek.runtime import stage
 
-# Similarities equal to this many decimals are ties, settled by id.
-TIE_DECIMALS = 9
-
 
 def _unit(matrix: np.ndarray) -> np.ndarray:
     length = np.linalg.norm(matrix, axis=1, keepdims=True)
     return np.divide(matrix, length, out=np.zeros_like(matrix), where=length > 0)
 
 
-def _best(similarity: np.ndarray, ids: np.ndarray, k: int):
-    """Per query row: up to ``k`` (id, similarity), best first, ties by id."""
-    similarity = np.round(similarity, TIE_DECIMALS + 3)
-    shown = np.round(similarity, TIE_DECIMALS)
-    for row in range(similarity.shape[0]):
-        values = shown[row]
-        if len(values) > k:
-            edge = np.partition(values, len(values) - k)[len(values) - k]
-            keep = np.flatnonzero(values >= edge)
-        else:
-            keep = np.arange(len(values))
-        keep = keep[np.lexsort((ids[keep], -values[keep]))][:k]
-        yield row, ids[keep], similarity[row][keep]
-
-
-def _rows(query_ids, matrix, unit_queries, ids, k):
-    """Best rows of one block as plain columns."""
-    out_q, out_id, out_s = [], [], []
-    for row, kept, scores in _best(unit_queries @ _unit(matrix).T, ids, k):
-        out_q.extend([query_ids[row]] * len(kept))
-        out_id.append(kept)
-        out_s.append(scores)
-    return out_q, np.concatenate(out_id) if out_id else ids[:0], np.concatenate(out_s) if out_s else np.zeros(0)
-
-
-def _id_array(column) -> np.ndarray:
-    values = column.to_numpy(zero_copy_only=False) if hasattr(column, "to_numpy") and isinstance(
-        column, (pa.Array, pa.ChunkedArray)) else np.asarray(column)
-    return values.astype(str) if values.dtype == object else values
-
-
-def _result_schema(vectors: DataFrame, vec_id: str, queries: DataFrame) -> T.StructType:
-    return T.StructType([
-        T.StructField("query_id", queries.schema["query_id"].dataType),
-        T.StructField(vec_id, vectors.schema[vec_id].dataType),
-        T.StructField("score", T.DoubleType()),
-    ])
-
-
 def vector_topk(
     vectors: DataFrame,
     queries: DataFrame,
@@ -81,35 +37,20 @@ def vector_topk(
     """
     vectors = vectors.where(F.col(embedding).isNotNull()).select(vec_id, embedding)
     queries = queries.select("query_id", F.col(query_embedding).alias("_q"))
-    schema = _result_schema(vectors, vec_id, queries)
+    schema = result_schema(vectors, vec_id, queries)
     rows = local_rows(queries, cfg.query_block_rows)
     if rows is None:
-        partial = _blocked(vectors, queries, k, vec_id, embedding, schema, cfg)
-    elif not rows:
-        partial = vectors.sparkSession.createDataFrame([], schema)
-    else:
-        query_ids = [r["query_id"] for r in rows]
-        unit_queries = _unit(np.array([r["_q"] for r in rows], dtype="float64"))
-        arrow_schema = pa.schema([
-            ("query_id", pa.array(query_ids).type),
-            (vec_id, pa.int64() if isinstance(schema[1].dataType, T.LongType) else pa.string()),
-            ("score", pa.float64()),
-        ])
-
-        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                column = batch.column(1)
-                flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-                q, i, s = _rows(query_ids, flat.reshape(batch.num_rows, -1), unit_queries,
-                                _id_array(batch.column(0)), k)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, type=f.type) for c, f in zip((q, i, s), arrow_schema)], schema=arrow_schema)
-
-        partial = vectors.mapInArrow(scan, schema)
-    order = [F.round("score", TIE_DECIMALS).desc(), F.col(vec_id)]
-    return top_k(partial, ["query_id"], order, k)
+        return _blocked(vectors, queries, k, vec_id, embedding, schema, cfg)
+    if not rows:
+        empty = vectors.sparkSession.createDataFrame([], schema)
+        return top_k(empty, ["query_id"], [F.col(vec_id)], k)
+    unit_queries = _unit(np.array([r["_q"] for r in rows], dtype="float64"))
+
+    def similarity(column) -> np.ndarray:
+        flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
+        return unit_queries @ _unit(flat.reshape(len(column), -1)).T
+
+    return scan_topk(vectors, schema, [r["query_id"] for r in rows], similarity, k)
 
 
 def _blocked(vectors, queries, k, vec_id, embedding, schema, cfg) -> DataFrame:
@@ -126,14 +67,14 @@ def _blocked(vectors, queries, k, vec_id, embedding, schema, cfg) -> DataFrame:
         names = [f.name for f in schema]
         if left.empty or right.empty:
             return pd.DataFrame(columns=names)
-        unit = _unit(np.array(right["_q"].tolist(), dtype="float64"))
-        q, i, s = _rows(right["query_id"].tolist(), np.array(left[embedding].tolist(), dtype="float64"),
-                        unit, _id_array(left[vec_id]), k)
-        return pd.DataFrame(dict(zip(names, (q, i, s))))
+        matrix, asked = (_unit(np.array(c.tolist(), dtype="float64")) for c in (left[embedding], right["_q"]))
+        q, ids, scores = best_of(asked @ matrix.T, id_array(left[vec_id]), k)
+        return pd.DataFrame(dict(zip(names, (right["query_id"].to_numpy()[q], ids, scores))))
 
     left = spread(vectors, vec_id, "_v", v_blocks, "_b", q_blocks).groupBy("_v", "_b")
     right = spread(queries, "query_id", "_b", q_blocks, "_v", v_blocks).groupBy("_v", "_b")
-    return left.cogroup(right).applyInPandas(match, schema)
+    found = left.cogroup(right).applyInPandas(match, schema)
+    return top_k(found, ["query_id"], [F.round("score", TIE_DECIMALS).desc(), F.col(vec_id)], k)
 
 
 def mmr_select(
@@ -183,8 +124,6 @@ def mmr_topk(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id",
              embedding: str = "embedding", query_embedding: str = "embedding",
              cfg: Tunables = DEFAULTS) -> DataFrame:
     """Vector retrieval with diversity: ``fetch_k`` nearest, then ``vector_k`` picks."""
-    from lodeseek.operators.bounded import bounded
-
     near = vector_topk(vectors, queries, cfg.fetch_k, vec_id=vec_id, embedding=embedding,
                        query_embedding=query_embedding, cfg=cfg)
     pool = vectors.select(vec_id, embedding).join(bounded(near, label="pool"), vec_id)

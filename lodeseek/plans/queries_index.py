@@ -13,7 +13,7 @@ from lodeseek.operators.manifest import (
     chunks_by_dir, count_by, diff_files, file_counts, removed_files, stale_chunk_ids, upsert,
 )
 from lodeseek.plans.registry import query, table
-from lodeseek.runtime import stage
+from lodeseek.runtime import spread, stage
 
 # Slug rule for the checking SQL; @ stands for the text.
 SLUG = ("coalesce(nullif(regexp_replace(regexp_replace(lower(@), '[^\\p{L}\\p{N}_]+', '_', 'g'), "
@@ -172,8 +172,9 @@ def document_lines(spark, d):
     from lodeseek.functions.text import has_text
 
     lines = F.filter(F.split("text", "\n"), has_text)
-    docs = table(spark, d, "documents").select("doc_id", "source", "lang", lines.alias("lines"))
-    return docs.select("doc_id", "source", "lang", F.posexplode("lines").alias("piece", "line"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "source", "lang", "text"))
+    rows = docs.select("doc_id", "source", "lang", F.posexplode_outer(lines).alias("piece", "line"))
+    return rows.where(F.col("line").isNotNull())
 
 
 @query("chunks_by_dir", f"""

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeseek.functions.text import words
 from lodeseek.functions.vectors import cosine, embed_text, graph_score
 from lodeseek.operators.bm25 import bm25_topk, corpus_totals, term_counts
+from lodeseek.operators.bounded import bounded
 from lodeseek.operators.fusion import hybrid_retrieve, rank_fusion
 from lodeseek.operators.ordered import top_k
 from lodeseek.operators.vector import mmr_topk, vector_topk
 from lodeseek.plans.registry import query, table
-from lodeseek.runtime import stage
+from lodeseek.runtime import spread, stage
 
 # White space as Python splits it, for the checking SQL.
 SPACE = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -178,10 +178,10 @@ def mmr_select_query(spark, d):
     return mmr_topk(table(spark, d, "embeddings"), label_vectors(spark, d)).select("query_id", "vec_id", "rank")
 
 
-def paired(spark, d):
-    """Documents with the vector of the same number, where there is one."""
+def paired_vectors(spark, d):
+    """Vectors of the documents with the same number."""
     vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return table(spark, d, "documents").select("doc_id", "text", "lang", "source").join(vectors, "doc_id", "left")
+    return vectors.join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
 
 
 def paired_questions(spark, d):
@@ -222,12 +222,12 @@ WITH {PAIRED_SQL}, vector_list AS (SELECT * FROM nearest WHERE rank <= 5), {FUSE
 SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ranked
 """)
 def rrf_fusion(spark, d):
-    docs, asked = paired(spark, d), stage(paired_questions(spark, d), "questions")
+    docs, asked = table(spark, d, "documents"), stage(paired_questions(spark, d), "questions")
     keyword = bm25_topk(docs, asked)
-    near = vector_topk(docs, asked, 5, vec_id="doc_id").select("query_id", "doc_id", "rank")
+    near = vector_topk(paired_vectors(spark, d), asked, 5, vec_id="doc_id").select("query_id", "doc_id", "rank")
     both = keyword.select("query_id", "doc_id", "rank", F.lit(0).alias("list")).unionByName(
         near.withColumn("list", F.lit(1)))
-    with_text = docs.select("doc_id", "text").join(F.broadcast(stage(both, "lists")), "doc_id")
+    with_text = docs.select("doc_id", "text").join(bounded(both, label="lists"), "doc_id")
     parts = stage(with_text, "lists-text")
     fused = rank_fusion([(parts.where("list = 0"), 0.4), (parts.where("list = 1"), 0.6)])
     return fused.select("query_id", "doc_id", six("score", "score"), "rank")
@@ -243,8 +243,8 @@ SELECT query_id, doc_id, lang, source, round(score, 6) AS score, rank::INT AS ra
 FROM ranked JOIN documents USING (doc_id) WHERE rank < 5
 """)
 def hybrid_retrieve_query(spark, d):
-    hits = hybrid_retrieve(paired(spark, d), stage(paired_questions(spark, d), "questions"),
-                           carry=("lang", "source"))
+    hits = hybrid_retrieve(table(spark, d, "documents"), stage(paired_questions(spark, d), "questions"),
+                           vectors=paired_vectors(spark, d), carry=("lang", "source"))
     return hits.select("query_id", "doc_id", "lang", "source", six("score", "score"), "rank")
 
 
@@ -259,6 +259,6 @@ SELECT doc_id, slot::INT AS slot, round(v / sqrt(sum(v * v) OVER (PARTITION BY d
 FROM slots QUALIFY v <> 0
 """)
 def text_embedding(spark, d):
-    docs = table(spark, d, "documents").where(F.size(words("text")) > 0)
-    vectors = docs.select("doc_id", F.posexplode(embed_text("text")).alias("slot", "v"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    vectors = docs.select("doc_id", F.posexplode_outer(embed_text("text")).alias("slot", "v"))
     return vectors.where(F.col("v") != 0).select("doc_id", "slot", six("v", "value"))

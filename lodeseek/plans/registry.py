@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import os
+from functools import wraps
 from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeseek.runtime import ship_package
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -15,7 +18,11 @@ def query(name: str, sql: str | None = None):
     """Register a query; without ``sql`` it is checked by its own tests only."""
 
     def add(fn):
-        QUERIES[name] = fn
+        @wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return fn(ship_package(spark), sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql
         return fn

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PACKAGE = "lodeseek"
+
 
 def build_session(app: str = "lodeseek", master: str | None = None, **conf) -> SparkSession:
     """A session with the settings every operator here expects."""
@@ -26,7 +29,17 @@ def build_session(app: str = "lodeseek", master: str | None = None, **conf) -> S
     settings.update(conf)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
+
+
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package to the Python workers once per application."""
+    context = spark.sparkContext
+    if not any(str(path).endswith(f"{PACKAGE}.zip") for path in context._python_includes):
+        source = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+        target = os.path.join(tempfile.mkdtemp(prefix=f"{PACKAGE}-"), PACKAGE)
+        context.addPyFile(shutil.make_archive(target, "zip", source, PACKAGE))
+    return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
