@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
 from lodeseek.operators.graph_build import PropertyGraph
@@ -13,8 +13,8 @@ from lodeseek.runtime import stage
 
 # Smallest modularity gain that starts another level.
 MIN_GAIN = 1e-6
-# A level ends after two rounds in which at most this share of nodes moved.
-SETTLED = 0.001
+# A level ends after a round in which at most this share of nodes moved.
+SETTLED = 0.01
 
 
 def undirected_edges(rels: DataFrame, a: str = "src", b: str = "dst") -> DataFrame:
@@ -39,34 +39,37 @@ def _modularity(arcs: DataFrame, member: DataFrame, two_m: float) -> float:
     return inside / two_m - total / (two_m * two_m)
 
 
-def _moves(arcs: DataFrame, member: DataFrame, two_m: float, awake: Column) -> DataFrame:
-    """(node, comm, k) after each awake node joined its best neighbouring community."""
-    totals = member.groupBy("comm").agg(F.sum("k").alias("total"))
-    neighbours = (
-        arcs.where(F.col("u") != F.col("v"))
-        .join(member.select(F.col("node").alias("v"), "comm"), "v")
-        .groupBy(F.col("u").alias("node"), "comm").agg(F.sum("w").alias("links"))
-    )
-    own = member.select("node", F.col("comm").alias("own"), "k")
-    options = neighbours.join(own, "node").join(totals, "comm")
-    others = F.col("total") - F.when(F.col("comm") == F.col("own"), F.col("k")).otherwise(0.0)
+def _with_totals(member: DataFrame) -> DataFrame:
+    """Attach each community's summed degree to its members."""
+    return member.join(member.groupBy("comm").agg(F.sum("k").alias("total")), "comm")
+
+
+def _moves(arcs: DataFrame, member: DataFrame, two_m: float, seed: int) -> DataFrame:
+    """One round: each awake node joins its best neighbouring community.
+
+    ``member`` has node, comm, k, total and round; the round is data, so every round
+    runs the same compiled plan.
+    """
+    links = arcs.where(F.col("u") != F.col("v")).join(
+        member.select(F.col("node").alias("v"), "comm", "total"), "v").select(F.col("u").alias("node"), "comm", "total", "w")
+    stay = member.select("node", "comm", "total", F.lit(0.0).alias("w"))
+    options = links.unionByName(stay).groupBy("node", "comm").agg(F.sum("w").alias("links"), F.max("total").alias("total"))
+    own = member.select("node", F.col("comm").alias("own"), "k", "round")
+    mine = F.col("comm") == F.col("own")
+    others = F.col("total") - F.when(mine, F.col("k")).otherwise(0.0)
     gain = F.round(F.col("links") - others * F.col("k") / two_m, 9)
-    # Best gain, then the smaller id; staying wins a tie.
-    choice = F.struct(gain.alias("gain"), (F.col("comm") == F.col("own")).alias("stay"),
-                      (-F.col("comm")).alias("low"))
-    best = options.groupBy("node").agg(
-        F.max(choice).alias("best"),
-        F.max(F.when(F.col("comm") == F.col("own"), gain)).alias("here"))
-    joined = own.join(totals.select(F.col("comm").alias("own"), "total"), "own").join(best, "node", "left")
-    # A node with no link into its own community gains -(rest of it) x k / 2m by staying.
-    stay = F.coalesce("here", -(F.col("total") - F.col("k")) * F.col("k") / two_m)
-    move = awake & F.col("best").isNotNull() & (F.col("best.gain") > stay + 1e-9)
-    return joined.select(
-        "node", F.when(move, -F.col("best.low")).otherwise(F.col("own")).alias("comm"), "k", move.alias("moved"))
+    # Best gain; staying wins a tie, then the smaller id.
+    choice = F.struct(gain.alias("gain"), mine.alias("stay"), (-F.col("comm")).alias("low"))
+    best = options.join(own, "node").groupBy("node").agg(
+        F.max(choice).alias("best"), F.first("own").alias("own"), F.first("k").alias("k"), F.first("round").alias("round"))
+    awake = F.pmod(F.xxhash64("node", F.lit(seed), "round"), F.lit(2)) == 0
+    target = F.when(awake, -F.col("best.low")).otherwise(F.col("own"))
+    return best.select("node", target.alias("comm"), "k", (F.col("round") + 1).alias("round"),
+                       (target != F.col("own")).alias("moved"))
 
 
 def detect_communities(edges: DataFrame, seed: int = DEFAULTS.community_seed,
-                       max_rounds: int = 12, max_levels: int = 8) -> DataFrame:
+                       max_rounds: int = 12, max_levels: int = 10) -> DataFrame:
     """(entity_id, comm_id) maximising modularity: local moves, then merge, level by level.
 
     Every round is a fixed set of joins and sums over the arcs. Only half of the
@@ -83,25 +86,26 @@ def detect_communities(edges: DataFrame, seed: int = DEFAULTS.community_seed,
     two_m = arcs.agg(F.sum("w")).first()[0]
     if not two_m:
         return edges.sparkSession.createDataFrame([], "entity_id string, comm_id string")
-    assigned = numbered.select(F.col("node").alias("base"), "node")
+    assigned, value = numbered.select(F.col("node").alias("base"), "node"), None
 
     for level in range(max_levels):
-        member = stage(arcs.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k")).select(
-            "node", F.col("node").alias("comm"), "k"), "member")
-        before, nodes, quiet = _modularity(arcs, member, two_m), member.count(), 0
-        for round_no in range(max_rounds):
-            awake = F.pmod(F.xxhash64(F.col("node"), F.lit(seed), F.lit(level * 1000 + round_no)), F.lit(2)) == 0
-            member = stage(_moves(arcs, member, two_m, awake), "member")
-            quiet = 0 if member.where("moved").count() > nodes * SETTLED else quiet + 1
-            if quiet == 2:
+        degree = arcs.groupBy(F.col("u").alias("node")).agg(F.sum("w").alias("k"))
+        member = stage(degree.select("node", F.col("node").alias("comm"), "k", F.col("k").alias("total"),
+                                     F.lit(level * 1000).alias("round")), "member")
+        before = _modularity(arcs, member, two_m) if value is None else value
+        for _ in range(max_rounds):
+            seen = Observation()
+            moved = _moves(arcs, member, two_m, seed).observe(
+                seen, F.count_if("moved").alias("moved"), F.count(F.lit(1)).alias("nodes"))
+            member = _with_totals(stage(moved, "member"))
+            if seen.get["moved"] <= seen.get["nodes"] * SETTLED:
                 break
-        if _modularity(arcs, member, two_m) - before < MIN_GAIN:
+        value = _modularity(arcs, member, two_m)
+        if value - before < MIN_GAIN:
             break
-        best = member
-        assigned = stage(assigned.join(best.select("node", "comm"), "node").select(
-            "base", F.col("comm").alias("node")), "assigned")
-        of_u = best.select(F.col("node").alias("u"), F.col("comm").alias("cu"))
-        of_v = best.select(F.col("node").alias("v"), F.col("comm").alias("cv"))
+        to = member.select("node", "comm")
+        assigned = stage(assigned.join(to, "node").select("base", F.col("comm").alias("node")), "assigned")
+        of_u, of_v = (to.select(F.col("node").alias(c), F.col("comm").alias(f"c{c}")) for c in ("u", "v"))
         arcs = stage(arcs.join(of_u, "u").join(of_v, "v").groupBy(
             F.col("cu").alias("u"), F.col("cv").alias("v")).agg(F.sum("w").alias("w")), "arcs")
 

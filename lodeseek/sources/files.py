@@ -26,11 +26,7 @@ GRAPH_ITEM = T.StructType([
     *(T.StructField(n, STRINGS) for n in ("gt_entities", "gt_relations", "gt_chunk_ids")),
     *(T.StructField(n, T.StringType()) for n in ("expected_answer", "expected_behavior", "note")),
 ])
-EXTRACT_REPORT = T.StructType([
-    T.StructField("failures", T.ArrayType(T.StructType(
-        [T.StructField(n, T.StringType()) for n in ("chunk_id", "reason", "detail")]))),
-    T.StructField("empty_chunk_ids", STRINGS),
-])
+FAILURE = T.StructType([T.StructField(n, T.StringType()) for n in ("chunk_id", "reason", "detail")])
 
 
 def utf8_text(content) -> "F.Column":
@@ -82,13 +78,11 @@ def json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
 
 
 def failed_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """chunk_id of failures in an extraction report; a missing or broken report gives none."""
-    empty = spark.createDataFrame([], "chunk_id string")
+    """chunk_id of the failure rows of an extraction report; missing or unreadable rows give none."""
     if not path_exists(spark, path):
-        return empty
-    report = spark.read.schema(EXTRACT_REPORT).option("mode", "PERMISSIVE").json(path, multiLine=True)
-    ids = report.select(F.explode("failures.chunk_id").alias("chunk_id"))
-    return ids.where(F.col("chunk_id").isNotNull() & (F.col("chunk_id") != ""))
+        return spark.createDataFrame([], "chunk_id string")
+    rows = spark.read.schema(FAILURE).option("mode", "PERMISSIVE").json(path)
+    return rows.where(F.col("chunk_id") != "").select("chunk_id")
 
 
 def graph_schema(spark: SparkSession, path: str) -> tuple[list[str], DataFrame, list[str]]:
@@ -103,8 +97,8 @@ def graph_schema(spark: SparkSession, path: str) -> tuple[list[str], DataFrame,
 
 
 def write_json_report(df: DataFrame, path: str) -> None:
-    """A one-row report as JSON; non-ASCII text is kept."""
-    df.coalesce(1).write.mode("overwrite").json(path)
+    """Report rows as JSON Lines; non-ASCII text is kept."""
+    df.write.mode("overwrite").json(path)
 
 
 def write_chunk_list(metadata: DataFrame, path: str) -> None:
