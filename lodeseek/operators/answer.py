@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from typing import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from lodeseek.config import DEFAULTS, SOURCE_TYPES, Tunables
@@ -73,8 +74,6 @@ def rerank(candidates: DataFrame, scorer: Callable | None = None, queries: DataF
     decimals); without one the candidates' own scores order them. Ties keep ``pos``.
     """
     if scorer is not None:
-        import pandas as pd
-
         @F.pandas_udf("double")
         def run(query: pd.Series, text: pd.Series) -> pd.Series:
             return pd.Series(scorer(query.tolist(), text.fillna("").tolist()), index=text.index, dtype="float64")
@@ -162,8 +161,6 @@ def apply_summarizer(contexts: DataFrame, summarizer=None) -> DataFrame:
     """(query_id, summary): plugged-in ``(query, context) -> text``; a failure gives an empty summary."""
     if summarizer is None:
         return contexts.select("query_id", F.lit("").alias("summary"))
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(query: pd.Series, context: pd.Series) -> pd.Series:
         def one(q, c):

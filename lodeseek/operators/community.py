@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
@@ -162,8 +163,6 @@ def summarize(evidence: DataFrame, summarizer=None) -> DataFrame:
     if summarizer is None:
         shown = F.coalesce(F.nullif(first_sentences(F.col("context")), F.lit("")), F.array_join("names", ", "))
         return evidence.select(F.col("comm_id").alias("id"), shown.alias("summary"), "size")
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(names: pd.Series, context: pd.Series) -> pd.Series:
         def one(members, text):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
@@ -107,8 +108,6 @@ def _contexts(rows: DataFrame, cfg: Tunables, limit: int | None = None) -> DataF
 
 def judge(samples: DataFrame, judges: dict) -> DataFrame:
     """Add one column per plugged-in ``(question, contexts, response, reference) -> score``; a failure is NaN."""
-    import pandas as pd
-
     def column(call):
         @F.pandas_udf("double")
         def run(q: pd.Series, c: pd.Series, a: pd.Series, r: pd.Series) -> pd.Series:

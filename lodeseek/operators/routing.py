@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from typing import Callable, Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeseek.config import FALLBACK_PROVIDER, PROVIDER_HINTS, TASK_PROVIDER
@@ -59,8 +60,6 @@ class Providers:
     def invoke(self, prompts: DataFrame, prompt: str, provider: str) -> DataFrame:
         """Adds ``output`` and ``used``: the asked provider, then the fallback; both failing gives
         a null output under the asked name."""
-        import pandas as pd
-
         hooks = self.hooks
 
         @F.pandas_udf("struct<output:string,used:string>")
@@ -85,8 +84,6 @@ def analyzed(queries: DataFrame, rewriter: Callable[[str], tuple[str, list[str]]
     if rewriter is None:
         return queries.withColumn("rewritten_query", F.col("query")).withColumn(
             "techniques", F.array().cast("array<string>"))
-    import pandas as pd
-
     @F.pandas_udf("struct<rewritten:string,techniques:array<string>>")
     def run(query: pd.Series) -> pd.DataFrame:
         def one(q):
