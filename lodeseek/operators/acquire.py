@@ -116,7 +116,8 @@ def transcripts(segments: DataFrame, keys: list[str], order: list[str], text: st
     filled = segments.where(has_text(text)).select(*keys, *order, F.col(text).alias("_t"))
     sized = filled.withColumn("_n", F.length("_t") + 1)
     placed = running_total(sized, keys, order, "_n", "_end", **options)
-    near = placed.where(F.col("_end") - F.col("_n") < cfg.transcript_chars)
+    # A segment starting right at the cut still brings the space before it.
+    near = placed.where(F.col("_end") - F.col("_n") <= cfg.transcript_chars)
     parts = F.array_sort(F.collect_list(F.struct(F.col("_end"), F.col("_t"))))
     joined = F.array_join(F.transform(parts, lambda p: p["_t"]), " ")
     return near.groupBy(*keys).agg(F.substring(joined, 1, cfg.transcript_chars).alias("transcript"))
