@@ -12,6 +12,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 EVENTS = "stream_id string, event_no long, event string, data string"
 # Carried between batches: unfinished line, event name, data lines, next number, trailing CR.
 STATE = "rest string, event string, data array<string>, next_no long, after_cr boolean"
+# Events that end a result stream.
+FINAL = ("done", "error")
 
 
 def feed(state: tuple, chunk: str) -> tuple[tuple, list[tuple]]:
@@ -39,28 +41,27 @@ def feed(state: tuple, chunk: str) -> tuple[tuple, list[tuple]]:
 
 
 def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    if state.hasTimedOut:
-        state.remove()
-        return
     carried = tuple(state.get) if state.exists else ("", "", [], 0, False)
     rows = pd.concat(list(frames)).sort_values("seq")
     out = []
     for chunk in rows["chunk"]:
         carried, closed = feed(carried, chunk)
         out += [(key[0], *event) for event in closed]
-    state.update(carried)
-    state.setTimeoutDuration(3_600_000)
+    if out and out[-1][2] in FINAL and not carried[0] and not carried[2]:
+        state.remove()
+    else:
+        state.update(carried)
     yield pd.DataFrame(out, columns=["stream_id", "event_no", "event", "data"])
 
 
 def tokenize_stream(chunks: DataFrame) -> DataFrame:
     """Streaming counterpart of ``events.tokenize`` for (stream_id, seq, chunk).
 
-    State per stream is one open line and one open event. Idle streams are dropped
-    after an hour. Chunks of one stream must arrive in ``seq`` order across batches.
+    State per stream is one open line and one open event; it is dropped when the
+    stream's final event closes, so finished streams keep nothing. Chunks of one stream must arrive in ``seq`` order across batches.
     """
     return chunks.groupBy("stream_id").applyInPandasWithState(
-        _advance, EVENTS, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+        _advance, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def emit_batches(answers: DataFrame, write_events, checkpoint: str):

@@ -107,9 +107,8 @@ def test_live_tokenizer(spark, tmp_path):
         spark.createDataFrame(rows, CHUNK).coalesce(1).write.mode("append").json(str(source))
     stream = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).json(str(source))
     query = tokenize_stream(stream).writeStream.format("memory").queryName("live_events").outputMode("append").option(
-        "checkpointLocation", out).start()
-    query.processAllAvailable()
-    query.stop()
+        "checkpointLocation", out).trigger(availableNow=True).start()
+    assert query.awaitTermination(90)
     got = {tuple(r) for r in spark.table("live_events").collect()}
     assert got == {("s", 0, "a", "1"), ("s", 1, "message", "2"), ("t", 0, "message", "1")}
 
