@@ -132,7 +132,7 @@ def test_search_end_to_end(spark):
     names = [f.name for f in CHUNK_TABLE][:-1]
     code = stage(spark.createDataFrame(rows, names).withColumn("embedding", embed_text("document"))
                  .withColumn("start_line", F.col("start_line").cast("int")).withColumn("end_line", F.col("end_line").cast("int")))
-    asked = spark.createDataFrame([(1, "graph topic3", None), (2, "차이 topic4", "gemini"), (3, "", None), (4, "x", "bad"), (5, "topic5", "auto")],
+    asked = spark.createDataFrame([(1, "topic3", None), (2, "차이 topic4", "gemini"), (3, "", None), (4, "x", "bad"), (5, "topic5", "auto")],
                                   "query_id long, query string, llm string")
     import numpy as np
 
