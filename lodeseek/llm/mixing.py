@@ -69,7 +69,7 @@ def fill(children: DataFrame, parent: list[str], name: str) -> DataFrame:
     spent = F.coalesce(F.sum("capacity").over(before), F.lit(0.0))
     level = (F.col("budget") - spent) / F.sum("weight").over(after)
     out = children.withColumn("_level", level).withColumn("_full", F.col("capacity") / F.col("weight") <= F.col("_level"))
-    common = F.min(F.when(~F.col("_full"), F.col("_level"))).over(Window.partitionBy(*parent))
+    common = F.max(F.when(~F.col("_full"), F.col("_level"))).over(Window.partitionBy(*parent))
     share = F.when(F.col("_full"), F.col("capacity")).otherwise(F.least(F.col("capacity"), F.col("weight") * F.greatest(common, F.lit(0.0))))
     return out.withColumn("share", share).drop("_level", "_full", "budget")
 

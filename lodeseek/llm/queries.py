@@ -71,19 +71,19 @@ d0 AS (SELECT domain, sum(tokens) * 3.0 AS capacity, CASE domain WHEN 'web' THEN
     floor((SELECT sum(tokens) FROM tot) * 3 / 4)::DOUBLE AS budget FROM tot GROUP BY domain),
 d1 AS (SELECT *, (budget - coalesce(sum(capacity) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (ORDER BY capacity / weight, domain ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM d0),
-d2 AS (SELECT *, min(CASE WHEN capacity / weight > lvl THEN lvl END) OVER () AS com FROM d1),
+d2 AS (SELECT *, max(CASE WHEN capacity / weight > lvl THEN lvl END) OVER () AS com FROM d1),
 dom AS (SELECT domain, CASE WHEN capacity / weight <= lvl THEN capacity ELSE least(capacity, weight * greatest(com, 0)) END AS budget FROM d2),
 l0 AS (SELECT t.domain, language, sum(tokens) * 3.0 AS capacity, any_value(budget) AS budget,
     CASE language WHEN 'en' THEN 4.0 WHEN 'de' THEN 2.0 WHEN 'fr' THEN 2.0 ELSE 1.0 END::DOUBLE AS weight
     FROM tot t JOIN dom USING (domain) GROUP BY t.domain, language),
 l1 AS (SELECT *, (budget - coalesce(sum(capacity) OVER (PARTITION BY domain ORDER BY capacity / weight, language ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (PARTITION BY domain ORDER BY capacity / weight, language ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM l0),
-l2 AS (SELECT *, min(CASE WHEN capacity / weight > lvl THEN lvl END) OVER (PARTITION BY domain) AS com FROM l1),
+l2 AS (SELECT *, max(CASE WHEN capacity / weight > lvl THEN lvl END) OVER (PARTITION BY domain) AS com FROM l1),
 lan AS (SELECT domain, language, CASE WHEN capacity / weight <= lvl THEN capacity ELSE least(capacity, weight * greatest(com, 0)) END AS budget FROM l2),
 s0 AS (SELECT domain, language, leaf, tokens, tokens * 3.0 AS capacity, budget, 1.0::DOUBLE AS weight FROM tot JOIN lan USING (domain, language)),
 s1 AS (SELECT *, (budget - coalesce(sum(capacity) OVER (PARTITION BY domain, language ORDER BY capacity / weight, leaf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / sum(weight) OVER (PARTITION BY domain, language ORDER BY capacity / weight, leaf ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lvl FROM s0),
-s2 AS (SELECT *, min(CASE WHEN capacity / weight > lvl THEN lvl END) OVER (PARTITION BY domain, language) AS com FROM s1),
+s2 AS (SELECT *, max(CASE WHEN capacity / weight > lvl THEN lvl END) OVER (PARTITION BY domain, language) AS com FROM s1),
 bud AS (SELECT domain, language, leaf, tokens, CAST(floor(CASE WHEN capacity / weight <= lvl THEN capacity
     ELSE least(capacity, weight * greatest(com, 0)) END) AS BIGINT) AS budget FROM s2),
 pln AS (SELECT *, CASE WHEN tokens > 0 THEN CAST(floor(budget / tokens) AS BIGINT) ELSE 0 END AS whole FROM bud),
