@@ -114,3 +114,9 @@ def scan(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WIND
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"),
                       F.coalesce("items", F.array().cast("array<string>")).alias("items"),
                       ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"))
+
+
+def clean_rows(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, all columns."""
+    bad = scratch.put(scan(docs, items, scratch).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "bad")
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
