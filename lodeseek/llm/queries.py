@@ -6,8 +6,8 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeseek.llm import contamination, exact, mixing
-from lodeseek.llm.common import Scratch, read
+from lodeseek.llm import contamination, exact, language, mixing
+from lodeseek.llm.common import Scratch, fold_of, read
 from lodeseek.runtime import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,10 @@ def mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(docs, Scratch(spark, "op3"))
     return out.select("doc_id", mixing.domain_of(source).alias("domain"), F.coalesce("lang", F.lit("none")).alias("language"),
                       source.alias("leaf"), mixing.token_count(F.coalesce("text", F.lit(""))).alias("tokens"), "epoch")
+
+
+@query("op10_language")
+def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = language.predict(docs, language.train(docs))
+    return out.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
