@@ -6,7 +6,7 @@ from typing import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeseek.llm import contamination, exact, language, mixing
+from lodeseek.llm import contamination, exact, language, mixing, near
 from lodeseek.llm.common import Scratch, fold_of, read
 from lodeseek.runtime import ship_package
 
@@ -110,3 +110,8 @@ def identify_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     out = language.predict(docs, language.train(docs))
     return out.select("doc_id", (fold_of("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op7_near_dedup")
+def near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near.classes(read(spark, sf_dir, "documents"), Scratch(spark, "op7"))
