@@ -39,6 +39,8 @@ DEEP = 6
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Cells of one block of the sketch matrix.
 CELLS = 4_000_000
+#: A diagonal that no alignment has reached.
+NOWHERE = -(1 << 60)
 
 
 def labelled(shingles: np.ndarray) -> np.ndarray:
@@ -106,13 +108,13 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> flo
     for d in range(most + 1):
         trail.append(dict(far))
         for diagonal in range(-d, d + 1, 2):
-            if diagonal == -d or (diagonal != d and far.get(diagonal - 1, -1) < far.get(diagonal + 1, -1)):
-                x = far.get(diagonal + 1, 0)
+            if diagonal == -d or (diagonal != d and far.get(diagonal - 1, NOWHERE) < far.get(diagonal + 1, NOWHERE)):
+                x = far.get(diagonal + 1, NOWHERE)
             else:
-                x = far.get(diagonal - 1, 0) + 1
+                x = far.get(diagonal - 1, NOWHERE) + 1
             y = x - diagonal
-            if x > len(a) or y > len(b) or y < 0:
-                far[diagonal] = -1
+            if x < 0 or y < 0 or x > len(a) or y > len(b):
+                far[diagonal] = NOWHERE
                 continue
             far[diagonal] = end = slide(x, y)
             if end >= len(a) and end - diagonal >= len(b):
@@ -129,11 +131,11 @@ def _similarity(trail: list[dict[int, int]], x: int, y: int, shingles_a: int, sh
             run += x
             matched += max(0, run - SHINGLE + 1)
             break
-        if diagonal == -d or (diagonal != d and far.get(diagonal - 1, -1) < far.get(diagonal + 1, -1)):
-            px, diagonal = far.get(diagonal + 1, 0), diagonal + 1
+        if diagonal == -d or (diagonal != d and far.get(diagonal - 1, NOWHERE) < far.get(diagonal + 1, NOWHERE)):
+            px, diagonal = far[diagonal + 1], diagonal + 1
             x_start = px
         else:
-            px, diagonal = far.get(diagonal - 1, 0), diagonal - 1
+            px, diagonal = far[diagonal - 1], diagonal - 1
             x_start = px + 1
         matched += max(0, x - x_start - SHINGLE + 1)
         x, y = px, px - diagonal
