@@ -2,11 +2,12 @@
 
 A text's words (lower case) give five-word shingles, each labelled with its occurrence number. A sketch takes the ``PICKS``
 shingles of least hash and keeps them in text order; texts agree in it with about similarity ** PICKS, if the order
-agrees too. Of ``SKETCHES`` sketches, texts at the threshold 0.8 share at least two with probability over 0.9999.
+agrees too. Of ``SKETCHES`` sketches, texts at the threshold 0.8 share at least three with probability 0.9998.
 
 Equal word sequences are one text from here on. Texts that share a sketch form a bucket. Buckets are never expanded into
 pairs: each first compares its members to its most widely shared text alone. What is still split after that is compared
-in full if small; a large bucket is divided by a second sketch, then a third, until the parts are small.
+in full if small; in a large bucket, neighbours in the order of the other sketches are compared, round after round until
+no new link is found.
 
 A candidate pair is verified by a banded alignment of the words (greedy, within the diagonals that the threshold allows):
 similarity = aligned shingles / (shingles of both - aligned). Linked texts form classes.
@@ -33,9 +34,9 @@ WORD = re.compile(r"\w+")
 SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 20, 3
 #: Sketches that two texts must share to be aligned; members of a bucket that are compared with one another.
-AGREE, SMALL = 2, 32
-#: Buckets whose members share this many sketches count as small whatever their size.
-DEEP = 6
+AGREE, SMALL = 3, 32
+#: Neighbours that a member of a larger bucket is compared with in each round.
+NEXT = 3
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Cells of one block of the sketch matrix.
 CELLS = 4_000_000
@@ -78,6 +79,12 @@ def sketches(shingles: np.ndarray) -> np.ndarray:
     return out
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """Shingles that both have, in any order: no alignment matches more."""
+    both = [labelled(ngrams(x.astype(np.uint64), SHINGLE)) for x in (a, b)]
+    return len(np.intersect1d(*both, assume_unique=True))
+
+
 def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> float:
     """Share of five-word shingles that a banded alignment of the words matches; 0.0 once it can't reach ``threshold``.
 
@@ -88,7 +95,7 @@ def alignment(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> flo
         return float(len(a) == len(b) and bool((a == b).all()))
     shingles_a, shingles_b = len(a) - k + 1, len(b) - k + 1
     most = int((shingles_a + shingles_b) * (1 - 2 * threshold / (1 + threshold)) + 1e-9)
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or _common(a, b) * (1 + threshold) < threshold * (shingles_a + shingles_b) - 1e-9:
         return 0.0
 
     def slide(x: int, y: int) -> int:
@@ -190,13 +197,34 @@ def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.where(agree >= AGREE).select("a", "b")
 
 
+def _whole(members: DataFrame) -> DataFrame:
+    """Pairs of different components inside buckets of bounded size."""
+    left = members.select("key", F.col("doc").alias("a"), F.col("component").alias("_ca"))
+    right = members.select("key", F.col("doc").alias("b"), F.col("component").alias("_cb"))
+    return left.join(right, "key").where("a < b and _ca != _cb").select("a", "b")
+
+
+def _neighbours(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs of different components next to each other in a bucket, ordered by the sketches that follow the bucket's own.
+
+    Texts that agree in a run of sketches stand together, so each meets those most like it; cost is linear in the bucket.
+    """
+    turned = F.concat(F.slice("sketch", F.col("i") + 2, SKETCHES), F.slice("sketch", F.lit(1), F.col("i")))
+    rows = members.join(texts.select("doc", "sketch"), "doc").select("key", "doc", "component", turned.alias("turned"))
+    order = Window.partitionBy("key").orderBy("turned", "doc")
+    nexts = F.array(*[F.struct(F.lead("doc", k).over(order).alias("doc"), F.lead("component", k).over(order).alias("component"))
+                      for k in range(1, NEXT + 1)])
+    rows = rows.withColumn("_next", nexts).select("doc", "component", F.explode(F.filter("_next", lambda x: x["component"] != F.col("component"))).alias("other"))
+    return rows.select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
+
+
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, class_id, class_size of every row."""
     rows = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _sketch_rows, "doc_id long, digest binary, sketch array<long>"), "sketches")
     texts = scratch.put(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
         F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "texts")
-    bands = texts.select("doc", F.posexplode("sketch").alias("i", "_v")).select("doc", F.xxhash64("i", "_v").alias("key"))
+    bands = texts.select("doc", F.posexplode("sketch").alias("i", "_v")).select("doc", "i", F.xxhash64("i", "_v").alias("key"))
     sizes = scratch.put(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = scratch.put(bands.join(sizes, "key"), "members")
     spread = members.groupBy("doc").agg(F.sum("n").alias("spread"))
@@ -211,33 +239,19 @@ def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = members.join(hubs, "key").where("doc != hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     pairs = scratch.put(_agreeing(pairs, texts), "pairs")
     links = _verified(pairs, words, scratch)
-    tested, buckets, depth = pairs, members.select("key", "doc"), 1
-    while True:
+    tested, buckets, more = pairs, members.select("key", "i", "doc"), True
+    while more:
         found = components(links, scratch)
         named = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "doc", F.coalesce("component", "doc").alias("component"))
+            "key", "i", "doc", F.coalesce("component", "doc").alias("component"))
         split = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        split = split.where("_lo != _hi").select("key", "n")
-        buckets = scratch.put(named.join(split, "key"), "buckets")
-        if buckets.isEmpty():
-            break
-        small = buckets if depth >= DEEP else buckets.where(F.col("n") <= SMALL)
-        left = small.select("key", F.col("doc").alias("a"), F.col("component").alias("_ca"))
-        right = small.select("key", F.col("doc").alias("b"), F.col("component").alias("_cb"))
-        pairs = left.join(right, "key").where("a < b and _ca != _cb").select("a", "b").distinct()
-        pairs = scratch.put(_agreeing(pairs, texts).join(tested, ["a", "b"], "left_anti"), "pairs")
-        if not pairs.isEmpty():
-            links = scratch.put(links.union(_verified(pairs, words, scratch)), "links")
-            tested = scratch.put(tested.union(pairs), "tested")
-        if depth >= DEEP:
-            found = components(links, scratch)
-            break
-        large = buckets.where(F.col("n") > SMALL)
-        finer = large.select("key", "doc").join(texts.select("doc", "sketch"), "doc").select(
-            "doc", F.col("key").alias("_k"), F.posexplode("sketch").alias("i", "_v")).where(F.xxhash64("i", "_v") != F.col("_k"))
-        finer = finer.select("doc", F.xxhash64("_k", "i", "_v").alias("key"))
-        shared = finer.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
-        buckets, depth = scratch.put(finer.join(shared, "key"), "finer"), depth + 1
+        named = scratch.put(named.join(split.where("_lo != _hi").select("key", "n"), "key"), "buckets")
+        pairs = _whole(named.where(F.col("n") <= SMALL)).union(_neighbours(named.where(F.col("n") > SMALL), texts)).distinct()
+        pairs = scratch.put(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), texts), "pairs")
+        new = _verified(pairs, words, scratch)
+        more = not new.isEmpty()
+        if more:
+            links, tested, buckets = scratch.put(links.union(new), "links"), scratch.put(tested.union(pairs), "tested"), named.drop("component", "n")
     # back to the rows: only texts with copies or links can have another class than their own id
     joined = texts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class_id", F.coalesce("component", "doc"))
     sizes = joined.groupBy("class_id").agg(F.sum("copies").alias("class_size")).where("class_size > 1")
