@@ -8,7 +8,7 @@ from typing import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeseek.llm import chat, contamination, exact, language, mixing, near, toxicity
+from lodeseek.llm import chat, contamination, exact, language, mixing, near, repeats, toxicity
 from lodeseek.llm.common import Scratch, fold_of, read
 from lodeseek.runtime import ship_package
 
@@ -165,3 +165,9 @@ def format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("conv_id", "formatted", "loss").mapInArrow(
         _digest_rows, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, "
                       "loss_chars long, loss_sha256 string, formatted_chars long")
+
+
+@query("op5_repeats")
+def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
+    return out.select("doc_id", "n_words", "n_removed", F.col("kept_digest").alias("kept_sha256"))
