@@ -29,24 +29,26 @@ from lodeseek.llm.hashing import WordHasher, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 50
-#: Steps of the recompression: r names runs, p pairs.
-PLAN = "rpppprppp"
+#: Steps of the recompression: r names runs, p pairs. Long runs make contexts that no window holds; such windows
+#: (the same ones in every document) fall back on symbols of pairs alone.
+PLAN, PAIRS_ONLY = "rpppppp", "pppppp"
 #: Words worked on at once.
 CHUNK_WORDS = 100_000
 FAR = 1 << 60
 NO_ID = (1 << 63) - 1
 _C = np.uint64(0x9E3779B97F4A7C15)
+_SALTS = np.arange(1, 33, dtype=np.uint64) * _C
 _TIMES = (np.uint64(0x2545F4914F6CDD1D), np.uint64(0xD1342543DE82EF95))
 
 
-def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def recompress(names: np.ndarray, doc: np.ndarray, plan: str = PLAN) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(name, first word, word after the last) of the top symbols' contexts; words of documents lie one after another.
 
     A context that would need what lies beyond a text's end is unbounded on that side.
     """
     low = np.arange(len(names), dtype=np.int64)
     high = low + 1
-    for k, kind in enumerate(PLAN):
+    for k, kind in enumerate(plan):
         if kind == "r":
             same = (names[1:] == names[:-1]) & (doc[1:] == doc[:-1])
             first = np.flatnonzero(np.r_[True, ~same])
@@ -60,7 +62,7 @@ def recompress(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarr
             new_high = np.where(has_after, np.maximum(high[last], high[after]), FAR)
             names, doc, low, high = named, doc[first], new_low, new_high
             continue
-        left = (mix(names + np.uint64(k + 1) * _C) >> np.uint64(63)) == 1
+        left = (mix(names + _SALTS[k]) >> np.uint64(63)) == 1
         next_same = np.r_[doc[1:] == doc[:-1], False]
         opens = np.r_[left[:-1] & ~left[1:], False] & next_same
         closes = np.r_[False, opens[:-1]]
@@ -93,7 +95,19 @@ class Chunk:
         self.final = self.begin + self.lengths - WINDOW  # last start of a window
         self.doc = np.repeat(np.arange(len(words)), self.lengths)
         self.starts = np.arange(len(self.ids)) <= self.final[self.doc]
-        names, low, high = recompress(self.ids, self.doc)
+        self._keep(*recompress(self.ids, self.doc))
+        bare = self.starts & ~self.covered(np.arange(len(self.names)))
+        if bare.any():
+            top = self.names, self.low, self.high
+            self._keep(*recompress(self.ids, self.doc, PAIRS_ONLY))
+            before = np.r_[0, np.cumsum(bare)]
+            start = np.maximum(self.high - WINDOW, self.begin[self.owner])
+            end = np.maximum(np.minimum(self.low, self.final[self.owner]) + 1, start)
+            used = before[end] > before[start]
+            self._keep(*(np.r_[a, b[used]] for a, b in zip(top, (mix(self.names), self.low, self.high))))
+
+    def _keep(self, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Take the symbols whose context a window can hold."""
         useful = (low >= 0) & (high < FAR) & (high - low <= WINDOW)
         self.names, self.low, self.high = names[useful], low[useful], high[useful]
         self.owner = self.doc[self.low]
