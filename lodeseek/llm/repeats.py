@@ -96,15 +96,22 @@ class Chunk:
         self.doc = np.repeat(np.arange(len(words)), self.lengths)
         self.starts = np.arange(len(self.ids)) <= self.final[self.doc]
         self._keep(*recompress(self.ids, self.doc))
-        bare = self.starts & ~self.covered(np.arange(len(self.names)))
+        self.top = len(self.names)
+        bare = self.starts & ~self.covered(np.arange(self.top))
         if bare.any():
             top = self.names, self.low, self.high
-            self._keep(*recompress(self.ids, self.doc, PAIRS_ONLY))
+            loose = np.zeros(len(words), bool)
+            loose[self.doc[bare]] = True
+            at = np.flatnonzero(loose[self.doc])
+            names, low, high = recompress(self.ids[at], self.doc[at], PAIRS_ONLY)
+            inside = (low >= 0) & (high < FAR)
+            names, low, high = mix(names[inside]), at[low[inside]], at[high[inside] - 1] + 1
+            self._keep(names, low, high)
             before = np.r_[0, np.cumsum(bare)]
             start = np.maximum(self.high - WINDOW, self.begin[self.owner])
             end = np.maximum(np.minimum(self.low, self.final[self.owner]) + 1, start)
             used = before[end] > before[start]
-            self._keep(*(np.r_[a, b[used]] for a, b in zip(top, (mix(self.names), self.low, self.high))))
+            self._keep(*(np.r_[a, b[used]] for a, b in zip(top, (self.names, self.low, self.high))))
 
     def _keep(self, names: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         """Take the symbols whose context a window can hold."""
@@ -114,12 +121,25 @@ class Chunk:
 
     def covered(self, which: np.ndarray) -> np.ndarray:
         """Starts of windows that contain the context of one of the chosen symbols."""
+        return self.counts(which) > 0
+
+    def counts(self, which: np.ndarray) -> np.ndarray:
+        """Number of the chosen symbols whose context the window at each start contains."""
         owner = self.owner[which]
         start = np.maximum(self.high[which] - WINDOW, self.begin[owner])
         end = np.minimum(self.low[which], self.final[owner]) + 1
         start, end = start[end > start], end[end > start]
         steps = np.bincount(start, minlength=len(self.ids) + 1) - np.bincount(end, minlength=len(self.ids) + 1)
-        return np.cumsum(steps)[:-1] > 0
+        return np.cumsum(steps)[:-1]
+
+    def needed(self) -> np.ndarray:
+        """Per document, the fewest symbols in a row that any of its windows holds; 0 if a window holds none.
+
+        Of a window's symbols only those of one parse count, which stand in a row.
+        """
+        top = self.counts(np.arange(self.top))
+        least = np.where(top > 0, top, self.counts(np.arange(self.top, len(self.names))))
+        return np.minimum.reduceat(np.where(self.starts, least, len(self.ids)), self.begin)
 
     def hashes(self, at: np.ndarray) -> list[np.ndarray]:
         """Two 64-bit hashes of the windows that start at ``at``."""
@@ -133,16 +153,17 @@ class Chunk:
         return out
 
 
-def _chunks(items: list[tuple], hasher: WordHasher, words_at: int) -> Iterator[tuple[list[tuple], Chunk]]:
+def _chunks(items: Iterator[tuple], hasher: WordHasher) -> Iterator[tuple[list[tuple], Chunk]]:
+    """Items, whose second part is a list of words, in lists of bounded length."""
     waiting, count = [], 0
     for item in items:
         waiting.append(item)
-        count += len(item[words_at])
+        count += len(item[1])
         if count >= CHUNK_WORDS:
-            yield waiting, Chunk([w[words_at] for w in waiting], hasher)
+            yield waiting, Chunk([w[1] for w in waiting], hasher)
             waiting, count = [], 0
     if waiting:
-        yield waiting, Chunk([w[words_at] for w in waiting], hasher)
+        yield waiting, Chunk([w[1] for w in waiting], hasher)
 
 
 def _digest(words: list[str]) -> bytes:
@@ -152,35 +173,37 @@ def _digest(words: list[str]) -> bytes:
 def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        words = [WORD.findall(t) if t else [] for t in texts]
-        symbols: list = [None] * len(texts)
-        opened = [False] * len(texts)
-        long = [(i, w) for i, w in enumerate(words) if len(w) >= WINDOW]
-        for items, chunk in _chunks(long, hasher, 1):
-            bare = chunk.starts & ~chunk.covered(np.arange(len(chunk.names)))
-            loose = set(chunk.doc[bare].tolist())
+        size = batch.num_rows
+        counts, digests, symbols, needed = [0] * size, [b""] * size, [None] * size, [1] * size
+
+        def long_texts():
+            for i, text in enumerate(batch.column(1)):
+                words = WORD.findall(text.as_py() or "")
+                counts[i], digests[i] = len(words), _digest(words)
+                if len(words) >= WINDOW:
+                    yield i, words
+
+        for items, chunk in _chunks(long_texts(), hasher):
             order = np.argsort(chunk.owner, kind="stable")
             edges = np.searchsorted(chunk.owner[order], np.arange(len(items) + 1))
-            for j, (i, _) in enumerate(items):
-                symbols[i] = np.unique(chunk.names[order[edges[j]:edges[j + 1]]]).view(np.int64)
-                opened[i] = j in loose
+            for j, ((i, _), need) in enumerate(zip(items, chunk.needed().tolist())):
+                symbols[i], needed[i] = chunk.names[order[edges[j]:edges[j + 1]]].view(np.int64), need
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len(w) for w in words], pa.int64()), pa.array([_digest(w) for w in words], pa.binary()),
-             pa.array(symbols, pa.list_(pa.int64())), pa.array(opened, pa.bool_())],
-            ["id", "n_words", "digest", "symbols", "open"])
+            [batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(symbols, pa.list_(pa.int64())),
+             pa.array(needed, pa.int64())], ["id", "n_words", "digest", "symbols", "needed"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that may repeat: two hashes, id, digest, first word, and whether they may be removed."""
     hasher = WordHasher()
     for batch in batches:
-        items = []
-        for i, (text, digest, shared, mine) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)))):
-            words = WORD.findall(text)
-            if _digest(words) == digest:
-                items.append((i, words, np.array(shared or [], np.int64).view(np.uint64), np.array(mine or [], np.int64).view(np.uint64)))
-        for part, chunk in _chunks(items, hasher, 1):
+        def texts():
+            for i, (text, digest, shared, mine) in enumerate(zip(*(batch.column(c) for c in range(1, 5)))):
+                words = WORD.findall(text.as_py())
+                if _digest(words) == digest.as_py():
+                    yield i, words, *(np.array(x.as_py() or [], np.int64).view(np.uint64) for x in (shared, mine))
+
+        for part, chunk in _chunks(texts(), hasher):
             known, own = np.zeros(len(chunk.names), bool), np.zeros(len(chunk.names), bool)
             for j, (_, _, shared, mine) in enumerate(part):
                 here = chunk.owner == j
@@ -221,19 +244,25 @@ def _kept_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_words, n_removed, digest (of the words), kept_digest, kept (the text left; null where nothing is removed)."""
     named = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.col("text").cast("string").alias("text"))
-    rows = scratch.put(named.mapInArrow(_symbol_rows, "id long, n_words long, digest binary, symbols array<long>, open boolean"), "symbols")
+    rows = scratch.put(named.mapInArrow(_symbol_rows, "id long, n_words long, digest binary, symbols array<long>, needed long"), "symbols")
     long = rows.where(F.col("n_words") >= WINDOW)
-    firsts = scratch.put(long.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.max("open").alias("open")), "firsts")
-    single = long.join(firsts.where("n > 1").select("digest"), "digest", "left_anti").select("id", "digest", "symbols")
+    firsts = scratch.put(long.groupBy("digest").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"), F.min("needed").alias("needed")), "firsts")
+    single = long.join(firsts.where("n > 1").select("digest"), "digest", "left_anti").select("id", "digest", "symbols", "needed")
     copied = long.join(firsts.where("n > 1").select("digest", F.col("id").alias("_first")), "digest").where(
-        "id = _first").groupBy("digest").agg(F.min("id").alias("id"), F.first("symbols").alias("symbols")).select("id", "digest", "symbols")
-    points = single.union(copied).select("id", "digest", F.explode("symbols").alias("symbol"))
+        "id = _first").groupBy("digest").agg(F.min("id").alias("id"), F.first("symbols").alias("symbols"), F.first("needed").alias("needed")).select(
+            "id", "digest", "symbols", "needed")
+    points = single.union(copied).select("id", "digest", "needed", F.posexplode("symbols").alias("place", "symbol"))
     shared = points.groupBy("symbol").agg(F.min("id").alias("least"), F.max("id").alias("_most")).where("least < _most").select("symbol", "least")
     shared = scratch.put(shared, "shared")
-    marks = points.join(shared, "symbol").groupBy("id", "digest").agg(
-        F.collect_list("symbol").alias("shared"), F.collect_list(F.when(F.col("id") == F.col("least"), F.col("symbol"))).alias("mine"))
+    marks = points.join(shared, "symbol").groupBy("id", "digest", "needed").agg(
+        F.sort_array(F.collect_list("place")).alias("places"), F.collect_set("symbol").alias("shared"),
+        F.collect_set(F.when(F.col("id") == F.col("least"), F.col("symbol"))).alias("mine"))
+    # only where enough shared symbols stand in a row can a window have no other
+    in_a_row = F.exists(F.sequence(F.lit(0).cast("long"), F.size("places") - F.col("needed")),
+                        lambda i: F.get("places", (i + F.col("needed") - 1).cast("int")) - F.get("places", i.cast("int")) == F.col("needed") - 1)
+    marks = marks.where((F.col("needed") <= 0) | ((F.size("places") >= F.col("needed")) & in_a_row)).select("id", "digest", "shared", "mine")
     none = F.array().cast("array<long>")
-    loose = firsts.where("open").select("id", "digest", none.alias("shared"), none.alias("mine"))
+    loose = firsts.where("needed <= 0").select("id", "digest", none.alias("shared"), none.alias("mine"))
     marks = marks.union(loose).groupBy("id", "digest").agg(F.flatten(F.collect_list("shared")).alias("shared"), F.flatten(F.collect_list("mine")).alias("mine"))
     marks = scratch.put(marks, "marks")
     ids = scratch.put(marks.select("id").distinct(), "ids")
