@@ -8,7 +8,7 @@ from typing import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeseek.llm import chat, contamination, exact, language, mixing, near, repeats, toxicity
+from lodeseek.llm import chat, contamination, exact, language, licenses, mixing, near, pii, repeats, toxicity
 from lodeseek.llm.common import Scratch, fold_of, read
 from lodeseek.runtime import ship_package
 
@@ -171,3 +171,30 @@ def format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
     return out.select("doc_id", "n_words", "n_removed", F.col("kept_digest").alias("kept_sha256"))
+
+
+@query("op9_pii")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.scan(read(spark, sf_dir, "documents"), Scratch(spark, "op9"))
+    return out.select("doc_id", *[f"n_{k}" for k in pii.KINDS], F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
+_NOTICES_SQL = ", ".join(f"('{name}', '{text}')" for name, text in licenses.NOTICES)
+
+
+@query("op1_licenses", rf"""
+WITH t AS (SELECT license, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM (VALUES {_NOTICES_SQL}) v(license, text)),
+ts AS (SELECT DISTINCT license, array_to_string(w[i:i + 2], ' ') AS s FROM t, unnest(range(1, len(w) - 1)) AS u(i)),
+tn AS (SELECT license, count(*) AS n FROM ts GROUP BY license),
+d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
+hit AS (SELECT doc_id, pos, license, ts.s FROM ds JOIN ts ON ds.s = ts.s),
+win AS (SELECT doc_id, license, s, (pos // 24) * 24 AS at FROM hit UNION ALL SELECT doc_id, license, s, (pos // 24) * 24 - 24 FROM hit WHERE pos >= 24),
+got AS (SELECT doc_id, at, license, count(DISTINCT s) AS n FROM win GROUP BY ALL),
+yes AS (SELECT DISTINCT doc_id, license FROM got JOIN tn USING (license) WHERE got.n >= 0.8 * tn.n),
+lst AS (SELECT doc_id, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses FROM yes GROUP BY doc_id)
+SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN lst USING (doc_id)""")
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licenses.scan(read(spark, sf_dir, "documents"), licenses.notices(spark), Scratch(spark, "op1"))
+    return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"))
