@@ -62,7 +62,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     ip = matches(docs.where(text.rlike(r"[0-9]\.[0-9]")), IP, "ip").where(
         F.forall(octets, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255"))))
     card = matches(docs.where(text.rlike(r"[0-9][\x20-]?[0-9]")), CARD, "card")
-    card = card.where(F.length(_digits(F.col("found"))).between(12, 19)).where(F.luhn_check(_digits(F.col("found"))))
+    card = card.where(F.length(_digits(F.col("found"))).between(12, 19)).where(F.call_function("luhn_check", _digits(F.col("found"))))
     phone = matches(docs.where(text.contains("+")), PHONE, "phone").where(F.length(_digits(F.col("found"))).between(9, 15))
     parts = [p.select("doc_id", "text_hash", "kind", "start", "end") for p in (email, ip, card, phone)]
     return reduce(DataFrame.unionByName, parts)
@@ -98,7 +98,7 @@ def votes() -> list[Column]:
         vote((F.col("cue").isin(*CUES), 1), (F.col("cue").isin(*PLAIN), 0)),
         vote((F.col("glue").isin("=", ":", "#"), 1), (F.col("glue") == "", 0)),
         vote((F.lower(F.substring(word, -4, 4)).isin(*ENDINGS), 1)),
-        vote((digits <= 4, 0), ((digits == size) & (digits >= 12) & ~F.coalesce(F.luhn_check(word), F.lit(False)), 0),
+        vote((digits <= 4, 0), ((digits == size) & (digits >= 12) & ~F.coalesce(F.call_function("luhn_check", word), F.lit(False)), 0),
              ((digits == size) & (digits >= 12), 1)),
     ]
 

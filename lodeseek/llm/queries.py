@@ -190,8 +190,8 @@ d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMN
         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
 ds AS (SELECT doc_id, i - 1 AS pos, array_to_string(w[i:i + 2], ' ') AS s FROM d, unnest(range(1, len(w) - 1)) AS u(i)),
 hit AS (SELECT doc_id, pos, license, ts.s FROM ds JOIN ts ON ds.s = ts.s),
-win AS (SELECT doc_id, license, s, (pos // 24) * 24 AS at FROM hit UNION ALL SELECT doc_id, license, s, (pos // 24) * 24 - 24 FROM hit WHERE pos >= 24),
-got AS (SELECT doc_id, at, license, count(DISTINCT s) AS n FROM win GROUP BY ALL),
+win AS (SELECT doc_id, license, s, (pos // 24) * 24 AS wn FROM hit UNION ALL SELECT doc_id, license, s, (pos // 24) * 24 - 24 FROM hit WHERE pos >= 24),
+got AS (SELECT doc_id, wn, license, count(DISTINCT s) AS n FROM win GROUP BY ALL),
 yes AS (SELECT DISTINCT doc_id, license FROM got JOIN tn USING (license) WHERE got.n >= 0.8 * tn.n),
 lst AS (SELECT doc_id, count(*) AS n_licenses, string_agg(license, ',' ORDER BY license) AS licenses FROM yes GROUP BY doc_id)
 SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS licenses FROM documents LEFT JOIN lst USING (doc_id)""")
