@@ -38,39 +38,49 @@ ENDINGS = (".com", ".org", ".net", ".edu", ".io", ".de", ".fr", ".es")
 ROUNDS, SURE = 60, 0.9
 
 
-def matches(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
-    """Matches of ``docs`` (doc_id, text_hash, text): kind, start, end (code points), found, before (the text up to 40 before)."""
+def _found(docs: DataFrame, pattern: str, kind: str) -> DataFrame:
+    """Matches in order: doc_id, text_hash, kind, i, found, gap (characters since the last match), before (up to 40 of them)."""
     cut = docs.select("doc_id", "text_hash", F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("m"),
                       F.split("text", pattern, -1).alias("gap"))
     rows = cut.select("doc_id", "text_hash", F.posexplode(F.zip_with("m", F.slice("gap", F.lit(1), F.size("m")), lambda m, g: F.struct(
         m.alias("found"), F.length(g).alias("gap"), F.substring(g, -40, 40).alias("before")))).alias("i", "x"))
-    rows = rows.groupBy("doc_id", "text_hash", "i").agg(F.first("x").alias("x")).select("doc_id", "text_hash", "i", "x.*")
-    upto = Window.partitionBy("doc_id", "text_hash").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("doc_id", "text_hash", F.lit(kind).alias("kind"), "i", "x.found", "x.gap", "x.before")
+
+
+def matches(docs: DataFrame) -> DataFrame:
+    """All matches of ``docs`` (doc_id, text_hash, text): kind, start, end (code points), found, before.
+
+    The scans emit matches only; these meet once by document, where equal rows merge and lengths add up to positions.
+    """
+    text = F.col("text")
+    parts = [_found(docs.where(when), pattern, kind) for kind, pattern, when in (
+        ("email", EMAIL, text.contains("@")), ("ip", IP, text.rlike(r"[0-9]\.[0-9]")), ("card", CARD, text.rlike(r"[0-9][\x20-]?[0-9]")),
+        ("phone", PHONE, text.contains("+")), ("word", CANDIDATE, text.rlike("[0-9@]")))]
+    rows = reduce(DataFrame.unionByName, parts).repartition("doc_id", "text_hash")
+    rows = rows.groupBy("doc_id", "text_hash", "kind", "i", "gap", "found", "before").agg(F.count(F.lit(1)).alias("_rows"))
+    upto = Window.partitionBy("doc_id", "text_hash", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("gap") + F.length("found")).over(upto)
-    return rows.select("doc_id", "text_hash", F.lit(kind).alias("kind"), (end - F.length("found")).alias("start"), end.alias("end"), "found", "before")
+    return rows.select("doc_id", "text_hash", "kind", (end - F.length("found")).alias("start"), end.alias("end"), "found", "before")
 
 
 def _digits(found: Column) -> Column:
     return F.regexp_replace(found, "[^0-9]", "")
 
 
-def base_spans(docs: DataFrame) -> DataFrame:
-    """The spans of the fixed patterns: doc_id, text_hash, kind, start, end."""
-    text = F.col("text")
-    email = matches(docs.where(text.contains("@")), EMAIL, "email")
-    octets = F.transform(F.split("found", r"\."), lambda p: F.ltrim(p, F.lit("0")))
-    ip = matches(docs.where(text.rlike(r"[0-9]\.[0-9]")), IP, "ip").where(
-        F.forall(octets, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255"))))
-    card = matches(docs.where(text.rlike(r"[0-9][\x20-]?[0-9]")), CARD, "card")
-    card = card.where(F.length(_digits(F.col("found"))).between(12, 19)).where(F.call_function("luhn_check", _digits(F.col("found"))))
-    phone = matches(docs.where(text.contains("+")), PHONE, "phone").where(F.length(_digits(F.col("found"))).between(9, 15))
-    parts = [p.select("doc_id", "text_hash", "kind", "start", "end") for p in (email, ip, card, phone)]
-    return reduce(DataFrame.unionByName, parts)
-
-
-def candidates(docs: DataFrame) -> DataFrame:
+def base_spans(found: DataFrame) -> DataFrame:
+    """The matches that pass the checks of their kind: doc_id, text_hash, kind, start, end."""
+    digits, octets = _digits(F.col("found")), F.transform(F.split("found", r"\."), lambda p: F.ltrim(p, F.lit("0")))
+    kind = F.col("kind")
+    good = F.when(kind == "email", True).when(
+        kind == "ip", F.forall(octets, lambda p: (F.length(p) < 3) | ((F.length(p) == 3) & (p <= "255")))).when(
+        kind == "card", F.when(F.length(digits).between(12, 19), F.call_function("luhn_check", digits))).when(
+        kind == "phone", F.length(digits).between(9, 15))
+    return found.where(good).select("doc_id", "text_hash", "kind", "start", "end")
+
+
+def candidates(found: DataFrame) -> DataFrame:
     """Words with a digit or ``@``, without outer punctuation, and what the labelers and the classifier look at."""
-    rows = matches(docs.where(F.col("text").rlike("[0-9@]")), CANDIDATE, "word")
+    rows = found.where("kind = 'word'")
     lead = F.length(F.regexp_extract("found", r"^[^\p{L}0-9+]*+", 0))
     core = F.regexp_replace(F.regexp_replace("found", r"^[^\p{L}0-9+]*+", ""), r"(?<=[\p{L}0-9])[^\p{L}0-9]+$", "")
     rows = rows.withColumn("start", F.col("start") + lead).withColumn("word", core).where(F.length("word") > 0)
@@ -142,16 +152,16 @@ def features() -> list[Column]:
         ("size", F.least(F.lit(8), F.floor(F.log2(size.cast("double")))).cast("string")))]
 
 
-def added_spans(docs: DataFrame, scratch: Scratch) -> DataFrame:
+def added_spans(found: DataFrame, scratch: Scratch) -> DataFrame:
     """Spans the trained classifier takes for personal: doc_id, text_hash, kind, start, end."""
-    rows = candidates(docs).withColumn("votes", F.array(*votes())).withColumn("features", F.array(*features()))
+    rows = candidates(found).withColumn("votes", F.array(*votes())).withColumn("features", F.array(*features()))
     rows = scratch.put(rows, "candidates")
     counts = rows.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 3 ** labelers rows
     truth = estimate(sorted((tuple(r["votes"]), r["n"]) for r in counts))
-    kinds = "doc_id {}, text_hash long, kind string, start long, end long".format(docs.schema["doc_id"].dataType.simpleString())
+    kinds = "doc_id {}, text_hash long, kind string, start long, end long".format(found.schema["doc_id"].dataType.simpleString())
     if not truth:
-        return docs.sparkSession.createDataFrame([], kinds)
-    soft = docs.sparkSession.createDataFrame([(list(p), v) for p, v in truth.items()], "votes array<int>, truth double")
+        return found.sparkSession.createDataFrame([], kinds)
+    soft = found.sparkSession.createDataFrame([(list(p), v) for p, v in truth.items()], "votes array<int>, truth double")
     sums = rows.join(F.broadcast(soft), "votes").select("truth", F.explode("features").alias("feature")).groupBy("feature").agg(
         F.sum("truth").alias("yes"), F.sum(1 - F.col("truth")).alias("no")).collect()  # one row per feature value
     yes = sum(r["yes"] for r in sums if r["feature"].startswith("shape=")) + 1
@@ -171,8 +181,8 @@ def _joined(spans: Column) -> Column:
 def scan(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_email, n_ip, n_card, n_phone, base (span list), spans (base and added) of every row."""
     named = docs.select("doc_id", text_of().alias("text")).withColumn("text_hash", F.xxhash64("text"))
-    base = scratch.put(base_spans(named), "base")
-    added = added_spans(named, scratch)
+    found = scratch.put(matches(named), "matches")
+    base, added = base_spans(found), added_spans(found, scratch)
     both = base.withColumn("base", F.lit(True)).unionByName(added.withColumn("base", F.lit(False)))
     order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
     # base spans that reach into an added one start before its end: the widest before it, and the first at or after it
