@@ -6,7 +6,7 @@ import numpy as np
 import xxhash
 
 #: Words a task remembers.
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 200_000
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 

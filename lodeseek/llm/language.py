@@ -34,7 +34,7 @@ SEQUENCE_WORDS, STRETCH_WORDS = 96, (3, 30)
 MIN_SEEN = 5
 STEPS, RATE, RIDGE = 70, 0.12, 1e-5
 #: Words worked on at once, words of a block, and words whose emissions a task keeps.
-CHUNK_WORDS, BLOCK, CACHE_WORDS = 150_000, 32, 300_000
+CHUNK_WORDS, BLOCK, CACHE_WORDS = 80_000, 32, 200_000
 
 
 def word_features(word: str) -> list[str]:

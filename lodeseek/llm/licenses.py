@@ -36,10 +36,13 @@ def notices(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(list(NOTICES), "license string, text string")
 
 
+def _least(shingles: Column, band: int) -> Column:
+    return F.array_min(F.transform(shingles, lambda x: F.xxhash64(x, F.lit(band))))
+
+
 def _minima(shingles: Column) -> Column:
     """(band, least hash) of a set."""
-    return F.array(*[F.struct(F.lit(i).alias("band"), F.array_min(F.transform(shingles, lambda x, i=i: F.xxhash64(x, F.lit(i)))).alias("least"))
-                     for i in range(BANDS)])
+    return F.array(*[F.struct(F.lit(i).alias("band"), _least(shingles, i).alias("least")) for i in range(BANDS)])
 
 
 def pieces(templates: DataFrame) -> DataFrame:

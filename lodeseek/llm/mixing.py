@@ -12,7 +12,7 @@ key, so selecting is a filter on the documents and no text is shuffled.
 
 Tokens are white-space separated words. A document without tokens (null or empty text) is taken in every epoch before
 the cut and costs nothing. Null language or source is the name ``none``. Equal keys (repeated ids) are cut together. An empty
-table or a zero target selects nothing. Extra columns are carried, and none is clashed with.
+table or a zero target selects nothing. Extra columns are carried; one named ``epoch`` is replaced.
 """
 
 from __future__ import annotations
@@ -129,4 +129,4 @@ def mix(docs: DataFrame, scratch: Scratch, share: tuple[int, int] = TARGET_SHARE
     copies = (F.col("_m_whole") + F.when(key <= F.col("_m_cut"), 1).otherwise(0)).cast("int")
     chosen = joined.withColumn("_m_copies", copies).where("_m_copies > 0")
     epoch = F.explode(F.sequence(F.lit(0), F.col("_m_copies") - 1))
-    return chosen.withColumn("_m_epoch", epoch).select(*docs.columns, F.col("_m_epoch").alias("epoch"))
+    return chosen.withColumn("_m_epoch", epoch).select(*[c for c in docs.columns if c != "epoch"], F.col("_m_epoch").alias("epoch"))

@@ -39,7 +39,7 @@ AGREE, SMALL = 3, 32
 NEXT = 3
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Cells of one block of the sketch matrix.
-CELLS = 4_000_000
+CELLS = 1_000_000
 #: A diagonal that no alignment has reached.
 NOWHERE = -(1 << 60)
 
