@@ -21,17 +21,20 @@ class _Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.muted = 0
-        self.depth = dict.fromkeys(REGIONS, 0)
+        self.open: list[str] = []
         self.closed = set()
         self.parts = {name: [] for name in (*REGIONS, "page")}
         self.seen = set()
 
+    @property
+    def muted(self) -> bool:
+        return not DROPPED.isdisjoint(self.open)
+
     def handle_starttag(self, tag, attrs):
-        if tag in DROPPED:
-            self.muted += 1
-        elif not self.muted and tag in self.depth and tag not in self.closed:
-            self.depth[tag] += 1
+        if tag in VOID:
+            return
+        self.open.append(tag)
+        if tag in REGIONS and tag not in self.closed and not self.muted:
             self.seen.add(tag)
 
     def handle_startendtag(self, tag, attrs):
@@ -40,19 +43,23 @@ class _Page(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag in DROPPED:
-            self.muted = max(0, self.muted - 1)
-        elif not self.muted and self.depth.get(tag):
-            self.depth[tag] -= 1
-            if not self.depth[tag]:
-                self.closed.add(tag)
+        """Closes the innermost open element of that name and all that was left open inside it."""
+        if tag not in self.open:
+            return
+        while (inner := self.open.pop()) != tag:
+            self._left(inner)
+        self._left(tag)
+
+    def _left(self, tag):
+        if tag in self.seen and tag not in self.open:
+            self.closed.add(tag)
 
     def handle_data(self, data):
         if self.muted or not data.strip():
             return
         self.parts["page"].append(data)
-        for name, open_count in self.depth.items():
-            if open_count:
+        for name in REGIONS:
+            if name in self.open and name in self.seen and name not in self.closed:
                 self.parts[name].append(data)
 
 

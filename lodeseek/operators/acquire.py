@@ -100,8 +100,11 @@ def score_hits(hits: DataFrame, order: str = "hit_rank") -> DataFrame:
 
 def web_search(queries: DataFrame, search: Callable, pages: DataFrame, fetched_at: Column,
                cfg: Tunables = DEFAULTS) -> DataFrame:
-    """(query_id, rank, title, url, snippet, text, score, fetched_at)."""
-    hits = usable_hits(raise_if_blocked(search_hits(queries, search, cfg)), cfg)
+    """(query_id, rank, title, url, snippet, text, score, fetched_at).
+
+    A refused query has no rows here and so counts as a missing source; the other queries of the batch go on.
+    """
+    hits = usable_hits(search_hits(queries, search, cfg), cfg)
     scored = score_hits(with_page_text(hits, pages, cfg)).withColumn("fetched_at", fetched_at)
     return scored.select("query_id", "rank", "title", "url", "snippet", "text", "score", "fetched_at")
 

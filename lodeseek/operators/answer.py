@@ -37,6 +37,10 @@ def position_score(rank, kept) -> Column:
     return F.round(1 - col_of(rank) / F.greatest(col_of(kept), F.lit(1)), 4)
 
 
+#: Bits of a candidate's place that hold its rank; the source's number stands above them.
+SOURCE_SHIFT = 48
+
+
 def merge_candidates(code: DataFrame, entities: DataFrame, web: DataFrame, video: DataFrame,
                      cfg: Tunables = DEFAULTS) -> DataFrame:
     """(query_id, pos, source_type, ref, url, fetched_at, rerank_text, score).
@@ -58,7 +62,7 @@ def merge_candidates(code: DataFrame, entities: DataFrame, web: DataFrame, video
     ]
     parts = [
         df.select(
-            "query_id", (F.lit(order).cast("bigint") * 1_000_000 + F.col("rank")).alias("pos"),
+            "query_id", (F.shiftleft(F.lit(order).cast("bigint"), SOURCE_SHIFT) + F.col("rank")).alias("pos"),
             F.lit(kind).alias("source_type"), ref.alias("ref"), url.alias("url"), fetched.alias("fetched_at"),
             body.alias("rerank_text"), score.cast("double").alias("score"))
         for order, (df, kind, ref, url, fetched, body, score) in enumerate(shapes)
@@ -71,15 +75,18 @@ def rerank(candidates: DataFrame, scorer: Callable | None = None, queries: DataF
     """Best ``rerank_top_n`` candidates per query with a 1-based rank.
 
     A plugged-in ``(query texts, documents) -> scores`` replaces the scores (4
-    decimals); without one the candidates' own scores order them. Ties keep ``pos``.
+    decimals); without one, or where it fails, the candidates' own scores order them. Ties keep ``pos``.
     """
     if scorer is not None:
         @F.pandas_udf("double")
         def run(query: pd.Series, text: pd.Series) -> pd.Series:
-            return pd.Series(scorer(query.tolist(), text.fillna("").tolist()), index=text.index, dtype="float64")
+            try:
+                return pd.Series(scorer(query.tolist(), text.fillna("").tolist()), index=text.index, dtype="float64")
+            except Exception:  # any failure of the plugged-in model leaves these rows their own scores
+                return pd.Series(None, index=text.index, dtype="float64")
 
         asked = candidates.join(queries.select("query_id", "query"), "query_id")
-        candidates = asked.withColumn("score", F.round(run("query", "rerank_text"), 4)).drop("query")
+        candidates = asked.withColumn("score", F.coalesce(F.round(run("query", "rerank_text"), 4), "score")).drop("query")
     return top_k(candidates, ["query_id"], [F.desc("score"), F.col("pos")], cfg.rerank_top_n)
 
 

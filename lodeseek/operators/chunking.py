@@ -23,6 +23,7 @@ CODE_CHUNK = T.StructType([
     T.StructField("start_line", T.IntegerType(), False),
     T.StructField("end_line", T.IntegerType(), False),
     T.StructField("text", T.StringType(), False),
+    T.StructField("doc", T.StringType(), False),
 ])
 
 
@@ -46,17 +47,12 @@ def code_chunks(files: DataFrame, cfg: Tunables = DEFAULTS, length=splitting.tok
 def embed_input(chunks: DataFrame, out: str = "embed_text") -> DataFrame:
     """Text given to the embedder: path, signature and doc line above the code."""
 
-    @F.pandas_udf("string")
-    def doc(lang: pd.Series, signature: pd.Series, text: pd.Series) -> pd.Series:
-        return pd.Series([splitting.doc_line(*row) for row in zip(lang, signature, text)], dtype=object)
-
     def line(label, value):
         return F.when(value != "", F.concat(F.lit(f"# {label}: "), value))
 
-    header = chunks.withColumn("_doc", doc("lang", "signature", "text"))
-    return header.withColumn(out, F.concat_ws(
+    return chunks.withColumn(out, F.concat_ws(
         "\n", F.concat(F.lit("# path: "), F.col("path")), line("signature", F.col("signature")),
-        line("doc", F.col("_doc")), F.col("text"))).drop("_doc")
+        line("doc", F.col("doc")), F.col("text")))
 
 
 def metadata(chunks: DataFrame, indexed_at: str) -> DataFrame:

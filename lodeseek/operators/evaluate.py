@@ -80,21 +80,21 @@ def context_scores(ranked: DataFrame, truth: DataFrame, k: int = DEFAULTS.eval_t
 def hit_context(hits: DataFrame, cfg: Tunables = DEFAULTS) -> DataFrame:
     """(query_id, contexts, chunk_ids, context_text) of code hits for one evaluation."""
     body = F.concat(F.coalesce("signature", F.lit("")), F.lit("\n"), F.coalesce("text", F.lit("")))
-    return _contexts(hits.select("query_id", "rank", "chunk_id", body.alias("body")), cfg)
+    return _contexts(hits.select("query_id", F.lit(0).alias("part"), "rank", "chunk_id", body.alias("body")), cfg)
 
 
 def graph_context(chunks: DataFrame, communities: DataFrame, cfg: Tunables = DEFAULTS) -> DataFrame:
     """The same for graph hits: chunk texts, then the first community summaries; ranks 1-based."""
-    texts = chunks.select("query_id", (F.col("rank") - 1).alias("rank"), "chunk_id", F.col("text").alias("body"))
+    texts = chunks.select("query_id", F.lit(0).alias("part"), (F.col("rank") - 1).alias("rank"), "chunk_id", F.col("text").alias("body"))
     notes = top_k(communities, ["query_id"], [F.col("rank")], cfg.eval_communities, "_n").select(
-        "query_id", (F.col("_n") + 999).alias("rank"), F.lit(None).cast("string").alias("chunk_id"),
+        "query_id", F.lit(1).alias("part"), F.col("_n").alias("rank"), F.lit(None).cast("string").alias("chunk_id"),
         F.col("summary").alias("body"))
     return _contexts(texts.unionByName(notes), cfg, cfg.eval_top_k + cfg.eval_communities)
 
 
 def _contexts(rows: DataFrame, cfg: Tunables, limit: int | None = None) -> DataFrame:
     gathered = rows.groupBy("query_id").agg(
-        F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "body"))).alias("_r"))
+        F.array_sort(F.collect_list(F.struct("part", "rank", "chunk_id", "body"))).alias("_r"))
     bodies = F.transform("_r", lambda r: r["body"])
     bodies = F.slice(bodies, 1, limit) if limit else bodies
     shown = F.slice(bodies, 1, cfg.eval_context_k)

@@ -32,9 +32,9 @@ video AS (
 candidates AS (
   SELECT query_id, rank AS pos, 'code' AS source_type, chunk_id AS ref, NULL AS url,
          signature || chr(10) || left(text, 600) AS rerank_text, round(1 - rank / 10.0, 4)::DOUBLE AS score FROM code
-  UNION ALL SELECT query_id, 1000000 + rank, 'textbook', id, NULL, name || ': ', round(score, 4) FROM ents
-  UNION ALL SELECT query_id, 2000000 + rank, 'web', NULL, url, chr(10) || left(url, 600), score FROM web
-  UNION ALL SELECT query_id, 3000000 + rank, 'youtube', NULL, url, 'view' || chr(10) || left(props, 600), score FROM video),
+  UNION ALL SELECT query_id, 281474976710656 + rank, 'textbook', id, NULL, name || ': ', round(score, 4) FROM ents
+  UNION ALL SELECT query_id, 562949953421312 + rank, 'web', NULL, url, chr(10) || left(url, 600), score FROM web
+  UNION ALL SELECT query_id, 844424930131968 + rank, 'youtube', NULL, url, 'view' || chr(10) || left(props, 600), score FROM video),
 reranked AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM candidates QUALIFY rank <= 8)
 """

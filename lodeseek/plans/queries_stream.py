@@ -17,7 +17,7 @@ def cut_stream(frames, chars: int = 61):
     """Wire text of ordered frames (stream_id, seq, wire), cut into pieces that ignore line ends."""
     starts = F.sequence(F.lit(1), F.length("wire"), F.lit(chars))
     piece = frames.select("stream_id", "seq", "wire", F.posexplode(starts).alias("n", "at"))
-    return piece.select("stream_id", (F.col("seq") * 1_000_000 + F.col("n")).alias("seq"),
+    return piece.select("stream_id", (F.shiftleft(F.col("seq").cast("bigint"), 31) + F.col("n")).alias("seq"),
                         F.substring(F.col("wire"), F.col("at"), F.lit(chars)).alias("chunk"))
 
 

@@ -38,21 +38,25 @@ def emit_events(answers: DataFrame) -> DataFrame:
     keep = {"ignoreNullFields": "false"}
     answer = F.struct("query", "summary", "code_examples", "sources", "missing_sources", "used_models")
 
-    def rows(stage: int, pos: Column, data: Column) -> DataFrame:
-        return answers.select(sid, (F.lit(stage * 1_000_000).cast("bigint") + pos).alias("seq"),
-                              F.lit(STAGES[stage]).alias("event"), data.alias("data"))
+    size = lambda array: F.greatest(F.coalesce(F.size(array), F.lit(0)), F.lit(0)).cast("bigint")
+    listed, shown = size("sources"), size("code_examples")
+    # Each event's place follows from the lengths of the lists before it.
+    first = (F.lit(0).cast("bigint"), F.lit(1).cast("bigint"), 1 + listed, 2 + listed, 2 + listed + shown)
+
+    def rows(stage: int, data: Column) -> DataFrame:
+        return answers.select(sid, first[stage].alias("seq"), F.lit(STAGES[stage]).alias("event"), data.alias("data"))
 
     def each(stage: int, array: str, payload) -> DataFrame:
-        items = answers.select(sid, F.posexplode(array).alias("p", "item"))
-        return items.select("stream_id", (F.lit(stage * 1_000_000).cast("bigint") + F.col("p")).alias("seq"),
+        items = answers.select(sid, first[stage].alias("_first"), F.posexplode(array).alias("p", "item"))
+        return items.select("stream_id", (F.col("_first") + F.col("p")).alias("seq"),
                             F.lit(STAGES[stage]).alias("event"), payload(F.col("item")).alias("data"))
 
     parts = [
-        rows(0, F.lit(0), F.to_json(F.struct("missing_sources"), keep)),
+        rows(0, F.to_json(F.struct("missing_sources"), keep)),
         each(1, "sources", source_payload),
-        rows(2, F.lit(0), F.to_json(F.struct("summary"), keep)),
+        rows(2, F.to_json(F.struct("summary"), keep)),
         each(3, "code_examples", lambda item: F.to_json(item, keep)),
-        rows(4, F.lit(0), F.to_json(answer, keep)),
+        rows(4, F.to_json(answer, keep)),
     ]
     return reduce(DataFrame.unionByName, parts)
 

@@ -10,58 +10,65 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 EVENTS = "stream_id string, event_no long, event string, data string"
-# Carried between batches: unfinished line, event name, data lines, next number, trailing CR.
-STATE = "rest string, event string, data array<string>, next_no long, after_cr boolean"
+# Carried between batches: text after the last blank line, blank lines so far, and whether a CR came last.
+STATE = "pending string, blanks long, after_cr boolean"
 # Events that end a result stream.
 FINAL = ("done", "error")
+_FIELD = re.compile(r"^(event|data):(.*)$", re.M)
 
 
-def feed(state: tuple, chunk: str) -> tuple[tuple, list[tuple]]:
-    """Advance the carried state by one chunk; returns the events it closed."""
-    rest, event, data, number, after_cr = state
-    if not chunk:
-        return state, []
-    if after_cr and chunk.startswith("\n"):
-        chunk = chunk[1:]
-        if not chunk:
-            return (rest, event, data, number, False), []
-    *lines, rest = re.split(r"\r\n|\r|\n", rest + chunk)
-    closed, data = [], list(data)
-    for line in lines:
-        name, _, value = line.partition(":")
-        if not line:
-            if data:
-                closed.append((number, event or "message", "\n".join(data)))
-            event, data, number = "", [], number + 1
-        elif line.startswith("event:"):
-            event = value.strip()
-        elif line.startswith("data:"):
-            data.append(value.strip())
-    return (rest, event, data, number, chunk.endswith("\r")), closed
-
-
-def _advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    carried = tuple(state.get) if state.exists else ("", "", [], 0, False)
-    rows = pd.concat(list(frames)).sort_values("seq")
-    out = []
-    for chunk in rows["chunk"]:
-        carried, closed = feed(carried, chunk)
-        out += [(key[0], *event) for event in closed]
-    if out and out[-1][2] in FINAL and not carried[0] and not carried[2]:
-        state.remove()
-    else:
-        state.update(carried)
-    yield pd.DataFrame(out, columns=["stream_id", "event_no", "event", "data"])
-
-
-def tokenize_stream(chunks: DataFrame) -> DataFrame:
+def advance(pending: str, blanks: int, after_cr: bool, text: str) -> tuple[tuple[str, int, bool], list[tuple[int, str, str]]]:
+    """Add ``text`` to an open stream: the new state, and (event_no, event, data) of the events it closed.
+
+    Numbering is that of ``events.tokenize``: an event's number is the count of blank lines before it.
+    """
+    if not text:
+        return (pending, blanks, after_cr), []
+    ends_cr = text.endswith("\r")
+    if after_cr:
+        text = text.removeprefix("\n")
+    # a blank line is a break at the start of the open text or right after another break
+    blocks = re.split(r"(?<=\n)\n|^\n", pending + re.sub(r"\r\n?", "\n", text))
+    closed = []
+    for number, block in enumerate(blocks[:-1], blanks):
+        fields = pd.DataFrame(_FIELD.findall(block), columns=["name", "value"])
+        values = fields["value"].str.strip().groupby(fields["name"]).agg(list)
+        if "data" in values:
+            closed.append((number, (values.get("event") or [""])[-1] or "message", "\n".join(values["data"])))
+    return (blocks[-1], blanks + len(blocks) - 1, ends_cr), closed
+
+
+def _advancer(idle_ms: int | None):
+    columns = ["stream_id", "event_no", "event", "data"]
+
+    def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=columns)
+            return
+        rows = pd.concat(list(frames)).sort_values("seq")
+        carried, closed = advance(*(state.get if state.exists else ("", 0, False)), "".join(rows["chunk"]))
+        if closed and closed[-1][1] in FINAL and not carried[0]:
+            if state.exists:
+                state.remove()
+        else:
+            state.update(carried)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame([(key[0], *event) for event in closed], columns=columns)
+
+    return run
+
+
+def tokenize_stream(chunks: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Streaming counterpart of ``events.tokenize`` for (stream_id, seq, chunk).
 
-    State per stream is one open line and one open event; it is dropped when the
-    stream's final event closes, so finished streams keep nothing. Chunks of one stream must arrive in ``seq`` order across batches.
+    State per stream is one open event. It is dropped when the stream's final event closes, or after ``idle_ms`` of silence
+    where that is given (for queries that run on; a run over what is available would wait for the timeouts).
+    Chunks of one stream must arrive in ``seq`` order across batches.
     """
-    return chunks.groupBy("stream_id").applyInPandasWithState(
-        _advance, EVENTS, STATE, "append", GroupStateTimeout.NoTimeout)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
+    return chunks.groupBy("stream_id").applyInPandasWithState(_advancer(idle_ms), EVENTS, STATE, "append", timeout)
 
 
 def emit_batches(answers: DataFrame, write_events, checkpoint: str):

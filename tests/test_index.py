@@ -107,8 +107,8 @@ def test_incremental_run(spark, tree, tmp_path):
 
 
 def test_embed_input(spark):
-    df = spark.createDataFrame([("a.py", "python", "def f()", 'def f():\n    """Doc."""'), ("b.js", "javascript", "", "x")],
-                               "path string, lang string, signature string, text string")
+    df = spark.createDataFrame([("a.py", "python", "def f()", 'def f():\n    """Doc."""', "Doc."), ("b.js", "javascript", "", "x", "")],
+                               "path string, lang string, signature string, text string, doc string")
     got = [r["embed_text"] for r in embed_input(df).orderBy("path").collect()]
     assert got == ['# path: a.py\n# signature: def f()\n# doc: Doc.\ndef f():\n    """Doc."""', "# path: b.js\nx"]
 

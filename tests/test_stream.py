@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodeseek.streaming import events as V
-from lodeseek.streaming.live import emit_batches, feed, tokenize_stream
+from lodeseek.streaming.live import emit_batches, advance, tokenize_stream
 
 CHUNK = "stream_id string, seq long, chunk string"
 
@@ -44,9 +44,9 @@ def test_tokenize_cases(spark, rows, monkeypatch):
 @pytest.mark.parametrize("name", CASES)
 def test_feed_cases(name):
     pieces, expected = CASES[name]
-    state, out = ("", "", [], 0, False), []
+    state, out = ("", 0, False), []
     for piece in pieces:
-        state, closed = feed(state, piece)
+        state, closed = advance(*state, piece)
         out += [(e, d) for _, e, d in closed]
     assert out == expected
 
