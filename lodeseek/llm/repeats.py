@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from lodeseek.llm.common import Scratch
-from lodeseek.llm.hashing import WordHasher, mix
+from lodeseek.llm.hashing import byte_hashes, byte_words, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WINDOW = 50
@@ -33,7 +33,7 @@ WINDOW = 50
 #: (the same ones in every document) fall back on symbols of pairs alone.
 PLAN, PAIRS_ONLY = "rpppppp", "pppppp"
 #: Words worked on at once.
-CHUNK_WORDS = 100_000
+CHUNK_WORDS = 50_000
 FAR = 1 << 60
 NO_ID = (1 << 63) - 1
 _C = np.uint64(0x9E3779B97F4A7C15)
@@ -86,11 +86,11 @@ def recompress(names: np.ndarray, doc: np.ndarray, plan: str = PLAN) -> tuple[np
 
 
 class Chunk:
-    """Documents of at least ``WINDOW`` words, worked on together."""
+    """Documents of at least ``WINDOW`` words (their hashes), worked on together."""
 
-    def __init__(self, words: list[list[str]], hasher: WordHasher):
+    def __init__(self, words: list[np.ndarray]):
         self.lengths = np.array([len(w) for w in words], np.int64)
-        self.ids = hasher([x for w in words for x in w])
+        self.ids = np.concatenate(words)
         self.begin = np.r_[0, np.cumsum(self.lengths)[:-1]].astype(np.int64)
         self.final = self.begin + self.lengths - WINDOW  # last start of a window
         self.doc = np.repeat(np.arange(len(words)), self.lengths)
@@ -98,6 +98,7 @@ class Chunk:
         self._keep(*recompress(self.ids, self.doc))
         self.top = len(self.names)
         bare = self.starts & ~self.covered(np.arange(self.top))
+        self.bare = bare
         if bare.any():
             top = self.names, self.low, self.high
             loose = np.zeros(len(words), bool)
@@ -132,6 +133,11 @@ class Chunk:
         steps = np.bincount(start, minlength=len(self.ids) + 1) - np.bincount(end, minlength=len(self.ids) + 1)
         return np.cumsum(steps)[:-1]
 
+    def holds(self, which: np.ndarray) -> np.ndarray:
+        """Starts of windows that contain one of the marked symbols; the fallback's symbols count in the windows they are for."""
+        places = np.flatnonzero(which)
+        return self.covered(places[places < self.top]) | (self.bare & self.covered(places[places >= self.top]))
+
     def needed(self) -> np.ndarray:
         """Per document, the fewest symbols in a row that any of its windows holds; 0 if a window holds none.
 
@@ -153,17 +159,17 @@ class Chunk:
         return out
 
 
-def _chunks(items: Iterator[tuple], hasher: WordHasher) -> Iterator[tuple[list[tuple], Chunk]]:
-    """Items, whose second part is a list of words, in lists of bounded length."""
+def _chunks(items: Iterator[tuple]) -> Iterator[tuple[list[tuple], Chunk]]:
+    """Items, whose second part is an array of word hashes, in lists of bounded length."""
     waiting, count = [], 0
     for item in items:
         waiting.append(item)
         count += len(item[1])
         if count >= CHUNK_WORDS:
-            yield waiting, Chunk([w[1] for w in waiting], hasher)
+            yield waiting, Chunk([w[1] for w in waiting])
             waiting, count = [], 0
     if waiting:
-        yield waiting, Chunk([w[1] for w in waiting], hasher)
+        yield waiting, Chunk([w[1] for w in waiting])
 
 
 def _digest(words: list[str]) -> bytes:
@@ -171,19 +177,19 @@ def _digest(words: list[str]) -> bytes:
 
 
 def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hasher = WordHasher()
     for batch in batches:
         size = batch.num_rows
         counts, digests, symbols, needed = [0] * size, [b""] * size, [None] * size, [1] * size
 
         def long_texts():
             for i, text in enumerate(batch.column(1)):
-                words = WORD.findall(text.as_py() or "")
-                counts[i], digests[i] = len(words), _digest(words)
+                data = byte_words(text.as_py())
+                words = byte_hashes(data)
+                counts[i], digests[i] = len(words), hashlib.sha256(data).digest()
                 if len(words) >= WINDOW:
                     yield i, words
 
-        for items, chunk in _chunks(long_texts(), hasher):
+        for items, chunk in _chunks(long_texts()):
             order = np.argsort(chunk.owner, kind="stable")
             edges = np.searchsorted(chunk.owner[order], np.arange(len(items) + 1))
             for j, ((i, _), need) in enumerate(zip(items, chunk.needed().tolist())):
@@ -195,23 +201,22 @@ def _symbol_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Windows that may repeat: two hashes, id, digest, first word, and whether they may be removed."""
-    hasher = WordHasher()
     for batch in batches:
         def texts():
             for i, (text, digest, shared, mine) in enumerate(zip(*(batch.column(c) for c in range(1, 5)))):
-                words = WORD.findall(text.as_py())
-                if _digest(words) == digest.as_py():
-                    yield i, words, *(np.array(x.as_py() or [], np.int64).view(np.uint64) for x in (shared, mine))
+                data = byte_words(text.as_py())
+                if hashlib.sha256(data).digest() == digest.as_py():
+                    yield i, byte_hashes(data), *(np.array(x.as_py() or [], np.int64).view(np.uint64) for x in (shared, mine))
 
-        for part, chunk in _chunks(texts(), hasher):
+        for part, chunk in _chunks(texts()):
             known, own = np.zeros(len(chunk.names), bool), np.zeros(len(chunk.names), bool)
             for j, (_, _, shared, mine) in enumerate(part):
                 here = chunk.owner == j
                 known[here] = np.isin(chunk.names[here], shared)
                 own[here] = np.isin(chunk.names[here], mine)
-            maybe = chunk.starts & ~chunk.covered(np.flatnonzero(~known))
+            maybe = chunk.starts & ~chunk.holds(~known)
             at = np.flatnonzero(maybe)
-            target = ~chunk.covered(np.flatnonzero(own))[at]
+            target = ~chunk.holds(own)[at]
             first, second = chunk.hashes(at)
             row = np.array([p[0] for p in part])[chunk.doc[at]] if len(at) else np.zeros(0, np.int64)
             row = pa.array(row, pa.int64())

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.llm import chat, contamination, exact, language, licenses, mixing, near, pii, repeats, toxicity
+from lodeseek.llm import chat, contamination, exact, hashing, language, licenses, mixing, near, pii, repeats, toxicity
 from lodeseek.llm.common import Scratch
 
 SCHEMA = ("doc_id long, text string, lang string, source string, digest string, key string, score double, n long, words string, "
@@ -158,6 +158,30 @@ def test_repeats(spark, docs, empty):
     assert repeats.dedup(empty, scratch(spark)).count() == 0
 
 
+def test_repeats_between_runs_and_passages(spark):
+    """Passages, long runs and periods mixed at random."""
+    rng, rows = random.Random(5), []
+    pool = [prose(100 + k, rng.choice([52, 60, 90]), 300) for k in range(12)]
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            k = rng.random()
+            parts.append(rng.choice(pool) if k < .35 else " ".join([f"r{rng.randrange(3)}"] * rng.choice([10, 28, 40, 60])) if k < .6
+                         else " ".join([f"p{rng.randrange(2)} q"] * rng.choice([10, 30])) if k < .7 else prose(rng.random(), rng.randrange(1, 40), 300))
+        rows.append((i, " ".join(parts), "en", "s"))
+    got = {(r["doc_id"], r["n_words"]): (r["n_removed"], r["kept_digest"]) for r in repeats.dedup(frame(spark, rows), scratch(spark)).collect()}
+    assert got == brute_repeats(rows, repeats.WINDOW)
+
+
+def test_byte_hashes_depend_on_the_word_alone():
+    size = hashing.PART
+    for text in ("a b\tc\x0b\x0cd\r\n\x1c x\x85y é z", "", "q" * size + " b", "b " + "q" * size, "q" * (size * 2) + " r " + "q" * size, "x " * 70_000 + "b"):
+        words = re.findall(r"[^\x20\x09-\x0D]+", text)
+        found = hashing.byte_hashes(hashing.byte_words(text))
+        assert len(words) == len(found)
+        assert all(hashing.byte_hashes(w.encode())[0] == h for w, h in [*zip(words, found)][:20] + [*zip(words, found)][-20:])
+
+
 def test_symbols_agree_inside_equal_passages():
     rng = np.random.default_rng(0)
     middle = rng.integers(0, 1 << 60, 80).astype(np.uint64)
