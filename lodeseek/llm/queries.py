@@ -167,7 +167,15 @@ def format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-@query("op5_repeats")
+@query("op5_repeats", r"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM d, unnest(range(1, len(w) - 48)) AS u(i)),
+hit AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS m FROM win) WHERE m < doc_id),
+gone AS (SELECT DISTINCT doc_id, p FROM hit, unnest(range(i, i + 50)) AS u(p)),
+word AS (SELECT doc_id, unnest(w) AS x, CAST(generate_subscripts(w, 1) AS BIGINT) AS p FROM d),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY p) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, p) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""")
 def remove_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.dedup(read(spark, sf_dir, "documents"), Scratch(spark, "op5"))
     return out.select("doc_id", "n_words", "n_removed", F.col("kept_digest").alias("kept_sha256"))
