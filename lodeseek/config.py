@@ -64,6 +64,7 @@ def env_flag(key: str, default: bool) -> bool:
     return default if raw is None else raw.strip().lower() in {"1", "true", "yes", "y", "on"}
 
 
+# The defaults below; results depend on them.
 @dataclass(frozen=True)
 class Tunables:
     """Every parameter of every operator, with the documented default."""
