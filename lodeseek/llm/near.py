@@ -7,7 +7,8 @@ agrees too. Of ``SKETCHES`` sketches, texts at the threshold 0.8 share at least
 Equal word sequences are one text from here on. Texts that share a sketch form a bucket. Buckets are never expanded into
 pairs: each first compares its members to its most widely shared text alone. What is still split after that is compared
 in full if small; in a large bucket, neighbours in the order of the other sketches are compared, round after round until
-no new link is found.
+no new link is found. What large buckets still hold apart then meets in an exact prefix-filtered join: texts this similar
+share one of the rarest fifth of their shingles, so a passage that many texts share joins nothing.
 
 A candidate pair is verified by a banded alignment of the words (greedy, within the diagonals that the threshold allows):
 similarity = aligned shingles / (shingles of both - aligned). Linked texts form classes.
@@ -218,6 +219,49 @@ def _neighbours(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def packed(rows):
+        docs, components, tokens = zip(*rows)
+        lengths = [len(t) for t in tokens]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(docs, lengths), pa.int64()), pa.array(np.repeat(components, lengths), pa.int64()),
+             pa.array(np.repeat(lengths, lengths), pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))],
+            ["doc", "component", "size", "token"])
+
+    rows, cells = [], 0
+    for batch in batches:
+        for doc, component, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            rows.append((doc, component, labelled(ngrams(np.frombuffer(raw, np.uint32).astype(np.uint64), SHINGLE))))
+            cells += len(rows[-1][2])
+            if cells >= CELLS:
+                yield packed(rows)
+                rows, cells = [], 0
+    if rows:
+        yield packed(rows)
+
+
+def _prefix_pairs(apart: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of ``apart`` (doc, component) in different components that share a token of their prefixes.
+
+    Similarity t needs t * size shared shingles, so the size - ceil(t * size) + 1 rarest of each text can't all differ.
+    Prefix tokens that one component alone has join nothing and are dropped before the join.
+    """
+    rows = apart.join(words, "doc").select("doc", "component", "words").mapInArrow(
+        _shingle_rows, "doc long, component long, size long, token long")
+    rows = scratch.put(rows, "shingles")
+    counts = scratch.put(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+                         .where("_lo != _hi").select("token", "n"), "shared")
+    # tokens of one component rank first: they use up places of a prefix like any other rare token
+    rank = Window.partitionBy("doc").orderBy(F.coalesce("n", F.lit(0)), "token")
+    need = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-9) + 1
+    prefix = rows.join(counts, "token", "left").withColumn("_r", F.row_number().over(rank)).where((F.col("_r") <= need) & F.col("n").isNotNull())
+    prefix = scratch.put(prefix.select("token", "doc", "component", "size"), "prefix")
+    left = prefix.select("token", F.col("doc").alias("a"), F.col("component").alias("_ca"), F.col("size").alias("_na"))
+    right = prefix.select("token", F.col("doc").alias("b"), F.col("component").alias("_cb"), F.col("size").alias("_nb"))
+    fits = (F.least("_na", "_nb") >= THRESHOLD * F.greatest("_na", "_nb") - 1e-9) & (F.col("_ca") != F.col("_cb"))
+    return left.join(right, "token").where(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+
+
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, class_id, class_size of every row."""
     rows = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
@@ -252,6 +296,12 @@ def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
         more = not new.isEmpty()
         if more:
             links, tested, buckets = scratch.put(links.union(new), "links"), scratch.put(tested.union(pairs), "tested"), named.drop("component", "n")
+    apart = scratch.put(named.where(F.col("n") > SMALL).select("doc", "component").distinct(), "apart")
+    if not apart.isEmpty():
+        pairs = _prefix_pairs(apart, words, scratch).join(tested, ["a", "b"], "left_anti")
+        new = _verified(scratch.put(_agreeing(pairs, texts), "pairs"), words, scratch)
+        if not new.isEmpty():
+            found = components(scratch.put(links.union(new), "links"), scratch)
     # back to the rows: only texts with copies or links can have another class than their own id
     joined = texts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class_id", F.coalesce("component", "doc"))
     sizes = joined.groupBy("class_id").agg(F.sum("copies").alias("class_size")).where("class_size > 1")

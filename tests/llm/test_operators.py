@@ -119,6 +119,27 @@ def test_near_family_and_rounds(spark):
     assert {r["class_id"] for r in near.classes(frame(spark, rows), scratch(spark)).collect()} == {0}
 
 
+def test_near_prefix_join_finds_what_large_buckets_hold_apart(spark, monkeypatch):
+    """Texts around one passage, without any other comparison inside buckets, against all pairs."""
+    monkeypatch.setattr(near, "SMALL", 1)
+    monkeypatch.setattr(near, "_neighbours", lambda members, texts: members.where("false").select(F.col("doc").alias("a"), F.col("doc").alias("b")))
+    passage, rows = prose(5, 150, 10_000), []
+    for i in range(40):
+        own = prose(100 + i // 2, 100, 10_000).split()
+        if i % 2:
+            own[50] = "other"
+        rows.append((i, f"{passage} {' '.join(own)}", "en", "s"))
+    hasher = hashing.WordHasher()
+    words = [hasher(r[1].split()) for r in rows]
+    group = list(range(40))
+    for a in range(40):
+        for b in range(a + 1, 40):
+            if near.alignment(words[a], words[b]) >= near.THRESHOLD:
+                group = [group[a] if g == group[b] else g for g in group]
+    got = {r["doc_id"]: r["class_id"] for r in near.classes(frame(spark, rows), scratch(spark)).collect()}
+    assert got == dict(enumerate(group)) and len(set(group)) == 20
+
+
 def test_alignment_is_ordered():
     rng = np.random.default_rng(4)
     a = rng.integers(0, 9999, 300).astype(np.uint32)
