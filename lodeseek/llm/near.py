@@ -244,7 +244,9 @@ def _prefix_pairs(apart: DataFrame, words: DataFrame, scratch: Scratch) -> DataF
     """Pairs of ``apart`` (doc, component) in different components that share a token of their prefixes.
 
     Similarity t needs t * size shared shingles, so the size - ceil(t * size) + 1 rarest of each text can't all differ.
-    Prefix tokens that one component alone has join nothing and are dropped before the join.
+    Of the shared tokens the first stands before all others, so what follows it in both texts must be enough for
+    t / (1 + t) of both sizes (positional bound): texts that share less than that never become a pair. Prefix tokens
+    that one component alone has join nothing and are dropped before the join.
     """
     rows = apart.join(words, "doc").select("doc", "component", "words").mapInArrow(
         _shingle_rows, "doc long, component long, size long, token long")
@@ -255,11 +257,11 @@ def _prefix_pairs(apart: DataFrame, words: DataFrame, scratch: Scratch) -> DataF
     rank = Window.partitionBy("doc").orderBy(F.coalesce("n", F.lit(0)), "token")
     need = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-9) + 1
     prefix = rows.join(counts, "token", "left").withColumn("_r", F.row_number().over(rank)).where((F.col("_r") <= need) & F.col("n").isNotNull())
-    prefix = scratch.put(prefix.select("token", "doc", "component", "size"), "prefix")
-    left = prefix.select("token", F.col("doc").alias("a"), F.col("component").alias("_ca"), F.col("size").alias("_na"))
-    right = prefix.select("token", F.col("doc").alias("b"), F.col("component").alias("_cb"), F.col("size").alias("_nb"))
-    fits = (F.least("_na", "_nb") >= THRESHOLD * F.greatest("_na", "_nb") - 1e-9) & (F.col("_ca") != F.col("_cb"))
-    return left.join(right, "token").where(fits & (F.col("a") < F.col("b"))).select("a", "b").distinct()
+    prefix = scratch.put(prefix.select("token", "doc", "component", "size", (F.col("size") - F.col("_r") + 1).alias("rest")), "prefix")
+    left, right = (prefix.select("token", F.col("doc").alias(x), F.col("component").alias(f"_c{x}"), F.col("size").alias(f"_n{x}"),
+                                 F.col("rest").alias(f"_r{x}")) for x in "ab")
+    enough = F.least("_ra", "_rb") >= THRESHOLD / (1 + THRESHOLD) * (F.col("_na") + F.col("_nb")) - 1e-9
+    return left.join(right, "token").where(enough & (F.col("_ca") != F.col("_cb")) & (F.col("a") < F.col("b"))).select("a", "b").distinct()
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
