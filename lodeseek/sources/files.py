@@ -50,14 +50,15 @@ def code_files(spark: SparkSession, base: str, globs: Sequence[str] = EXCLUDED_G
                cfg: Tunables = DEFAULTS) -> DataFrame:
     """(path, abs_path, lang, size, sha256, content) of the indexable files under ``base``.
 
-    Size and name rules use file metadata, so excluded files are never read.
+    Name rules look at file metadata alone, which Spark applies while it lists the files, and size rules reach the
+    reader: excluded files are never opened.
     """
     if not path_exists(spark, base):
         raise FileNotFoundError(f"no such corpus folder: {base}")
     listed = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
         .select(F.col("path").alias("abs_path"), F.col("length").alias("size"), "content")
-        .withColumn("rel_path", _relative(base, "abs_path"))
+        .withColumn("rel_path", _relative(base, F.col("_metadata.file_path")))
     )
     kept = keep_code_files(listed, globs=globs, cfg=cfg)
     return kept.select(

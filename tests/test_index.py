@@ -143,3 +143,16 @@ def test_select_chunks(spark):
     only = spark.createDataFrame([("chunk_4",), ("chunk_1",), ("chunk_3",), ("nope",)], "chunk_id string")
     assert [r["seq"] for r in filters.select_chunks(df, only, 2).collect()] == [1, 3]
     assert filters.select_chunks(df, None, 0).count() == 5
+
+
+def test_excluded_files_are_pruned_while_listing(spark, tmp_path):
+    from lodeseek.sources.files import code_files
+
+    for name in ("a.py", "node_modules/b.py", "src/d e.ts", "x.bin"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    files = code_files(spark, str(tmp_path))
+    assert {r["path"] for r in files.collect()} == {"a.py", "src/d e.ts"}
+    plan = files._jdf.queryExecution().executedPlan()
+    scan = plan.collectLeaves().head()
+    assert "number of files read" in scan.metrics().apply("numFiles").toString() and scan.metrics().apply("numFiles").value() == 2
