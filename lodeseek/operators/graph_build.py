@@ -26,7 +26,7 @@ Extractor = Callable[[str], tuple[list[dict], list[dict]]]
 
 # ---- extraction -------------------------------------------------------------
 
-def term_graph(chunks: DataFrame, min_letters: int = 12, text: str = "text") -> DataFrame:
+def term_graph(chunks: DataFrame, min_letters: int = 8, text: str = "text") -> DataFrame:
     """Offline extraction, all expressions: long words are concepts, neighbours are linked.
 
     Adds ``nodes`` and ``rels``. Each distinct long word is a Concept and each one

@@ -28,8 +28,8 @@ WITH {LINES_SQL},
 chunks AS (SELECT *, row_number() OVER (ORDER BY doc_id, piece) - 1 AS seq FROM lines),
 terms AS (
   SELECT seq, min(pos) AS pos, term FROM (
-    SELECT seq, generate_subscripts(regexp_extract_all(line, '\\p{{L}}{{12,}}'), 1) AS pos,
-           unnest(regexp_extract_all(line, '\\p{{L}}{{12,}}')) AS term FROM chunks
+    SELECT seq, generate_subscripts(regexp_extract_all(line, '\\p{{L}}{{8,}}'), 1) AS pos,
+           unnest(regexp_extract_all(line, '\\p{{L}}{{8,}}')) AS term FROM chunks
   ) GROUP BY seq, term
 ),
 linked AS (SELECT seq, pos, term, lead(term) OVER (PARTITION BY seq ORDER BY pos) AS next FROM terms),
