@@ -1,15 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are words and word beginnings of four to seven letters. Counts of every labelled text of the learning folds pick the terms that
-go with the label; idf comes from the same counts. Labelled texts become vectors over these terms, and a bounded sample
-of them is the index: postings in blocks of ``BLOCK`` examples with the greatest weight of each block. A search adds the
-block maxima of its terms to upper bounds, opens blocks from the highest bound, and stops when no unopened block can reach the
-k-th best: the result is exact. Votes of the k nearest, weighted by nearness, are calibrated on the examples themselves, each
-judged without itself. The nearest examples are the evidence.
-
-A text that holds no such term (null and empty texts too) gets the toxic share of labelled texts without one. Ties in
-nearness go to the smaller example id. Repeated rows get equal scores; several labels of one id count as toxic if any
-is; null labels and labels without a document are unused. Without toxic examples all scores are the share of toxic labels.
+Terms are words and word beginnings of four to seven letters. A bounded sample of the labelled texts of the learning folds is
+the index, with all their terms: no term is chosen or left out, so the vocabulary is that of the sample. Document counts over
+every labelled text give the terms' weights: idf times the deviation of the term's toxic share from chance (absolute z), so that
+terms that go with the label decide nearness and the others hardly move it. Terms that many examples have are scored as one
+matrix product per batch of texts, the others over their postings; what could be among the k nearest is scored again in full,
+so the result is exact and doesn't depend on the batch. Votes of the k nearest, weighted by nearness, are calibrated on the
+examples themselves, each judged without itself. The nearest examples are the evidence.
+
+A text without a weighted term of the sample (null and empty texts too) gets the toxic share of labelled texts like it. Copies of
+a labelled text count once, under their smallest id, as toxic if any is. Ties in nearness go to the smaller example id. Repeated
+rows get equal scores; several labels of one id count as toxic if any is; null labels and labels without a document are unused.
+Without toxic examples all scores are the share of toxic labels.
 """
 
 from __future__ import annotations
@@ -17,6 +19,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from itertools import chain
 from typing import Iterator
 
 import numpy as np
@@ -27,15 +30,17 @@ from lodeseek.llm.common import Scratch, fold_of
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIXES = (4, 5, 6, 7)
-#: Bounds of the model: terms, and examples in the index.
-TERMS, EXAMPLES = 1024, 4096
-#: A term needs so many toxic texts, and that deviation from chance.
-LEAST_SEEN, LEAST_Z = 6, 6.0
-BLOCK, NEIGHBOURS, EVIDENCE = 64, 10, 3
+#: Bound of the model: examples in the index.
+EXAMPLES = 4096
+NEIGHBOURS, EVIDENCE = 10, 3
+#: Texts searched at once; a term is common if one in so many examples has it.
+BATCH, COMMON = 128, 16
+#: Rounding of the batched scores; whatever comes this near to the k-th best is scored again.
+SLACK = 1e-4
 #: Weight of the prior among the votes; nearness is 1 / (NEAR + 1 - cosine).
 PRIOR, NEAR = 1.0, 0.1
 THRESHOLD = 0.7
-#: Terms a task counts, or words it remembers, before it starts anew.
+#: Words a task remembers before it starts anew.
 REMEMBERED = 200_000
 
 
@@ -43,93 +48,127 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:n] + "*" for n in PREFIXES if len(word) > n)]
 
 
-def _count_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """term, toxic, clean: texts that have the term, summed per task."""
-    toxic, clean = Counter(), Counter()
-
-    def flush():
+def _count_rows(shared):
+    """term, toxic, clean: texts that have the term of the vocabulary, summed per task; "" counts texts without any."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = shared.value
+        toxic, clean = Counter(), Counter()
+        for batch in batches:
+            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                found = {t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w) if t in vocabulary}
+                (toxic if label else clean).update(found or [""])
         names = list(toxic.keys() | clean.keys())
-        out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()),
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array([toxic[n] for n in names], pa.int64()),
                                           pa.array([clean[n] for n in names], pa.int64())], ["term", "toxic", "clean"])
-        toxic.clear(), clean.clear()
-        return out
 
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            (toxic if label else clean).update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-            if len(toxic) + len(clean) > REMEMBERED:
-                yield flush()
-    yield flush()
+    return work
 
 
 class Vectors:
-    """Sparse unit vectors of texts over the chosen terms."""
+    """Sparse unit vectors of texts over the vocabulary."""
 
     def __init__(self, terms: dict[str, int], idf: np.ndarray):
         self.terms, self.idf = terms, idf
-        self.plain: set[str] = set()
-        self.telling: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        words = WORD.findall(text.lower()) if text else []
-        distinct = set(words)
-        for w in distinct - self.plain - self.telling.keys():
-            found = [self.terms[t] for t in terms_of(w) if t in self.terms]
-            if found:
-                self.telling[w] = found
-            else:
-                self.plain.add(w)
-        counts: Counter = Counter()
-        if not distinct.isdisjoint(self.telling):
-            for w in filter(self.telling.__contains__, words):
-                counts.update(self.telling[w])
-        if len(self.plain) + len(self.telling) > REMEMBERED:
-            self.plain, self.telling = set(), {}
-        ids = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[i] for i in ids])) * self.idf[ids] if len(ids) else np.zeros(0)
+        counts = Counter(WORD.findall(text.lower()) if text else [])
+        if len(self.known) > REMEMBERED:
+            self.known = {}
+        known, terms, found = self.known, self.terms, []
+        for w in counts:
+            mine = known.get(w)
+            if mine is None:
+                mine = known[w] = tuple([terms[t] for t in terms_of(w) if t in terms])
+            found.append(mine)
+        all_ids = np.fromiter(chain.from_iterable(found), np.int64)
+        times = np.repeat(np.fromiter(counts.values(), np.float64, len(counts)), np.fromiter(map(len, found), np.int64, len(found)))
+        ids, place = np.unique(all_ids, return_inverse=True)
+        weights = (1 + np.log(np.bincount(place, times, len(ids)))) * self.idf[ids] if len(ids) else np.zeros(0)
+        ids, weights = ids[weights > 0], weights[weights > 0]
         return ids, weights / np.sqrt((weights ** 2).sum()) if len(ids) else weights
 
 
 @dataclass
 class BlockIndex:
-    """Postings of the terms in dense blocks of examples, and the greatest weight of each block."""
+    """The vectors of the examples, one after another, and their postings: common terms as a dense block, the rest sparse."""
 
-    impacts: np.ndarray  # term, block, place
-    greatest: np.ndarray  # term, block
+    places: np.ndarray  # first entry of each example
+    terms: np.ndarray
+    weights: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
+    size: int  # of the vocabulary
 
     @classmethod
     def build(cls, rows: list[tuple[int, int, np.ndarray, np.ndarray]], terms: int) -> "BlockIndex":
-        # examples with the same heaviest term lie together, which keeps the block maxima tight
-        rows = sorted(rows, key=lambda r: (int(r[2][np.argmax(r[3])]), r[0]))
-        blocks = max(1, -(-len(rows) // BLOCK))
-        impacts = np.zeros((terms, blocks, BLOCK), np.float32)
-        for n, (_, _, ids, weights) in enumerate(rows):
-            impacts[ids, n // BLOCK, n % BLOCK] = weights
-        return cls(impacts, impacts.max(2), np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64))
+        rows = sorted(rows, key=lambda r: r[0])
+        lengths = np.array([len(r[2]) for r in rows], np.int64)
+        return cls(np.r_[0, np.cumsum(lengths)], np.concatenate([np.zeros(0, np.int32), *(r[2].astype(np.int32) for r in rows)]),
+                   np.concatenate([np.zeros(0, np.float32), *(r[3].astype(np.float32) for r in rows)]),
+                   np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64), terms)
+
+    def __post_init__(self) -> None:
+        self._opened = False
+
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")} | {"_opened": False}
+
+    def _open(self) -> None:
+        """Postings by term; built where they are used, so they needn't travel."""
+        owner = np.repeat(np.arange(len(self.ids)), np.diff(self.places))
+        counts = np.bincount(self.terms, minlength=self.size)
+        common = np.flatnonzero(counts > len(self.ids) / COMMON)
+        self._row = np.full(self.size, -1, np.int64)
+        self._row[common] = np.arange(len(common))
+        self._dense = np.zeros((len(common), len(self.ids)), np.float32)
+        often = self._row[self.terms] >= 0
+        self._dense[self._row[self.terms[often]], owner[often]] = self.weights[often]
+        order = np.flatnonzero(~often)
+        order = order[np.argsort(self.terms[order], kind="stable")]
+        self._first = np.r_[0, np.cumsum(np.where(self._row >= 0, 0, counts))]
+        self._owner, self._impact = owner[order].astype(np.int32), self.weights[order]
+        self._query = np.zeros(self.size)
+        self._opened = True
+
+    def search_all(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int,
+                   without: list[int | None] | None = None) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(places, cosines) of the k nearest examples with a common term, nearest first, of each query."""
+        if not self._opened:
+            self._open()
+        out = []
+        for at in range(0, len(queries), BATCH):
+            part = queries[at:at + BATCH]
+            wide = np.zeros((len(part), len(self._dense)), np.float32)
+            for n, (ids, weights) in enumerate(part):
+                row = self._row[ids]
+                wide[n, row[row >= 0]] = weights[row >= 0]
+            rough = wide @ self._dense
+            for n, (ids, weights) in enumerate(part):
+                out.append(self._nearest(ids, weights, rough[n], k, without[at + n] if without else None))
+        return out
+
+    def _nearest(self, ids: np.ndarray, weights: np.ndarray, scores: np.ndarray, k: int, without: int | None) -> tuple[np.ndarray, np.ndarray]:
+        first, lengths = self._first[ids], self._first[ids + 1] - self._first[ids]
+        total = int(lengths.sum())
+        if total:
+            entries = np.arange(total) + np.repeat(first - np.r_[0, np.cumsum(lengths)[:-1]], lengths)
+            scores = scores + np.bincount(self._owner[entries], self._impact[entries] * np.repeat(weights, lengths), len(scores))
+        if without is not None:
+            scores = np.where(self.ids == without, -1.0, scores)
+        if len(scores) > k:
+            found = np.flatnonzero(scores >= np.partition(scores, -k)[-k] - SLACK)
+        else:
+            found = np.flatnonzero(scores >= 0)
+        found = found[scores[found] > 0]
+        self._query[ids] = weights
+        exact = np.array([(self._query[self.terms[a:b]] * self.weights[a:b]).sum() for a, b in zip(self.places[found], self.places[found + 1])])
+        self._query[ids] = 0.0
+        best = np.lexsort((self.ids[found], -np.round(exact, 6)))[:k]
+        return found[best], exact[best]
 
     def search(self, ids: np.ndarray, weights: np.ndarray, k: int, without: int | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(places, cosines) of the k nearest examples with a common term, nearest first."""
-        bounds = weights.astype(np.float32) @ self.greatest[ids]
-        order = np.argsort(-bounds, kind="stable")
-        places, cosines = np.zeros(0, np.int64), np.zeros(0, np.float32)
-        at, width = 0, 4
-        while at < len(order) and bounds[order[at]] > 0:
-            if len(places) == k and bounds[order[at]] < cosines[-1] - 1e-6:
-                break
-            wave = order[at:at + width]
-            scores = np.tensordot(weights.astype(np.float32), self.impacts[ids[:, None], wave[None]], 1)
-            found = (wave[:, None] * BLOCK + np.arange(BLOCK)).ravel()
-            keep = (scores.ravel() > 0) & (found < len(self.ids))
-            found, scores = np.r_[places, found[keep]], np.r_[cosines, scores.ravel()[keep]]
-            if without is not None:
-                mine = self.ids[found] != without
-                found, scores = found[mine], scores[mine]
-            best = np.lexsort((self.ids[found], -np.round(scores, 6)))[:k]
-            places, cosines = found[best], scores[best]
-            at, width = at + width, width * 2
-        return places, cosines
+        return self.search_all([(ids, weights)], k, [without])[0]
 
 
 @dataclass
@@ -141,19 +180,24 @@ class Model:
     without_terms: float
     curve: tuple[np.ndarray, np.ndarray]
 
-    def raw(self, ids: np.ndarray, weights: np.ndarray, without: int | None = None) -> tuple[float, np.ndarray, np.ndarray]:
-        places, cosines = self.index.search(ids, weights, NEIGHBOURS, without)
-        near = 1 / (NEAR + np.maximum(0, 1 - cosines.astype(np.float64)))
-        score = (float((near * self.index.toxic[places]).sum()) + PRIOR * self.prior) / (float(near.sum()) + PRIOR)
-        return score, places, cosines
-
-    def score(self, ids: np.ndarray, weights: np.ndarray) -> tuple[float, list[int], list[float]]:
-        if not len(ids):
-            return self.without_terms, [], []
-        raw, places, cosines = self.raw(ids, weights)
-        level = float(np.interp(raw, *self.curve))
-        return (min(1.0, max(0.0, 0.98 * level + 0.02 * raw)), self.index.ids[places[:EVIDENCE]].tolist(),
-                [round(float(c), 6) for c in cosines[:EVIDENCE]])
+    def raw(self, places: np.ndarray, cosines: np.ndarray) -> float:
+        near = 1 / (NEAR + np.maximum(0, 1 - cosines))
+        return (float((near * self.index.toxic[places]).sum()) + PRIOR * self.prior) / (float(near.sum()) + PRIOR)
+
+    def score_all(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, list[int], list[float]]]:
+        full = [q for q in queries if len(q[0])]
+        found = iter(self.index.search_all(full, NEIGHBOURS))
+        out = []
+        for ids, _ in queries:
+            if not len(ids):
+                out.append((self.without_terms, [], []))
+                continue
+            places, cosines = next(found)
+            raw = self.raw(places, cosines)
+            level = float(np.interp(raw, *self.curve))
+            out.append((min(1.0, max(0.0, 0.98 * level + 0.02 * raw)), self.index.ids[places[:EVIDENCE]].tolist(),
+                        [round(float(c), 6) for c in cosines[:EVIDENCE]]))
+        return out
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -176,45 +220,44 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     """Learn from the labelled rows of the learning folds."""
     marks = labels.where("toxic is not null and doc_id is not null").where(fold_of("doc_id", 3) != 1)
     marks = scratch.put(marks.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("mark")), "marks")
-    known = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(scratch.small(marks), "doc_id")
-    known = scratch.put(known, "known")
-    totals = known.agg(F.sum("mark"), F.count(F.lit(1))).first()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    known = known.join(scratch.small(marks), marks["doc_id"] == known["doc_id"]).select(known["doc_id"], "mark", "text")
+    known = scratch.put(known.withColumn("digest", F.sha2("text", 256)), "labelled")
+    # copies of a text count once
+    texts = known.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("mark").alias("mark"))
+    copies = texts.join(known.select("digest", F.col("doc_id").alias("_id"), "text").dropDuplicates(["digest", "_id"]), "digest")
+    known = scratch.put(copies.where("doc_id = _id").select("doc_id", "mark", "text"), "known")
+    lettered = F.col("text").rlike(r"\p{L}")
+    totals = known.agg(F.sum("mark"), F.count(F.lit(1)), F.sum(lettered.cast("int"))).first()
     positive, count = int(totals[0] or 0), int(totals[1])
     prior = positive / count if count else 0.0
-    counts = known.select("text", "mark").mapInArrow(_count_rows, "term string, toxic long, clean long")
-    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    seen = F.col("toxic") + F.col("clean")
-    z = (F.col("toxic") - seen * prior) / F.sqrt(seen * max(prior * (1 - prior), 1e-12))
-    chosen = counts.where(F.col("toxic") >= LEAST_SEEN).withColumn("z", z).where(F.col("z") >= LEAST_Z)
-    chosen = chosen.orderBy(F.desc("z"), "term").limit(TERMS).collect()
-    terms = {r["term"]: i for i, r in enumerate(chosen)}
-    idf = np.array([np.log((count + 1) / (r["toxic"] + r["clean"] + 1)) + 1 for r in chosen])
-
-    def vector_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vector = Vectors(terms, idf)
-        for batch in batches:
-            found = [vector(t) for t in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([f[0] for f in found], pa.list_(pa.int64())),
-                 pa.array([f[1] for f in found], pa.list_(pa.float64()))], ["doc_id", "mark", "ids", "weights"])
-
-    rows = known.select(F.col("doc_id").cast("long").alias("doc_id"), "mark", "text").mapInArrow(
-        vector_rows, "doc_id long, mark int, ids array<long>, weights array<double>")
-    rows = scratch.put(rows, "vectors")
-    scratch.drop(known)
-    full = F.size("ids") > 0
-    sums = rows.agg(F.sum(full.cast("int")), F.sum(F.when(~full, F.col("mark")))).first()
-    telling = int(sums[0] or 0)
-    empty = count - telling
-    without = (int(sums[1] or 0) + prior) / (empty + 1)
-    rate = min(1.0, EXAMPLES * 0.97 / max(1, telling))
+    rate = min(1.0, EXAMPLES * 0.97 / max(1, int(totals[2] or 0)))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))
-    taken = rows.where(full & draw).limit(EXAMPLES).collect()
-    index = BlockIndex.build([(r["doc_id"], r["mark"], np.array(r["ids"], np.int64), np.array(r["weights"])) for r in taken], len(terms))
+    taken = known.where(lettered & draw).limit(EXAMPLES).collect()
+    words = {w for r in taken for w in WORD.findall(r["text"].lower())}
+    terms = {t: i for i, t in enumerate(sorted({t for w in words for t in terms_of(w)}))}
+    shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
+    counts = known.select("text", "mark").mapInArrow(_count_rows(shared), "term string, toxic long, clean long")
+    counts = counts.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")).toArrow()
+    shared.unpersist()
+    toxic, seen, empty = np.zeros(len(terms)), np.zeros(len(terms)), (0, 0)
+    for term, t, c in zip(*(counts.column(n).to_pylist() for n in ("term", "toxic", "clean"))):
+        if term:
+            toxic[terms[term]], seen[terms[term]] = t, t + c
+        else:
+            empty = (t, t + c)
+    z = (toxic - seen * prior) / np.sqrt(np.maximum(seen * prior * (1 - prior), 1e-12))
+    # where all labels are alike no term tells them apart, and plain idf is left
+    idf = (np.log((count + 1) / (seen + 1)) + 1) * (np.abs(z) if 0 < positive < count else 1.0)
+    vector = Vectors(terms, idf)
+    rows = [(r["doc_id"], r["mark"], *vector(r["text"])) for r in taken]
+    index = BlockIndex.build([r for r in rows if len(r[2])], len(terms))
+    without = (empty[0] + prior) / (empty[1] + 1)
     model = Model(terms, idf, index, prior, without, (np.array([0.0, 1.0]), np.array([prior, prior])))
-    if taken:
-        judged = [(model.raw(np.array(r["ids"], np.int64), np.array(r["weights"]), r["doc_id"])[0], r["mark"]) for r in taken]
-        model.curve = isotonic(np.array([j[0] for j in judged]), np.array([float(j[1]) for j in judged]))
+    if len(index.ids):
+        entries = [(index.terms[a:b], index.weights[a:b].astype(np.float64)) for a, b in zip(index.places, index.places[1:])]
+        judged = [model.raw(*f) for f in index.search_all(entries, NEIGHBOURS, index.ids.tolist())]
+        model.curve = isotonic(np.array(judged), index.toxic)
     return model
 
 
@@ -226,7 +269,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         model = shared.value
         vector = Vectors(model.terms, model.idf)
         for batch in batches:
-            found = [model.score(*vector(t)) for t in batch.column(1).to_pylist()]
+            texts = batch.column(1).to_pylist()
+            found = [f for at in range(0, len(texts), BATCH) for f in model.score_all([vector(t) for t in texts[at:at + BATCH]])]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array([f[0] for f in found], pa.float64()), pa.array([f[1] for f in found], pa.list_(pa.int64())),
                  pa.array([f[2] for f in found], pa.list_(pa.float64()))], ["doc_id", "score", "evidence", "nearness"])

@@ -325,3 +325,18 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan(docs, templates, scratch(spark)).where(F.size("licenses") > 0).count() == 0
     assert licenses.scan(empty, templates, scratch(spark)).count() == 0
     assert got[3] == ["big"]
+
+
+def test_toxicity_learns_from_few_texts_and_all_terms(spark):
+    """A few toxic texts are enough; no text of the sample is without a vector, and copies count once."""
+    plain = [" ".join(w.translate(str.maketrans("0123456789", "abcdefghij")) for w in prose(i, 20).split()) for i in range(60)]
+    rows = [(i, t + (" scum" if i % 12 == 0 else ""), "en", "s") for i, t in enumerate(plain)] + [(100, plain[1], "en", "s")]
+    labels = spark.createDataFrame([(i, int(i % 12 == 0)) for i in range(60)] + [(100, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, scratch(spark))
+    learned = {r[1]: r[0] for r in reversed(rows) if zlib.crc32(str(r[0]).encode()) % 3 != 1}
+    assert sorted(model.index.ids) == sorted(learned.values())
+    assert set(model.terms) == {t for text in learned for w in text.split() for t in toxicity.terms_of(w)}
+    texts = [r[1] for r in rows[:60]] + ["scum", "", None, "xyz"]
+    vector = toxicity.Vectors(model.terms, model.idf)
+    together, alone = model.score_all([vector(t) for t in texts]), [model.score_all([vector(t)])[0] for t in texts]
+    assert together == alone and together[60][0] > max(together[i][0] for i in range(60) if i % 12) and together[61:] == [(model.without_terms, [], [])] * 3
