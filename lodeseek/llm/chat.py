@@ -5,7 +5,7 @@ self-joins that double the jump: a step k joins every path to its ancestors 2^k
 with the logarithm of the depth. Branches of a conversation are ranked by the summed scores of their messages; the best
 ``branches`` are formatted, one string each, with the spans of the assistant's text as loss mask.
 
-Null text is empty, null role is empty. Control strings can't occur inside a text or role: backslash becomes two, ``<|``
+Null text is empty, null role is empty. Messages with a null conv_id are one conversation. Control strings can't occur inside a text or role: backslash becomes two, ``<|``
 becomes ``<\\|``, and a line break in a role becomes ``\\n``; reading back undoes it. Messages in a parent cycle have no root and no
 path. Equal scores go to the smaller leaf. Empty tables give no rows; other columns are ignored.
 """
@@ -86,6 +86,8 @@ def _render_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def format_conversations(messages: DataFrame, scratch: Scratch, branches: int = 1) -> DataFrame:
     """``messages`` (conv_id, node, parent, role, text, score) -> conv_id, leaf, score, formatted, loss (spans)."""
+    kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
+    messages = messages.withColumn("conv_id", F.struct("conv_id"))  # as a field of a struct, null equals null in the joins
     found = scratch.put(paths(messages, scratch), "rooted")
     scores = found.join(messages.select("conv_id", "node", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score")), ["conv_id", "node"])
     scores = scores.groupBy("conv_id", "leaf").agg(F.sum("score").alias("score"))
@@ -94,8 +96,7 @@ def format_conversations(messages: DataFrame, scratch: Scratch, branches: int =
     turns = found.join(chosen, ["conv_id", "leaf"]).join(messages.select("conv_id", "node", "role", "text"), ["conv_id", "node"])
     gathered = turns.groupBy("conv_id", "leaf", "score").agg(
         F.sort_array(F.collect_list(F.struct((-F.col("up")).alias("at"), "role", "text"))).alias("turns"))
-    kinds = {f.name: f.dataType.simpleString() for f in messages.schema}
-    return gathered.select("conv_id", "leaf", "score", "turns").mapInArrow(
+    return gathered.select(F.col("conv_id.conv_id").alias("conv_id"), "leaf", "score", "turns").mapInArrow(
         _render_rows, f"conv_id {kinds['conv_id']}, leaf {kinds['node']}, score double, formatted string, loss array<struct<start: bigint, end: bigint>>")
 
 

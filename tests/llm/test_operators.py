@@ -228,6 +228,13 @@ def test_chat(spark):
     assert chat.format_conversations(frame.limit(0), scratch(spark)).count() == 0
 
 
+def test_chat_without_conversation_id(spark):
+    rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (4, 0, "user", "x")]
+    messages = chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    got = {r["conv_id"]: chat.read_back(r["formatted"], [])[0] for r in chat.format_conversations(messages, scratch(spark)).collect()}
+    assert got == {None: [("user", "hi"), ("assistant", "yes")], 4: [("user", "x")]}
+
+
 def test_escape_round_trip():
     rng = random.Random(1)
     for _ in range(300):
