@@ -8,7 +8,9 @@ from typing import Callable
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeseek.llm import chat, contamination, exact, language, licenses, mixing, near, pii, repeats, toxicity
+from lodeseek.llm import (
+    centroids, chat, contamination, embedding_near, exact, language, licenses, mixing, near, pii, repair, repeats, toxicity,
+)
 from lodeseek.llm.common import Scratch, fold_of, read
 from lodeseek.runtime import ship_package
 
@@ -206,3 +208,146 @@ SELECT doc_id, coalesce(n_licenses, 0) AS n_licenses, coalesce(licenses, '') AS
 def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licenses.scan(read(spark, sf_dir, "documents"), licenses.notices(spark), Scratch(spark, "op1"))
     return out.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.concat_ws(",", "licenses").alias("licenses"))
+
+
+@query("op11_embedding_near", r"""
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+ok AS (SELECT vec_id, label, x, sqrt(list_dot_product(x, x)) AS n FROM v
+    WHERE label IS NOT NULL AND len(x) > 0 AND len([c FOR c IN x IF c IS NULL OR NOT isfinite(c)]) = 0 AND len([c FOR c IN x IF c <> 0]) > 0),
+link AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND len(a.x) = len(b.x) AND a.vec_id <> b.vec_id
+    WHERE list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.93),
+reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN link l ON r.b = l.a),
+least AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN least USING (vec_id) LEFT JOIN n USING (vec_id)""")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_near.dedup(read(spark, sf_dir, "embeddings"), Scratch(spark, "op11"))
+
+
+def _clustering_sql() -> str:
+    """The rounds written out; floor division by shifting the remainder to be non-negative."""
+    parts = [f"""WITH v AS MATERIALIZED (SELECT vec_id, [CAST(floor({centroids.SCALE} * CAST(c AS DOUBLE)) AS BIGINT) FOR c IN embedding] AS x FROM embeddings
+    WHERE len(embedding) = {centroids.DIMENSIONS} AND len([c FOR c IN embedding IF c IS NULL OR NOT isfinite(c)]) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{centroids.SEED}:' || vec_id)) - 1 AS c, x FROM v
+    ORDER BY sha256('{centroids.SEED}:' || vec_id) LIMIT {centroids.K})"""]
+    for r in range(centroids.ROUNDS + 1):
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, c, d FROM (SELECT vec_id, c, d, row_number() OVER (PARTITION BY vec_id ORDER BY d, c) AS nth FROM
+    (SELECT vec_id, c, list_sum([CAST((p[1] - p[2]) * (p[1] - p[2]) AS BIGINT) FOR p IN list_zip(v.x, c{r}.x)]) AS d FROM v, c{r})) WHERE nth = 1)""")
+        if r < centroids.ROUNDS:
+            parts.append(f"""s{r} AS (SELECT c, i, sum(v.x[i]) AS s, count(*) AS n FROM a{r} JOIN v USING (vec_id), range(1, {centroids.DIMENSIONS + 1}) AS u(i) GROUP BY c, i),
+m{r} AS (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM s{r} GROUP BY c),
+c{r + 1} AS MATERIALIZED (SELECT c, coalesce(m{r}.x, c{r}.x) AS x FROM c{r} LEFT JOIN m{r} USING (c))""")
+    r = centroids.ROUNDS
+    return ",\n".join(parts) + f"""
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia,
+    CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c{r}.x, ',')) AS centroid_sha256 FROM a{r} JOIN c{r} USING (c)"""
+
+
+@query("op12_centroids", _clustering_sql())
+def centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out, last = centroids.cluster(read(spark, sf_dir, "embeddings"), Scratch(spark, "op12"))
+    digests = [(c, hashlib.sha256(",".join(map(str, row)).encode()).hexdigest()) for c, row in enumerate(last.tolist())]
+    return out.join(F.broadcast(spark.createDataFrame(digests, "cluster int, centroid_sha256 string")), "cluster").select(
+        "vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def damage(rows: DataFrame) -> DataFrame:
+    """The contract's damage: by crc32(conv_id:turn) % 20, 0 drops, 1 empties, 2 removes marks, 3 repeats, 4 makes it the user's."""
+    name = [F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")]
+    rows = rows.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")],
+                       (F.crc32(F.concat(name[0], F.lit(":"), name[1]).cast("binary")) % 20).alias("_kind")).where("_kind != 0")
+    text = F.when(F.col("_kind") == 1, "").when(F.col("_kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    twice = F.when(F.col("_kind") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return rows.select("conv_id", "turn", F.when(F.col("_kind") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"),
+                       F.explode(twice).alias("_copy")).drop("_copy")
+
+
+def _audit_rows(batches):
+    """Audit and digest of each conversation, from its edits in order; holds the letters of one conversation, never its texts."""
+    start = object()
+    current, letters, digest, written = start, [], hashlib.sha256(), False
+
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([current], kind), pa.array(["".join(letters)]), pa.array([digest.hexdigest()])],
+                                          ["conv_id", "audit", "repaired_sha256"])
+
+    for batch in batches:
+        kind = batch.schema.field("conv_id").type
+        done = []
+        for conv, edit, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "edit", "role", "text"))):
+            if current is start or conv != current:
+                if current is not start:
+                    done.append(row())
+                current, letters, digest, written = conv, [], hashlib.sha256(), False
+            letters.append(edit)
+            if edit != "D":
+                digest.update((("\n" if written else "") + role + ":" + text).encode("utf-8", "surrogatepass"))
+                written = True
+        if done:
+            yield pa.Table.from_batches(done).combine_chunks().to_batches()[0]
+    if current is not start:
+        yield row()
+
+
+_REPAIR_SQL = r"""
+WITH RECURSIVE tab AS MATERIALIZED (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(0, 256) AS u(i))),
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kind AS (SELECT named.*, xor(list_reduce(list_prepend(4294967295, [CAST(ascii(c) AS BIGINT) FOR c IN string_split(k, '')]),
+        lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) % 20 AS kind FROM named, tab),
+dam AS (SELECT conv_id, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+    FROM kind, range(0, CASE WHEN kind = 3 THEN 2 ELSE 1 END) AS u(z) WHERE kind <> 0),
+tied AS (SELECT *, md5(length(role) || ':' || role || text) AS tie FROM dam),
+num AS (SELECT *, row_number() OVER w AS i, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, tie) AS nth,
+        left(role, 1) AS h, lag(left(role, 1)) OVER w AS ph FROM tied WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, tie)),
+f AS MATERIALIZED (SELECT *, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 1 WHEN nth > 1 THEN 2
+        WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 3 ELSE 0 END AS fault FROM num),
+tot AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+        count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+        count(*) FILTER (ph IS NOT NULL AND ph || h NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM f GROUP BY conv_id),
+-- best edits that end in nothing, s, u, a: cost, audit, repaired text; an unreached state costs 10^9
+e AS (SELECT conv_id, 0::BIGINT AS i, {'c': 0::BIGINT, 'p': '', 'r': ''} AS b0, {'c': 1000000000::BIGINT, 'p': '', 'r': ''} AS b1,
+        {'c': 1000000000::BIGINT, 'p': '', 'r': ''} AS b2, {'c': 1000000000::BIGINT, 'p': '', 'r': ''} AS b3 FROM tot
+    UNION ALL
+    SELECT conv_id, next,
+        {'c': b0.c + 4, 'p': b0.p || 'D', 'r': b0.r},
+        least({'c': b1.c + 4, 'p': b1.p || 'D', 'r': b1.r},
+              {'c': CASE WHEN bad OR h <> 's' THEN 1000000000 ELSE b0.c + extra END, 'p': b0.p || 'K', 'r': b0.r || own}),
+        least({'c': u.c + 4, 'p': u.p || 'D', 'r': u.r},
+              {'c': CASE WHEN bad OR h <> 'u' THEN 1000000000 ELSE to_u.c + extra END, 'p': to_u.p || 'K', 'r': to_u.r || own},
+              {'c': CASE WHEN bad THEN 1000000000 ELSE to_u.c + 3 + extra END, 'p': to_u.p || 'R', 'r': to_u.r || chr(10) || 'user:' || text}),
+        least({'c': a.c + 4, 'p': a.p || 'D', 'r': a.r},
+              {'c': CASE WHEN bad OR h <> 'a' THEN 1000000000 ELSE u.c + extra END, 'p': u.p || 'K', 'r': u.r || own},
+              {'c': CASE WHEN bad THEN 1000000000 ELSE u.c + 3 + extra END, 'p': u.p || 'R', 'r': u.r || chr(10) || 'assistant:' || text})
+    FROM (SELECT *, least(b0, b1, a) AS to_u FROM (SELECT *, least(b3, {'c': u.c + 3, 'p': u.p || 'I', 'r': u.r || chr(10) || 'assistant:'}) AS a
+        FROM (SELECT e.*, f.h, f.text, f.i AS next, fault IN (1, 2) AS bad, CASE WHEN fault = 3 THEN 3 ELSE 0 END AS extra,
+            chr(10) || role || ':' || text AS own,
+            least(b2, {'c': b0.c + 3, 'p': b0.p || 'I', 'r': b0.r || chr(10) || 'user:'}, {'c': b1.c + 3, 'p': b1.p || 'I', 'r': b1.r || chr(10) || 'user:'},
+                  {'c': b3.c + 3, 'p': b3.p || 'I', 'r': b3.r || chr(10) || 'user:'}) AS u
+            FROM e JOIN f ON f.conv_id IS NOT DISTINCT FROM e.conv_id AND f.i = e.i + 1)))),
+fin AS (SELECT tot.*, least(b0, b3, {'c': b2.c + 3, 'p': b2.p || 'I', 'r': b2.r || chr(10) || 'assistant:'},
+        {'c': b1.c + 6, 'p': b1.p || 'II', 'r': b1.r || chr(10) || 'user:' || chr(10) || 'assistant:'}) AS best
+    FROM e JOIN tot ON tot.conv_id IS NOT DISTINCT FROM e.conv_id AND tot.n = e.i)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+    coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost, coalesce(best.p, '') AS audit,
+    sha256(coalesce(substr(best.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN fin ON fin.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@query("op13_conversation_repair", _REPAIR_SQL)
+def repair_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    kind = rows.schema["conv_id"].dataType.simpleString()
+    out = repair.repair(damage(rows), Scratch(spark, "op13"))
+    texts = out.edits.repartition("conv_id").sortWithinPartitions("conv_id", "at", "seq").select("conv_id", "edit", "role", "text").mapInArrow(
+        _audit_rows, f"conv_id {kind}, audit string, repaired_sha256 string")
+    keyed = rows.select("conv_id").distinct().select(F.struct("conv_id").alias("conv"))
+    for part in (out.summary, texts):
+        keyed = keyed.join(part.withColumn("conv", F.struct("conv_id")).drop("conv_id"), "conv", "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return keyed.select(F.col("conv.conv_id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
