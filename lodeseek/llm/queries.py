@@ -161,9 +161,7 @@ FROM c GROUP BY conv_id""")
 def format_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     trick = spark.createDataFrame([(-1, 0, "user", TRICK), (-1, 1, "assistant", TRICK)], rows.schema)
-    scratch = Scratch(spark, "op6")
-    messages = scratch.put(chat.linear(rows.unionByName(trick)), "messages")
-    out = chat.format_conversations(messages, scratch)
+    out = chat.format_conversations(chat.linear(rows.unionByName(trick)), Scratch(spark, "op6"))
     return out.select("conv_id", "formatted", "loss").mapInArrow(
         _digest_rows, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, n_turns long, turns_sha256 string, "
                       "loss_chars long, loss_sha256 string, formatted_chars long")

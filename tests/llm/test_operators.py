@@ -228,6 +228,17 @@ def test_chat(spark):
     assert chat.format_conversations(frame.limit(0), scratch(spark)).count() == 0
 
 
+def test_chat_repeated_rows_and_long_texts(spark):
+    """Rows of one node are one message, a leaf behind a cycle is no conversation, other columns don't matter."""
+    rows = [(1, 1, None, "user", "x" * 300_000, None)] * 3 + [(1, 2, 1, "assistant", "b", 1.0), (1, 2, 1, "assistant", "a", 2.0), (1, 2, 1, "assistant", "b", 1.0)]
+    rows += [(2, 1, 2, "a", "x", 0.0), (2, 2, 1, "b", "y", 0.0), (2, 3, 2, "user", "off the cycle", 5.0)] + [(3, i, i - 1 if i else None, "user", None, 0.0) for i in range(40)]
+    frame = spark.createDataFrame([(*r, 7, "z", True) for r in rows], "conv_id long, node long, parent long, role string, text string, score double, id long, leaf string, root boolean")
+    got = {r["conv_id"]: r for r in chat.format_conversations(frame, scratch(spark), branches=3).collect()}
+    assert set(got) == {1, 3} and got[1]["score"] == 1.0 and got[3]["leaf"] == 39
+    assert chat.read_back(got[1]["formatted"], [])[0] == [("user", "x" * 300_000), ("assistant", "b")]
+    assert len(chat.read_back(got[3]["formatted"], [])[0]) == 40
+
+
 def test_chat_without_conversation_id(spark):
     rows = [(None, 0, "user", "hi"), (None, 1, "assistant", "yes"), (4, 0, "user", "x")]
     messages = chat.linear(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
