@@ -87,12 +87,12 @@ def _evaluate(spark, args, cfg) -> int:
     from lodeseek.plans import evaluation as E
     from lodeseek.plans.graph_index import load_saved
     from lodeseek.sources.files import CODE_ITEM, GRAPH_ITEM, json_lines
-    from lodeseek.sources.tables import chunk_table
+    from lodeseek.sources.tables import code_store
 
     if path_exists(spark, args.samples):
         delete_path(spark, args.samples)
     if args.kind == "code":
-        items, retrieve = json_lines(spark, args.items, CODE_ITEM), E.code_contexts(chunk_table(spark, args.store).read(), cfg=cfg)
+        items, retrieve = json_lines(spark, args.items, CODE_ITEM), E.code_contexts(code_store(spark, args.store).read("code_chunks"), cfg=cfg)
     else:
         items, retrieve = json_lines(spark, args.items, GRAPH_ITEM), E.graph_contexts(load_saved(spark, args.store), cfg=cfg)
     for frame in E.evaluate(spark, items, args.kind, retrieve, args.samples, limit=args.limit, cfg=cfg).values():

@@ -1,4 +1,4 @@
-"""Okapi BM25 over a batch of queries.
+"""Okapi BM25 over a batch of queries, from a stored keyword index.
 
 Whitespace tokens, case kept. A term's weight is
 ``ln(N - n + 0.5) - ln(n + 0.5)``; a negative weight is replaced by
@@ -8,150 +8,122 @@ term are not candidates.
 
 from __future__ import annotations
 
+from functools import reduce
+from typing import Iterator
+
 import numpy as np
-from pyspark.sql import Column, DataFrame, Row, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
 
 from lodeseek.config import DEFAULTS, Tunables
 from lodeseek.functions.text import words
-from lodeseek.operators.bounded import bounded, local_rows, staged_hint
 from lodeseek.operators.ordered import top_k
-from lodeseek.operators.scan_topk import result_schema, scan_topk
-from lodeseek.runtime import spread, stage
+from lodeseek.operators.scan_topk import TIE_DECIMALS, first_k, id_array, result_schema
+from lodeseek.runtime import stage
+from lodeseek.sources.keyword_index import KeywordIndex
 
+#: Weights of one block of queries; (query, document) pairs a task holds at once.
+BLOCK_WEIGHTS = 200_000
+CHUNK_PAIRS = 1 << 22
 
-def term_counts(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term, df, length) in one pass; the row with a null term carries N and total length.
 
-    Each document contributes its distinct terms once, so the shuffle carries
-    partial counts per term, never per-occurrence rows.
-    """
-    tokens = spread(docs.select(text)).select(words(text).alias("tokens")).select(
-        F.size("tokens").cast("bigint").alias("length"),
-        F.explode_outer(
-            F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))
-        ).alias("term"),
-    )
-    return tokens.groupBy("term").agg(
-        F.count(F.lit(1)).alias("df"),
-        F.sum(F.when(F.col("term").isNull(), F.col("length"))).alias("length"),
-    )
-
-
-def _raw_idf(n: Column, df: Column) -> Column:
-    return F.log(n - df + 0.5) - F.log(df + 0.5)
-
-
-def corpus_totals(counts: DataFrame) -> DataFrame:
-    """One row: n_docs, avg_len, n_terms, mean_idf (from staged :func:`term_counts`)."""
-    whole = counts.where(F.col("term").isNull())
-    n = whole.select("df").scalar()
-    terms = counts.where(F.col("term").isNotNull()).groupBy("df").agg(F.count(F.lit(1)).alias("terms"))
-    return terms.agg(
-        F.max(n).alias("n_docs"),
-        (F.max(whole.select("length").scalar()) / F.max(n)).alias("avg_len"),
-        F.sum("terms").alias("n_terms"),
-        (F.sum(F.col("terms") * _raw_idf(n, F.col("df"))) / F.sum("terms")).alias("mean_idf"),
-    )
-
-
-def term_weights(counts: DataFrame, totals: Row, cfg: Tunables = DEFAULTS) -> DataFrame:
-    """(term, df, idf) with the negative-weight floor applied; ``totals`` is the row of :func:`corpus_totals`."""
-    raw = _raw_idf(F.lit(totals["n_docs"]), F.col("df"))
-    floor = F.lit(cfg.bm25_floor * (totals["mean_idf"] or 0.0))
-    return counts.where(F.col("term").isNotNull()).select(
-        "term", "df", F.when(raw < 0, floor).otherwise(raw).alias("idf")
-    )
-
-
-def query_weights(queries: DataFrame, counts: DataFrame, totals: Row, cfg: Tunables = DEFAULTS) -> DataFrame:
+def query_weights(index: KeywordIndex, queries: DataFrame, cfg: Tunables = DEFAULTS) -> DataFrame:
     """(query_id, term, weight): idf times the uses of each known query term."""
-    query_terms = (
-        queries.select("query_id", F.explode_outer(words("query")).alias("term"))
-        .where(F.col("term").isNotNull())
-        .groupBy("query_id", "term")
-        .agg(F.count(F.lit(1)).alias("uses"))
-    )
-    return term_weights(counts, totals, cfg).join(bounded(query_terms, label="query-terms"), "term").select(
-        "query_id", "term", (F.col("idf") * F.col("uses")).alias("weight"))
-
-
-def bm25_scores(docs: DataFrame, weights: DataFrame, average: float, hint=lambda side: side, *,
-                doc_id: str = "doc_id", text: str = "text", cfg: Tunables = DEFAULTS) -> DataFrame:
-    """(query_id, doc_id, score) for every document sharing a term with a query.
-
-    The plan for query batches of any size. Only occurrences of query terms leave the
-    scan. They are hashed once on the document, which serves both the term-frequency
-    count and the per-query sum.
-    """
-    hits = (
-        spread(docs.select(doc_id, text))
-        .select(doc_id, words(text).alias("tokens"))
-        .select(doc_id, F.size("tokens").alias("length"), F.explode_outer("tokens").alias("term"))
-        .join(hint(weights.select("term").distinct()), "term", "left_semi")
-        .repartition(doc_id)
-        .groupBy(doc_id, "length", "term")
-        .agg(F.count(F.lit(1)).alias("tf"))
-    )
-    gain = F.col("tf") * (cfg.bm25_k1 + 1) / (
-        F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average))
-    return (
-        hits.select(doc_id, "term", gain.alias("gain"))
-        .join(hint(weights), "term")
-        .groupBy("query_id", doc_id)
-        .agg(F.sum(F.col("weight") * F.col("gain")).alias("score"))
-    )
-
-
-def _scored_in_scan(docs, rows, schema, average: float, k, doc_id, text, cfg) -> DataFrame:
-    """Score whole documents where they are read: weights travel as one small matrix."""
-    terms = {t: n for n, t in enumerate(sorted({r["term"] for r in rows}))}
-    query_ids = sorted({r["query_id"] for r in rows})
-    at = {q: n for n, q in enumerate(query_ids)}
-    # Left half: weights. Right half: one where the query has the term, to tell no match from score 0.
-    table = np.zeros((len(terms), 2 * len(query_ids)))
-    for r in rows:
-        table[terms[r["term"]], at[r["query_id"]]] = r["weight"]
-        table[terms[r["term"]], len(query_ids) + at[r["query_id"]]] = 1.0
-    k1, b = cfg.bm25_k1, cfg.bm25_b
-
-    def score(column) -> np.ndarray:
-        out = np.full((len(column), len(query_ids)), -np.inf)
-        for row, body in enumerate(column.to_pylist()):
-            tokens = (body or "").split()
-            found = [terms[t] for t in tokens if t in terms]
-            if found:
-                index, tf = np.unique(found, return_counts=True)
-                both = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * len(tokens) / average))) @ table[index]
-                matched = both[len(query_ids):] > 0
-                out[row, matched] = both[:len(query_ids)][matched]
-        return out.T
-
-    return scan_topk(spread(docs.select(doc_id, text)), schema, query_ids, score, k)
-
-
-# Largest weight list and matrix that may travel with the tasks.
-DENSE_ROWS = 200_000
-DENSE_CELLS = 8_000_000
-
-
-def bm25_topk(docs: DataFrame, queries: DataFrame, k: int | None = None, counts: DataFrame | None = None, *,
+    uses = queries.select("query_id", F.explode(words("query")).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("uses"))
+    uses = stage(uses, "query-terms")
+    return uses.join(index.weights(uses.select("term"), cfg.bm25_floor), "term").select("query_id", "term", (F.col("idf") * F.col("uses")).alias("weight"))
+
+
+class _Scorer:
+    """Sums of gain times weight per (query, document), best ``k`` per query kept as documents go by."""
+
+    def __init__(self, starts: np.ndarray, queries: np.ndarray, weights: np.ndarray, asked: pa.Array, k: int, doc_id: str):
+        self.starts, self.queries, self.weights, self.asked, self.k, self.doc_id = starts, queries, weights, asked, k, doc_id
+
+    def score(self, ids: pa.Array, terms: np.ndarray, gains: np.ndarray):
+        """Scores of whole documents, given as rows in order of (document, term)."""
+        codes = ids.dictionary_encode()
+        doc, seen = codes.indices.to_numpy(), id_array(codes.dictionary)
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        out, n = None, len(self.asked)
+        ends = np.flatnonzero(np.r_[doc[1:] != doc[:-1], True])
+        pairs = np.cumsum(sizes)
+        at = 0
+        while at < len(doc):  # whole documents up to a chunk, one at least
+            enough = np.searchsorted(pairs[ends], (pairs[at - 1] if at else 0) + CHUNK_PAIRS)
+            stop = ends[min(max(enough, np.searchsorted(ends, at)), len(ends) - 1)] + 1
+            part = slice(at, stop)
+            row = np.repeat(np.arange(at, stop), sizes[part])
+            within = np.arange(len(row)) - np.repeat(np.cumsum(sizes[part]) - sizes[part], sizes[part])
+            place = self.starts[terms[row]] + within
+            keys, at_key = np.unique(doc[row].astype(np.int64) * n + self.queries[place], return_inverse=True)
+            sums = np.bincount(at_key, gains[row] * self.weights[place], len(keys))
+            found = first_k(keys % n, seen[keys // n], sums, self.k)
+            out = found if out is None else first_k(*(np.concatenate(p) for p in zip(out, found)), self.k)
+            at = stop
+        return out
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, held = None, None
+
+        def take(table: pa.Table):
+            nonlocal kept
+            if table.num_rows:
+                found = self.score(table.column(0).combine_chunks(), table.column(1).to_numpy(), table.column(2).to_numpy())
+                kept = found if kept is None else first_k(*(np.concatenate(p) for p in zip(kept, found)), self.k)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            last = table.column(0)[-1]
+            ids = table.column(0)
+            cut = table.num_rows - 1
+            while cut and ids[cut - 1] == last:  # rows of the last document wait for the next batch
+                cut -= 1
+            take(table.slice(0, cut))
+            held = table.slice(cut)
+        if held is not None:
+            take(held)
+        if kept is not None:
+            q, ids, scores = kept
+            yield pa.RecordBatch.from_arrays([self.asked.take(pa.array(q)), pa.array(ids), pa.array(scores)], ["query_id", self.doc_id, "score"])
+
+
+def _best_of_block(index: KeywordIndex, weights: DataFrame, schema, k: int, doc_id: str, cfg: Tunables) -> DataFrame:
+    """Best ``k`` per query and task, for a block of queries whose weights are few enough to travel."""
+    spark = weights.sparkSession
+    table = weights.orderBy("term", "query_id").toArrow()
+    terms = table.column("term").combine_chunks().dictionary_encode()
+    asked = table.column("query_id").combine_chunks().dictionary_encode()
+    number = terms.indices.to_numpy()
+    starts = np.searchsorted(number, np.arange(len(terms.dictionary) + 1))
+    scorer = _Scorer(starts, asked.indices.to_numpy().astype(np.int64), table.column("weight").to_numpy(), asked.dictionary, k, doc_id)
+    names = spark.createDataFrame(list(enumerate(terms.dictionary.to_pylist())), "t int, term string")
+    average = index.totals()["avg_len"]
+    gain = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average))
+    hits = index.postings(names.select("term")).join(F.broadcast(names), "term").select(F.col("doc_id").alias(doc_id), "t", gain.alias("gain"))
+    return hits.repartition(doc_id).sortWithinPartitions(doc_id, "t").mapInArrow(scorer, schema)
+
+
+def bm25_topk(docs: DataFrame | None, queries: DataFrame, k: int | None = None, index: KeywordIndex | None = None, *,
               doc_id: str = "doc_id", text: str = "text", cfg: Tunables = DEFAULTS) -> DataFrame:
     """(query_id, doc_id, score, rank): best ``k`` per query, 1-based, ties by id.
 
-    A batch whose weights fit a small matrix is scored inside the scan, and each task
-    shuffles only its own best ``k`` per query. A larger batch takes the join plan of
-    :func:`bm25_scores`. Both are exact. ``counts`` passes staged :func:`term_counts`.
+    Reads the postings of the query terms' buckets from ``index``; without one, ``docs`` are indexed first. The hits meet by
+    document, each task sums whole documents in the order of terms and hands on only its best ``k`` per query. Queries are
+    taken in blocks of ``BLOCK_WEIGHTS`` weights, each the same plan.
     """
     k = k or cfg.bm25_k
-    counts = stage(term_counts(docs, text), "terms") if counts is None else counts
-    totals = corpus_totals(counts).first()
-    weights = query_weights(queries, counts, totals, cfg)
-    rows = local_rows(weights, DENSE_ROWS)
-    schema = result_schema(docs, doc_id, weights)
-    if not rows and rows is not None:
-        return top_k(docs.sparkSession.createDataFrame([], schema), ["query_id"], [F.col(doc_id)], k)
-    if rows and len({r["term"] for r in rows}) * len({r["query_id"] for r in rows}) <= DENSE_CELLS:
-        return _scored_in_scan(docs, rows, schema, totals["avg_len"], k, doc_id, text, cfg)
-    weights, hint = staged_hint(weights, label="weights")
-    scores = bm25_scores(docs, weights, totals["avg_len"], hint, doc_id=doc_id, text=text, cfg=cfg)
-    return top_k(scores, ["query_id"], [F.round("score", 9).desc(), F.col(doc_id)], k)
+    index = KeywordIndex.of(docs, doc_id, text) if index is None else index
+    weights = stage(query_weights(index, queries, cfg), "weights")
+    rows = weights.count()
+    kind = index.store.tables["documents"].schema["doc_id"].dataType
+    schema = result_schema(queries.sparkSession.createDataFrame([], f"{doc_id} {kind.simpleString()}"), doc_id, weights)
+    if not rows:
+        found = queries.sparkSession.createDataFrame([], schema)
+    else:
+        blocks = -(-rows // BLOCK_WEIGHTS)
+        parts = [weights.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b) if blocks > 1 else weights for b in range(blocks)]
+        found = reduce(DataFrame.unionByName, [_best_of_block(index, part, schema, k, doc_id, cfg) for part in parts if blocks == 1 or not part.isEmpty()])
+    return top_k(found, ["query_id"], [F.round("score", TIE_DECIMALS).desc(), F.col(doc_id)], k)

@@ -55,11 +55,11 @@ def embed_input(chunks: DataFrame, out: str = "embed_text") -> DataFrame:
         line("doc", F.col("doc")), F.col("text")))
 
 
-def metadata(chunks: DataFrame, indexed_at: str) -> DataFrame:
-    """The stored metadata record; no nulls."""
+def metadata(chunks: DataFrame, indexed_at: str, *more) -> DataFrame:
+    """The stored metadata record, no nulls; ``more`` are further columns of ``chunks``."""
     return chunks.select(
         "chunk_id", "path", "lang", "symbol", F.coalesce("signature", F.lit("")).alias("signature"),
-        "start_line", "end_line", F.lit(indexed_at).alias("indexed_at"))
+        "start_line", "end_line", F.lit(indexed_at).alias("indexed_at"), *more)
 
 
 def repeated_ids(df: DataFrame, keys: list[str], order: list[str], symbol: str = "symbol", **options) -> DataFrame:

@@ -13,6 +13,7 @@ from lodeseek.operators.bounded import staged_hint
 from lodeseek.operators.ordered import top_k
 from lodeseek.operators.vector import mmr_topk
 from lodeseek.runtime import stage
+from lodeseek.sources.keyword_index import KeywordIndex
 
 
 def rank_fusion(
@@ -58,18 +59,20 @@ def hybrid_retrieve(
     text: str = "text",
     embedding: str = "embedding",
     carry: Sequence[str] = (),
+    index: KeywordIndex | None = None,
     cfg: Tunables = DEFAULTS,
 ) -> DataFrame:
     """(query_id, doc_id, text, *carry, score, rank): keyword and vector lists, fused.
 
     ``queries`` has query_id, query and embedding. ``vectors`` (doc_id, embedding) may
-    come from another table than the texts; without it the corpus holds them. The pool is at most
+    come from another table than the texts; without it the corpus holds them. ``index`` is the
+    corpus's keyword index; without it one is made. The pool is at most
     ``bm25_k + vector_k`` documents whatever ``top_k_hits`` says. An empty corpus
     is an error.
     """
     if corpus.isEmpty():
         raise ValueError("the corpus is empty: build the index first")
-    words_list = bm25_topk(corpus, queries, cfg.bm25_k, doc_id=doc_id, text=text, cfg=cfg)
+    words_list = bm25_topk(corpus, queries, cfg.bm25_k, index, doc_id=doc_id, text=text, cfg=cfg)
     vector_list = mmr_topk(corpus if vectors is None else vectors, queries, vec_id=doc_id, embedding=embedding, cfg=cfg)
     both, hint = staged_hint(
         words_list.select("query_id", doc_id, "rank", F.lit(0).alias("list")).unionByName(

@@ -19,7 +19,7 @@ from lodeseek.operators.manifest import (
 from lodeseek.operators.vector import vector_topk
 from lodeseek.runtime import ship_package, spread, stage
 from lodeseek.sources.files import code_files, write_chunk_list, write_json_report
-from lodeseek.sources.tables import chunk_table, manifest_table
+from lodeseek.sources.tables import code_store
 
 
 def _report(parts: dict[str, Column], spark: SparkSession) -> DataFrame:
@@ -29,37 +29,20 @@ def _report(parts: dict[str, Column], spark: SparkSession) -> DataFrame:
 def run_index(spark: SparkSession, base: str, store: str, indexed_at: str, *, full: bool = False,
               limit: int | None = None, embedder: Embedder | None = None,
               globs: Sequence[str] = EXCLUDED_GLOBS, cfg: Tunables = DEFAULTS) -> DataFrame:
-    """Bring the chunk table of ``store`` up to date with ``base``; returns the one-row report.
+    """Bring the tables of ``store`` up to date with ``base``; returns the one-row report.
 
+    Chunks and manifest change in one version: until the run ends, and if it fails, readers see the old one, ``full`` included.
     ``limit`` restricts what is (re)indexed, never what counts as removed.
     """
     ship_package(spark)
     started = time.perf_counter()
-    chunks_at, manifest_at = chunk_table(spark, store), manifest_table(spark, store)
-    if full:
-        chunks_at.clear()
-        manifest_at.clear()
-    scanned = code_files(spark, base, globs, cfg)
-    listed = stage(scanned.drop("content"), "files")
-    manifest = stage(manifest_at.read(), "manifest")
-    diff = diff_files(listed, manifest)
-    if limit:
-        inside = first_files(listed, limit, "path").select("path", F.lit(True).alias("_in"))
-        diff = diff.join(inside, "path", "left").where(
-            F.col("_in").isNotNull() | F.col("status").isin("unchanged", "removed")).drop("_in")
-    diff = stage(diff, "diff")
-    chunks_at.delete(stale_chunk_ids(manifest, diff))
-    todo = bounded(diff.where(F.col("status").isin("new", "changed")).select("path"), label="todo")
-    chunks = stage(embed_input(code_chunks(scanned.join(todo, "path", "left_semi"), cfg)), "chunks")
-    vectors = spread(chunks).withColumn("embedding", embed_text("embed_text", embedder, cfg.embed_batch))
-    rows = metadata(chunks, indexed_at).join(
-        vectors.select("chunk_id", F.col("text").alias("document"), "embedding"), "chunk_id")
-    chunks_at.upsert(rows)
-    kept_back = manifest.join(listed.select("path"), "path", "left_semi").join(
-        diff.select("path"), "path", "left_anti")  # past ``limit``: keep the old row
-    fresh = next_manifest(listed, manifest, chunks, diff, indexed_at)
-    manifest_at.overwrite(fresh.unionByName(kept_back.select(*fresh.columns)))
-    stored = chunks_at.read().select("chunk_id", "path", "lang", "symbol", "signature", "start_line", "end_line", "indexed_at")
+    tables = code_store(spark, store)
+    with tables.change() as change:
+        if full:
+            change.clear("code_chunks")
+            change.clear("file_manifest")
+        listed, chunks, diff = _index_files(spark, change, base, indexed_at, limit, embedder, globs, cfg)
+    stored = tables.read("code_chunks").select("chunk_id", "path", "lang", "symbol", "signature", "start_line", "end_line", "indexed_at")
     write_chunk_list(stored, os.path.join(store, "chunks-manifest"))
     counts = file_counts(diff)
     report = _report({
@@ -78,6 +61,28 @@ def run_index(spark: SparkSession, base: str, store: str, indexed_at: str, *, fu
     return report
 
 
+def _index_files(spark, change, base, indexed_at, limit, embedder, globs, cfg) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Bring the change's tables up to date; returns the files listed, the chunks made and the diff."""
+    scanned = code_files(spark, base, globs, cfg)
+    listed = stage(scanned.drop("content"), "files")
+    manifest = stage(change.rows("file_manifest"), "manifest")
+    diff = diff_files(listed, manifest)
+    if limit:
+        inside = first_files(listed, limit, "path").select("path", F.lit(True).alias("_in"))
+        diff = diff.join(inside, "path", "left").where(
+            F.col("_in").isNotNull() | F.col("status").isin("unchanged", "removed")).drop("_in")
+    diff = stage(diff, "diff")
+    change.delete("code_chunks", stale_chunk_ids(manifest, diff))
+    todo = bounded(diff.where(F.col("status").isin("new", "changed")).select("path"), label="todo")
+    chunks = stage(embed_input(code_chunks(scanned.join(todo, "path", "left_semi"), cfg)), "chunks")
+    vectors = spread(chunks).withColumn("embedding", embed_text("embed_text", embedder, cfg.embed_batch))
+    change.upsert("code_chunks", metadata(vectors, indexed_at, F.col("text").alias("document"), "embedding"))
+    # rows of untouched files, and of those past ``limit``, stay as they are
+    change.upsert("file_manifest", next_manifest(listed, manifest, chunks, diff, indexed_at).join(todo, "path", "left_semi"))
+    change.delete("file_manifest", diff.where("status = 'removed'").select("path"))
+    return listed, chunks, diff
+
+
 def run_dry(spark: SparkSession, base: str, store: str, indexed_at: str, limit: int | None = None,
             cfg: Tunables = DEFAULTS) -> DataFrame:
     """Scan and chunk only. Its chunk list has its own folder, so the real one stays."""
@@ -103,7 +108,7 @@ def sample_search(spark: SparkSession, store: str, queries: DataFrame, k: int =
     """(query_id, rank, chunk_id, lang, symbol, score): nearest stored chunks per query text."""
     ship_package(spark)
     asked = stage(queries.withColumn("embedding", embed_text("query", embedder or hashing_embedder())), "asked")
-    table = chunk_table(spark, store).read()
+    table = code_store(spark, store).read("code_chunks")
     near = bounded(vector_topk(table, asked, k, vec_id="chunk_id"), label="near")
     return table.select("chunk_id", "lang", "symbol").join(near, "chunk_id").select(
         "query_id", "rank", "chunk_id", "lang", "symbol", "score")

@@ -18,7 +18,8 @@ from lodeseek.operators.graph_build import (
     EMPTY, OK, PropertyGraph, allowed_only, embed_missing, empty_graph, existing_chunk_ids, extract_with_retry,
     graph_stats, integrity, load_graph, normalize, retry_targets, stamp_relation_ids, term_graph,
 )
-from lodeseek.runtime import path_exists, ship_package, stage
+from lodeseek.runtime import ship_package, stage
+from lodeseek.sources.store import Change, Spec, Store
 from lodeseek.sources.files import default_graph_schema, failed_chunks, graph_schema, markdown_docs, write_json_report
 
 TABLES = tuple(PropertyGraph.__dataclass_fields__)
@@ -40,18 +41,46 @@ def corpus_chunks(spark: SparkSession, folder: str, limit_docs: int | None = Non
     return stage(number_chunks(pieces, ["path"]), "chunks")
 
 
+#: The key of each table.
+KEYS = {"entities": ("id",), "documents": ("id",), "communities": ("id",), "mentions": ("chunk_id", "entity_id"),
+        "entity_rels": ("src", "type", "dst"), "in_community": ("entity_id", "comm_id")}
+
+
+def graph_store(spark: SparkSession, store: str) -> Store:
+    """The six tables, changed together."""
+    empty = empty_graph(spark)
+    return Store(spark, os.path.join(store, "graph"), {name: Spec(getattr(empty, name).schema, KEYS[name]) for name in TABLES})
+
+
 def load_saved(spark: SparkSession, store: str) -> PropertyGraph:
     """The saved graph, or an empty one."""
-    if not path_exists(spark, os.path.join(store, "entities")):
-        return empty_graph(spark)
-    return PropertyGraph(*(spark.read.parquet(os.path.join(store, name)) for name in TABLES))
+    tables = graph_store(spark, store)
+    return PropertyGraph(*(tables.read(name) for name in TABLES))
+
 
+def load_chunks(change: Change, chunks: DataFrame, normalized: DataFrame) -> None:
+    """Merge one extraction run into the stored graph.
 
-def save(graph: PropertyGraph, store: str) -> None:
-    """Write all six tables; the graph may have been read from the same folder."""
-    staged = graph.staged()
-    for name in TABLES:
-        getattr(staged, name).write.mode("overwrite").parquet(os.path.join(store, name))
+    Only rows of the keys that the run touches are looked up, in their buckets, and written; the rest of the graph isn't read.
+    """
+    spark = chunks.sparkSession
+    fresh = load_graph(empty_graph(spark), chunks, normalized).staged()
+    touched = {name: getattr(fresh, name).select(*KEYS[name]) for name in ("entities", "documents", "mentions", "entity_rels")}
+    old = PropertyGraph(**{name: change.rows(name, keys).join(keys, list(KEYS[name]), "left_semi") if (keys := touched.get(name)) is not None
+                           else getattr(fresh, name) for name in TABLES})
+    merged = load_graph(old, chunks, normalized)
+    merged = replace(merged, entity_rels=stamp_relation_ids(merged.entity_rels).drop("stamped"))
+    for name in touched:
+        change.upsert(name, getattr(merged, name))
+
+
+def embed_stored(change: Change, embedder: Embedder | None = None) -> None:
+    """Vectors for stored nodes that have none."""
+    graph = PropertyGraph(*(change.rows(name) for name in TABLES))
+    bare = replace(graph, entities=graph.entities.where("embedding is null"), documents=graph.documents.where("embedding is null"))
+    done = embed_missing(bare, embedder)
+    for name in ("entities", "documents"):
+        change.upsert(name, getattr(done, name))
 
 
 def add_communities(graph: PropertyGraph, summarizer=None, cfg: Tunables = DEFAULTS) -> PropertyGraph:
@@ -70,12 +99,41 @@ def run_graph_index(spark: SparkSession, folder: str, store: str, *, reset: bool
                     schema_path: str | None = None, cfg: Tunables = DEFAULTS) -> GraphRun:
     """Index a folder into the graph at ``store`` and verify it."""
     ship_package(spark)
-    graph = empty_graph(spark) if reset else load_saved(spark, store)
-    report = os.path.join(store, "extract-report")
+    tables = graph_store(spark, store)
+    with tables.change() as change:  # one version for the whole run
+        if reset:
+            for name in TABLES:
+                change.clear(name)
+        found = _extract(spark, change, folder, os.path.join(store, "extract-report"), retry_failed, limit_docs, max_chunks, extractor, schema_path, cfg)
+        if vectors:
+            embed_stored(change, embedder)
+        if not skip_community:
+            _communities(change, summarizer, cfg)
+    outcomes = found.select("chunk_id", "outcome", "detail")
+    failures = outcomes.where(retryable("outcome")).select("chunk_id", F.col("outcome").alias("reason"), "detail")
+    write_json_report(failures, os.path.join(store, "extract-report"))
+    graph = load_saved(spark, store).staged()
+    return GraphRun(graph, outcomes, stage(integrity(graph_stats(graph)), "stats"))
+
+
+def _communities(change: Change, summarizer, cfg: Tunables) -> None:
+    """Write communities, their members, and the entities whose community is another now."""
+    graph = PropertyGraph(*(change.rows(name) for name in TABLES)).staged()
+    new = add_communities(graph, summarizer, cfg)
+    if new is graph:
+        return
+    change.overwrite("communities", new.communities)
+    change.overwrite("in_community", new.in_community)
+    before = graph.entities.select("id", F.col("community").alias("_before"))
+    change.upsert("entities", new.entities.join(before, "id").where(~F.col("community").eqNullSafe(F.col("_before"))).drop("_before"))
+
+
+def _extract(spark, change, folder, report, retry_failed, limit_docs, max_chunks, extractor, schema_path, cfg) -> DataFrame:
+    """Extract the folder's chunks and load them; returns (chunk_id, nodes, rels, outcome, detail)."""
     every = corpus_chunks(spark, folder, limit_docs, cfg)
     only = None
     if retry_failed:
-        only = stage(retry_targets(every, existing_chunk_ids(graph.documents), failed_chunks(spark, report)), "targets")
+        only = stage(retry_targets(every, existing_chunk_ids(change.rows("documents")), failed_chunks(spark, report)), "targets")
     chunks = stage(select_chunks(every, only, max_chunks), "selected")
     if extractor is None:
         found = term_graph(chunks.select("chunk_id", "text")).withColumn(
@@ -86,14 +144,5 @@ def run_graph_index(spark: SparkSession, folder: str, store: str, *, reset: bool
     found = stage(found, "found")
     node_types, triples, _ = graph_schema(spark, schema_path or default_graph_schema())
     good = normalize(allowed_only(found.where(F.col("outcome") == OK), node_types, triples))
-    graph = load_graph(graph, chunks, stage(good.select("chunk_id", "nodes", "rels"), "normalized"))
-    graph = replace(graph, entity_rels=stamp_relation_ids(graph.entity_rels).drop("stamped")).staged()
-    if vectors:
-        graph = embed_missing(graph, embedder).staged()
-    if not skip_community:
-        graph = add_communities(graph, summarizer, cfg).staged()
-    save(graph, store)
-    outcomes = found.select("chunk_id", "outcome", "detail")
-    failures = outcomes.where(retryable("outcome")).select("chunk_id", F.col("outcome").alias("reason"), "detail")
-    write_json_report(failures, report)
-    return GraphRun(graph, outcomes, stage(integrity(graph_stats(graph)), "stats"))
+    load_chunks(change, chunks, stage(good.select("chunk_id", "nodes", "rels"), "normalized"))
+    return found

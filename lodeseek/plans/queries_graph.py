@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import os
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from lodeseek.operators.community import (
     community_evidence, detect_communities, undirected_edges,
@@ -16,10 +20,11 @@ from lodeseek.operators.graph_build import (
 from lodeseek.operators.graph_search import (
     expand_relations, graph_retrieve, nested_hits, select_mode, top_communities,
 )
+from lodeseek.plans.graph_index import graph_store, load_chunks, load_saved
 from lodeseek.plans.queries_index import LINES_SQL, document_lines, slug_sql
 from lodeseek.plans.queries_rank import VECTOR_QUESTIONS_SQL, label_vectors, six
 from lodeseek.plans.registry import query, table
-from lodeseek.runtime import stage
+from lodeseek.runtime import shared_dir, stage
 
 # ---- a text graph: long words of every document line --------------------------
 
@@ -422,3 +427,33 @@ def mode_select(spark, d):
     low = F.lower("text")
     return turns.select("conv_id", "turn", select_mode("text").alias("mode"),
                         (low.contains("vs") | low.contains("before")).alias("worded"))
+
+
+@query("graph_load", f"""{TEXT_GRAPH_SQL}
+SELECT 'entity' AS kind, id AS a, arg_max(name, seq) AS b, '' AS c FROM nodes GROUP BY id
+UNION ALL SELECT DISTINCT 'mention', 'chunk_' || seq, id, '' FROM nodes
+UNION ALL SELECT 'relation', src, dst, max(rel_id) FROM rels GROUP BY src, dst
+UNION ALL SELECT 'document', 'chunk_' || seq, source, lang FROM chunks
+""")
+def graph_load(spark, d):
+    """The stored graph after three loads: the earlier chunks, the later ones, and the earlier ones once more but without nodes."""
+    chunks = stage(line_chunks(spark, d), "chunks")
+    found = stage(normalize(term_graph(chunks)), "found")
+    half = chunks.count() // 2
+    path = os.path.join(shared_dir(spark), "stages", f"graph-{uuid.uuid4().hex}")
+    store = graph_store(spark, path)
+    parts = {side: (chunks.where(where), found.join(chunks.where(where).select("chunk_id"), "chunk_id", "left_semi"))
+             for side, where in (("early", F.col("seq") < half), ("late", F.col("seq") >= half))}
+    for side in ("early", "late"):
+        with store.change() as change:
+            load_chunks(change, *parts[side])
+    with store.change() as change:
+        load_chunks(change, parts["early"][0], found.limit(0))
+    graph = load_saved(spark, path)
+    rows = [
+        graph.entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.lit("").alias("c")),
+        graph.mentions.select(F.lit("mention"), "chunk_id", "entity_id", F.lit("")),
+        graph.entity_rels.select(F.lit("relation"), "src", "dst", "rel_id"),
+        graph.documents.select(F.lit("document"), "id", "source", "heading_path"),
+    ]
+    return reduce(DataFrame.union, rows)

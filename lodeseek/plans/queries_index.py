@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from lodeseek.functions.ids import entity_id, relation_id, slug
@@ -13,7 +16,8 @@ from lodeseek.operators.manifest import (
     chunks_by_dir, count_by, diff_files, file_counts, removed_files, stale_chunk_ids, upsert,
 )
 from lodeseek.plans.registry import query, table
-from lodeseek.runtime import spread, stage
+from lodeseek.runtime import shared_dir, spread, stage
+from lodeseek.sources.store import Spec, Store
 
 # Slug rule for the checking SQL; @ stands for the text.
 SLUG = ("coalesce(nullif(regexp_replace(regexp_replace(lower(@), '[^\\p{L}\\p{N}_]+', '_', 'g'), "
@@ -248,3 +252,53 @@ def vector_upsert(spark, d):
     stored = table(spark, d, "embeddings").select("vec_id", "label")
     incoming = table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("label"))
     return upsert(stored, incoming, "vec_id")
+
+
+def new_store(spark, tables, **options) -> Store:
+    """A store in the shared folder."""
+    return Store(spark, os.path.join(shared_dir(spark), "stages", f"store-{uuid.uuid4().hex}"), tables, **options)
+
+
+def label_store(spark, d) -> Store:
+    """Labels of the embeddings as a stored table, with the rows of ``labels`` written over it."""
+    stored = table(spark, d, "embeddings").select("vec_id", "label")
+    store = new_store(spark, {"labels": Spec(stored.schema, ("vec_id",))}, bucket_bytes=64 << 10)
+    with store.change() as change:
+        change.overwrite("labels", stored)
+    with store.change() as change:
+        change.upsert("labels", table(spark, d, "labels").select(F.col("doc_id").alias("vec_id"), F.col("quality").alias("label")))
+    return store
+
+
+@query("store_upsert", """
+SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, quality FROM labels
+""")
+def store_upsert(spark, d):
+    """The versioned table after a write and an upsert."""
+    return label_store(spark, d).read("labels")
+
+
+@query("store_delete", """
+SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, quality FROM labels WHERE toxic = 0
+""")
+def store_delete(spark, d):
+    """The same after the toxic ids are deleted; ids that aren't there change nothing."""
+    store = label_store(spark, d)
+    with store.change() as change:
+        change.delete("labels", table(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").alias("vec_id")))
+        change.delete("labels", table(spark, d, "labels").select((-1 - F.col("doc_id")).alias("vec_id")))
+    return store.read("labels")
+
+
+@query("store_lookup", """
+SELECT vec_id, label FROM embeddings WHERE vec_id % 20 = 0 AND vec_id NOT IN (SELECT doc_id FROM labels)
+UNION ALL SELECT doc_id, quality FROM labels WHERE doc_id % 20 = 0
+""")
+def store_lookup(spark, d):
+    """Rows found by key, from the buckets of the keys alone."""
+    store = label_store(spark, d)
+    rows = table(spark, d, "embeddings").select("vec_id").union(table(spark, d, "labels").select("doc_id"))
+    keys = stage(rows.where("vec_id % 20 = 0").distinct(), "keys")
+    return store.near("labels", keys).join(keys, "vec_id", "left_semi")

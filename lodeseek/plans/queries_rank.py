@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lodeseek.functions.vectors import cosine, embed_text, graph_score
-from lodeseek.operators.bm25 import bm25_topk, corpus_totals, term_counts
+from lodeseek.operators.bm25 import bm25_topk
 from lodeseek.operators.bounded import bounded
 from lodeseek.operators.fusion import hybrid_retrieve, rank_fusion
 from lodeseek.operators.ordered import top_k
 from lodeseek.operators.vector import mmr_topk, vector_topk
 from lodeseek.plans.registry import query, table
 from lodeseek.runtime import spread, stage
+from lodeseek.sources.keyword_index import KeywordIndex
 
 # White space as Python splits it, for the checking SQL.
 SPACE = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -100,6 +101,17 @@ def label_vectors(spark, d):
     )
 
 
+_INDEXES: dict[tuple[str, str], KeywordIndex] = {}
+
+
+def keyword_index(spark, d) -> KeywordIndex:
+    """The index of a folder's documents, built once per application and read by every query."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _INDEXES:
+        _INDEXES[at] = KeywordIndex.of(table(spark, d, "documents"))
+    return _INDEXES[at]
+
+
 def six(column, name):
     return F.round(column, 6).alias(name)
 
@@ -111,8 +123,9 @@ SELECT n::BIGINT AS n_docs, round(avgdl, 6) AS avg_len,
 FROM totals
 """)
 def bm25_corpus_stats(spark, d):
-    counts = stage(term_counts(table(spark, d, "documents")), "terms")
-    return corpus_totals(counts).select("n_docs", six("avg_len", "avg_len"), "n_terms", six("mean_idf", "mean_idf"))
+    totals = keyword_index(spark, d).totals()
+    return spark.createDataFrame([totals], "n_docs long, avg_len double, n_terms long, mean_idf double").select(
+        "n_docs", six("avg_len", "avg_len"), "n_terms", six("mean_idf", "mean_idf"))
 
 
 @query("bm25_topk", f"""
@@ -120,7 +133,23 @@ WITH questions AS (SELECT item_id AS query_id, text AS query FROM benchmark), {B
 SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM bm25
 """)
 def bm25_topk_query(spark, d):
-    hits = bm25_topk(table(spark, d, "documents"), passages(spark, d))
+    hits = bm25_topk(None, passages(spark, d), index=keyword_index(spark, d))
+    return hits.select("query_id", "doc_id", six("score", "score"), "rank")
+
+
+@query("keyword_index_changes", f"""
+WITH questions AS (SELECT item_id AS query_id, text AS query FROM benchmark),
+{BM25_SQL.replace("FROM documents", "FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")}
+SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM bm25
+""")
+def keyword_index_changes(spark, d):
+    """An index that is built, changed and read: texts come late for documents known by their source, toxic ones go again."""
+    docs = table(spark, d, "documents").select("doc_id", "text", "source")
+    toxic = table(spark, d, "labels").where("toxic = 1").select("doc_id")
+    index = KeywordIndex.of(docs.withColumn("text", F.when(F.crc32(F.col("source").cast("binary")) % 2 == 0, F.col("source")).otherwise(F.col("text"))))
+    index.put(docs.where(F.crc32(F.col("source").cast("binary")) % 2 == 0))
+    index.remove(toxic)
+    hits = bm25_topk(None, passages(spark, d), index=index)
     return hits.select("query_id", "doc_id", six("score", "score"), "rank")
 
 
@@ -178,24 +207,47 @@ def mmr_select_query(spark, d):
     return mmr_topk(table(spark, d, "embeddings"), label_vectors(spark, d)).select("query_id", "vec_id", "rank")
 
 
-def paired_vectors(spark, d):
-    """Vectors of the documents with the same number."""
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return vectors.join(table(spark, d, "documents").select("doc_id"), "doc_id", "left_semi")
+_VECTORS: dict[tuple[str, str], object] = {}
 
 
-def paired_questions(spark, d):
-    """Benchmark passages with the vector of the same number."""
-    vectors = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
-    return passages(spark, d).join(vectors, "query_id")
+def document_vectors(spark, d):
+    """Vectors of all documents by the library's embedder, made once per application."""
+    at = spark.sparkContext.applicationId, d
+    if at not in _VECTORS:
+        docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+        _VECTORS[at] = stage(docs.select("doc_id", embed_text("text").alias("embedding")), "document-vectors")
+    return _VECTORS[at]
 
 
-PAIRED_SQL = f"""
-questions AS (SELECT item_id AS query_id, text AS query, embedding::DOUBLE[] AS q
-              FROM benchmark JOIN embeddings ON vec_id = item_id),
+def embedded_passages(spark, d):
+    """The benchmark passages with their vectors."""
+    return stage(spread(passages(spark, d)).withColumn("embedding", embed_text("query")), "questions")
+
+
+def _embedded_sql(name: str, source: str, key: str, text: str) -> str:
+    """Signed hash counts of a text's words in 64 slots, as a list per row."""
+    return f"""
+{name}_slots AS (
+  SELECT {key}, ('0x' || substr(md5(term), 1, 8))::BIGINT % 64 AS slot,
+         sum(CASE WHEN substr(md5(term), 9, 1) < '8' THEN 1 ELSE -1 END) AS v
+  FROM (SELECT {key}, unnest([x FOR x IN string_split_regex({text}, '{SPACE}') IF x <> '']) AS term FROM {source}) GROUP BY 1, 2
+),
+{name} AS (
+  SELECT {key}, list(coalesce(v, 0)::DOUBLE ORDER BY slot) AS embedding
+  FROM (SELECT {key}, slot FROM {source}, range(64) AS u(slot)) LEFT JOIN {name}_slots USING ({key}, slot) GROUP BY {key}
+)"""
+
+
+EMBEDDED_SQL = f"""
+questions AS (SELECT item_id AS query_id, text AS query FROM benchmark),
 {BM25_SQL},
-docvecs AS (SELECT doc_id, text, embedding FROM documents JOIN embeddings ON vec_id = doc_id),
-pairs AS (SELECT query_id, doc_id, list_cosine_similarity(q, embedding::DOUBLE[]) AS score FROM questions, docvecs),
+{_embedded_sql("qvecs", "questions", "query_id", "query")},
+{_embedded_sql("docvecs", "documents", "doc_id", "text")},
+norms AS (SELECT doc_id, embedding, sqrt(list_dot_product(embedding, embedding)) AS n FROM docvecs),
+pairs AS (
+  SELECT query_id, doc_id, coalesce(list_dot_product(q.embedding, d.embedding)
+    / nullif(d.n * sqrt(list_dot_product(q.embedding, q.embedding)), 0), 0) AS score FROM qvecs q, norms d
+),
 nearest AS (SELECT query_id, doc_id, score,
                    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank
             FROM pairs QUALIFY rank <= 10)
@@ -218,13 +270,13 @@ ranked AS (
 
 
 @query("rrf_fusion", f"""
-WITH {PAIRED_SQL}, vector_list AS (SELECT * FROM nearest WHERE rank <= 5), {FUSE_SQL}
+WITH {EMBEDDED_SQL}, vector_list AS (SELECT * FROM nearest WHERE rank <= 5), {FUSE_SQL}
 SELECT query_id, doc_id, round(score, 6) AS score, rank::INT AS rank FROM ranked
 """)
 def rrf_fusion(spark, d):
-    docs, asked = table(spark, d, "documents"), stage(paired_questions(spark, d), "questions")
-    keyword = bm25_topk(docs, asked)
-    near = vector_topk(paired_vectors(spark, d), asked, 5, vec_id="doc_id").select("query_id", "doc_id", "rank")
+    docs, asked = table(spark, d, "documents"), embedded_passages(spark, d)
+    keyword = bm25_topk(None, asked, index=keyword_index(spark, d))
+    near = vector_topk(document_vectors(spark, d), asked, 5, vec_id="doc_id").select("query_id", "doc_id", "rank")
     both = keyword.select("query_id", "doc_id", "rank", F.lit(0).alias("list")).unionByName(
         near.withColumn("list", F.lit(1)))
     with_text = docs.select("doc_id", "text").join(bounded(both, label="lists"), "doc_id")
@@ -234,7 +286,7 @@ def rrf_fusion(spark, d):
 
 
 @query("hybrid_retrieve", f"""
-WITH {PAIRED_SQL},
+WITH {EMBEDDED_SQL},
 pool AS (SELECT * FROM nearest),
 {_mmr_steps('pool', 'docvecs', 'doc_id')},
 vector_list AS (SELECT query_id, doc_id, pick AS rank FROM chosen5),
@@ -243,8 +295,8 @@ SELECT query_id, doc_id, lang, source, round(score, 6) AS score, rank::INT AS ra
 FROM ranked JOIN documents USING (doc_id) WHERE rank < 5
 """)
 def hybrid_retrieve_query(spark, d):
-    hits = hybrid_retrieve(table(spark, d, "documents"), stage(paired_questions(spark, d), "questions"),
-                           vectors=paired_vectors(spark, d), carry=("lang", "source"))
+    hits = hybrid_retrieve(table(spark, d, "documents"), embedded_passages(spark, d), vectors=document_vectors(spark, d),
+                           carry=("lang", "source"), index=keyword_index(spark, d))
     return hits.select("query_id", "doc_id", "lang", "source", six("score", "score"), "rank")
 
 

@@ -1,75 +1,10 @@
-"""Keyed parquet tables with upsert and delete that rewrite only touched buckets."""
+"""The code index's tables as a versioned store."""
 
 from __future__ import annotations
 
-import os
+from pyspark.sql import SparkSession, types as T
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-
-from lodeseek.operators.manifest import upsert, without_ids
-from lodeseek.runtime import delete_path, path_exists, stage
-
-
-class KeyedTable:
-    """A parquet folder partitioned by a hash bucket of its key.
-
-    A change joins only the buckets its keys fall in, stages the merged rows and
-    overwrites those partitions, so work follows the size of the change. A failed
-    write can be repeated: the same change gives the same rows.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType, key: str, buckets: int = 64):
-        self.spark, self.path, self.key, self.buckets = spark, path, key, buckets
-        self.schema = schema
-
-    def _bucket(self):
-        return F.pmod(F.xxhash64(self.key), F.lit(self.buckets)).cast("int")
-
-    def _bucketed(self) -> DataFrame:
-        stored = T.StructType([*self.schema.fields, T.StructField("_bucket", T.IntegerType())])
-        if not path_exists(self.spark, self.path):
-            return self.spark.createDataFrame([], stored)
-        return self.spark.read.schema(stored).parquet(self.path)
-
-    def read(self) -> DataFrame:
-        """All rows; a table never written is empty."""
-        return self._bucketed().drop("_bucket")
-
-    def count(self) -> int:
-        return self.read().count()
-
-    def upsert(self, rows: DataFrame) -> None:
-        """Insert rows, replacing those with the same key."""
-        incoming = stage(rows.select(*self.schema.names).withColumn("_bucket", self._bucket()), "upsert")
-        self._rewrite(incoming.select("_bucket"), lambda old: upsert(old, incoming, self.key))
-
-    def delete(self, ids: DataFrame) -> None:
-        """Remove rows by key; unknown keys and an empty list change nothing."""
-        gone = stage(ids.select(self.key).distinct().withColumn("_bucket", self._bucket()), "delete")
-        self._rewrite(gone.select("_bucket"), lambda old: without_ids(old, gone, self.key))
-
-    def clear(self) -> None:
-        delete_path(self.spark, self.path)
-
-    def overwrite(self, rows: DataFrame) -> None:
-        """Replace the whole table; the input may read this table."""
-        staged = stage(rows.select(*self.schema.names).withColumn("_bucket", self._bucket()), "overwrite")
-        self._write(staged, "static")
-
-    def _rewrite(self, touched: DataFrame, change) -> None:
-        buckets = {row[0] for row in touched.distinct().collect()}  # at most ``self.buckets`` rows
-        if not buckets:
-            return
-        old = self._bucketed().where(F.col("_bucket").isin(*buckets))
-        merged = stage(change(old), "merged")
-        left = {row[0] for row in merged.select("_bucket").distinct().collect()}
-        self._write(merged, "dynamic")
-        for bucket in buckets - left:
-            delete_path(self.spark, os.path.join(self.path, f"_bucket={bucket}"))
-
-    def _write(self, rows: DataFrame, mode: str) -> None:
-        (rows.repartition("_bucket").write.mode("overwrite")
-         .option("partitionOverwriteMode", mode).partitionBy("_bucket").parquet(self.path))
+from lodeseek.sources.store import Spec, Store
 
 
 CHUNK_TABLE = T.StructType([
@@ -85,9 +20,6 @@ MANIFEST_TABLE = T.StructType([
 ])
 
 
-def chunk_table(spark: SparkSession, store: str) -> KeyedTable:
-    return KeyedTable(spark, os.path.join(store, "code_chunks"), CHUNK_TABLE, "chunk_id")
-
-
-def manifest_table(spark: SparkSession, store: str) -> KeyedTable:
-    return KeyedTable(spark, os.path.join(store, "file_manifest"), MANIFEST_TABLE, "path")
+def code_store(spark: SparkSession, store: str) -> Store:
+    """Chunks and file manifest; a run changes both in one version."""
+    return Store(spark, store, {"code_chunks": Spec(CHUNK_TABLE, ("chunk_id",)), "file_manifest": Spec(MANIFEST_TABLE, ("path",))})

@@ -10,7 +10,7 @@ from lodeseek.plans.code_index import run_dry, run_index, sample_search
 from lodeseek.operators import filters
 from lodeseek.operators.chunking import embed_input, heading_path
 from lodeseek.sources.files import code_files, default_graph_schema, failed_chunks, graph_schema, json_lines, markdown_docs, CODE_ITEM
-from lodeseek.sources.tables import KeyedTable, chunk_table, manifest_table
+from lodeseek.sources.tables import code_store
 
 
 def write(base, files):
@@ -50,49 +50,26 @@ def test_component_order(spark):
     assert filters.first_files(df, None).count() == 3
 
 
-def test_keyed_table(spark, tmp_path):
-    from pyspark.sql import types as T
-
-    schema = T.StructType([T.StructField("id", T.StringType()), T.StructField("v", T.IntegerType())])
-    t = KeyedTable(spark, str(tmp_path / "t"), schema, "id", buckets=4)
-    rows = lambda *r: spark.createDataFrame(list(r), schema)
-    assert t.count() == 0
-    t.upsert(rows(*((f"k{n}", n) for n in range(20))))
-    t.upsert(rows(("k1", 100), ("new", 5)))
-    t.upsert(rows(("k1", 100), ("new", 5)))
-    assert t.count() == 21 and {r["id"]: r["v"] for r in t.read().collect()}["k1"] == 100
-    t.delete(spark.createDataFrame([("k1",), ("zzz",)], "id string"))
-    t.delete(spark.createDataFrame([], "id string"))
-    assert t.count() == 20
-    t.delete(t.read().select("id"))
-    assert t.count() == 0
-    t.upsert(rows(("x", 1)))
-    t.overwrite(t.read().unionByName(rows(("y", 2))))
-    assert t.count() == 2
-    t.clear()
-    assert t.count() == 0
-
-
 def test_incremental_run(spark, tree, tmp_path):
     store = str(tmp_path / "store")
     first = run_index(spark, tree, store, "2026-01-01T00:00:00+00:00").first()
     assert (first["files_scanned"], first["files_indexed"], first["files_unchanged"], first["files_removed"]) == (5, 5, 0, 0)
-    assert first["files_by_lang"] == {"python": 3, "javascript": 2} and first["total_chunks"] == chunk_table(spark, store).count()
+    assert first["files_by_lang"] == {"python": 3, "javascript": 2} and first["total_chunks"] == code_store(spark, store).read("code_chunks").count()
     assert first["chunks_by_dir"]["sub"] == 1
     write(tree, {"a.py": "def foo():\n    return 2\n\ndef new():\n    pass\n", "c.py": "y = 1\n"})
     os.remove(os.path.join(tree, "sub/b.js"))
     second = run_index(spark, tree, store, "2026-01-02T00:00:00+00:00").first()
     assert (second["files_scanned"], second["files_indexed"], second["files_unchanged"], second["files_removed"]) == (5, 2, 3, 1)
-    rows = {r["chunk_id"]: r for r in chunk_table(spark, store).read().collect()}
+    rows = {r["chunk_id"]: r for r in code_store(spark, store).read("code_chunks").collect()}
     assert "a.py#new#4" in rows and not any(k.startswith("sub/b.js") for k in rows)
     assert rows["a.py#foo#1"]["document"].endswith("return 2") and all(r["signature"] is not None for r in rows.values())
-    stamps = {r["path"]: r["indexed_at"] for r in manifest_table(spark, store).read().collect()}
+    stamps = {r["path"]: r["indexed_at"] for r in code_store(spark, store).read("file_manifest").collect()}
     assert stamps["UP.PY"].startswith("2026-01-01") and stamps["a.py"].startswith("2026-01-02")
     # A limit narrows what is indexed, not what exists.
     write(tree, {"a.py": "z = 3\n", "zz.py": "late = 1\n"})
     third = run_index(spark, tree, store, "2026-01-03T00:00:00+00:00", limit=2).first()
     assert third["files_removed"] == 0
-    paths = {r["path"] for r in manifest_table(spark, store).read().collect()}
+    paths = {r["path"] for r in code_store(spark, store).read("file_manifest").collect()}
     assert {"UP.PY", "a.py", "bad.py", "c.py", "explain/other.js"} == paths
     lines = [json.loads(l) for f in sorted(os.listdir(os.path.join(store, "chunks-manifest"))) if f.endswith(".json")
              for l in open(os.path.join(store, "chunks-manifest", f), encoding="utf-8")]

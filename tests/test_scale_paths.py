@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.config import DEFAULTS
 from lodeseek.operators import bm25 as B
+from lodeseek.sources.keyword_index import KeywordIndex
 from lodeseek.operators.bounded import bounded
 from lodeseek.operators.chunking import integer_runs, number_chunks, repeated_ids
 from lodeseek.operators.ordered import row_numbers, running_total
@@ -65,20 +66,58 @@ def _bm25_brute(docs, query, k):
     return sorted(((-round(s, 9), i) for i, s in scores.items()))[:k]
 
 
-@pytest.mark.parametrize("cells", [B.DENSE_CELLS, 0])
-def test_bm25_against_brute_force(spark, monkeypatch, cells):
-    monkeypatch.setattr(B, "DENSE_CELLS", cells)
+@pytest.mark.parametrize("weights,pairs", [(B.BLOCK_WEIGHTS, B.CHUNK_PAIRS), (500, 100)])
+def test_bm25_against_brute_force(spark, monkeypatch, weights, pairs):
+    """Also with queries in several blocks and documents in many chunks."""
+    monkeypatch.setattr(B, "BLOCK_WEIGHTS", weights)
+    monkeypatch.setattr(B, "CHUNK_PAIRS", pairs)
     docs, asked = table(spark, SMALL, "documents"), table(spark, SMALL, "benchmark").select(
         F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-    got = B.bm25_topk(docs, asked).collect()
-    rows = docs.select("doc_id", "text").collect()
+    check_bm25(B.bm25_topk(docs, asked), docs, asked)
+
+
+def check_bm25(hits, docs, asked):
+    got, rows = hits.collect(), docs.select("doc_id", "text").collect()
     for q in asked.collect():
         mine = sorted((r for r in got if r["query_id"] == q["query_id"]), key=lambda r: r["rank"])
-        brute = _bm25_brute(rows, q["query"], 10)
+        brute = _bm25_brute([(i, t or "") for i, t in rows], q["query"], 10)
         assert [r["doc_id"] for r in mine] == [i for _, i in brute]
         assert np.allclose([r["score"] for r in mine], [-s for s, _ in brute], atol=1e-6)
 
 
+def test_keyword_index_changes(spark, tmp_path):
+    """Added, changed and removed documents: totals and hits are those of an index of what is left."""
+    docs, asked = table(spark, SMALL, "documents").select("doc_id", "text"), table(spark, SMALL, "benchmark").select(
+        F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    index = KeywordIndex(spark, str(tmp_path / "index"), bucket_bytes=20_000)
+    index.put(docs.where("doc_id < 120").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.lit("the former text")).otherwise(F.col("text"))))
+    index.put(docs.where("doc_id % 3 = 0 or doc_id >= 120"))
+    index.remove(docs.where("doc_id % 10 = 7").select("doc_id").unionByName(spark.createDataFrame([(99_999,)], "doc_id long")))
+    index.put(spark.createDataFrame([(500, None), (501, "  ")], "doc_id long, text string"))
+    left = docs.where("doc_id % 10 != 7").unionByName(spark.createDataFrame([(500, None), (501, "")], "doc_id long, text string"))
+    plain, totals = KeywordIndex.of(left).totals(), index.totals()
+    assert totals["n_docs"] == plain["n_docs"] == left.count() and totals["n_terms"] == plain["n_terms"]
+    assert totals["mean_idf"] == pytest.approx(plain["mean_idf"], abs=1e-12) and totals["avg_len"] == pytest.approx(plain["avg_len"])
+    check_bm25(B.bm25_topk(None, asked, index=index), left, asked)
+    stale = index.store.read("postings").count()
+    index.compact()
+    assert index.store.read("postings").count() < stale
+    check_bm25(B.bm25_topk(None, asked, index=index), left, asked)
+
+
+def test_keyword_query_opens_its_buckets_only(spark, tmp_path):
+    docs = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.sha2((F.col("id") * 7 + i).cast("string"), 256) for i in range(8)]).alias("text"))
+    index = KeywordIndex(spark, str(tmp_path / "index"), bucket_bytes=100_000)
+    index.put(docs)
+    word = docs.where("doc_id = 5").first()["text"].split()[0]
+    asked = spark.createDataFrame([(1, word)], "query_id long, query string")
+    read = index.postings(asked.select(F.col("query").alias("term")))
+    assert len(read.inputFiles()) < len(index.store.read("postings").inputFiles()) / 4
+    hits = B.bm25_topk(None, asked, index=index)
+    assert [r["doc_id"] for r in hits.orderBy("rank").collect()] == sorted(r["doc_id"] for r in docs.where(F.col("text").contains(word)).collect())
+    assert hits.inputFiles() and all("/data/postings-" in f for f in hits.inputFiles())  # no text is read
+
+
 def test_bm25_without_matches(spark):
     docs = spark.createDataFrame([(1, "a b"), (2, "")], "doc_id long, text string")
     asked = spark.createDataFrame([(1, "zzz"), (2, "")], "query_id long, query string")
