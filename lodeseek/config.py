@@ -132,7 +132,7 @@ class Tunables:
     # Spark-side limits
     window_group_rows: int = 2_000_000
     query_block_rows: int = 4_096
-    vector_block_rows: int = 50_000
+    vector_block_rows: int = 4_096
 
     env_prefix: str = field(default="LODESEEK_", repr=False)
 

@@ -13,6 +13,7 @@ from lodeseek.operators.vector import mmr_topk, vector_topk
 from lodeseek.plans.registry import query, table
 from lodeseek.runtime import spread, stage
 from lodeseek.sources.keyword_index import KeywordIndex
+from lodeseek.sources.vector_index import VectorIndex
 
 # White space as Python splits it, for the checking SQL.
 SPACE = r"[\t\n\x0b\f\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
@@ -176,6 +177,18 @@ def vector_topk_batch(spark, d):
     return hits.select("query_id", "vec_id", six("score", "score"), "rank")
 
 
+@query("vector_index_topk", f"""
+WITH {VECTOR_QUESTIONS_SQL}, {NEAREST_SQL}
+SELECT query_id, vec_id, round(score, 6) AS score, rank::INT AS rank FROM nearest WHERE rank <= 10
+""")
+def vector_index_topk(spark, d):
+    """The same through stored cells, written in two parts."""
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    index = VectorIndex.of(vectors.where("vec_id % 3 != 0"))
+    index.add(vectors.where("vec_id % 3 = 0"))
+    return index.search(label_vectors(spark, d), 10).hits.select("query_id", "vec_id", six("score", "score"), "rank")
+
+
 @query("graph_vector_score", f"""
 WITH {VECTOR_QUESTIONS_SQL}, {NEAREST_SQL}
 SELECT query_id, vec_id, round((1 + score) / 2, 6) AS score FROM nearest WHERE rank <= 8
