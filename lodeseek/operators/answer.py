@@ -74,19 +74,23 @@ def rerank(candidates: DataFrame, scorer: Callable | None = None, queries: DataF
            cfg: Tunables = DEFAULTS) -> DataFrame:
     """Best ``rerank_top_n`` candidates per query with a 1-based rank.
 
-    A plugged-in ``(query texts, documents) -> scores`` replaces the scores (4
-    decimals); without one, or where it fails, the candidates' own scores order them. Ties keep ``pos``.
+    A plugged-in ``(query texts, documents) -> scores`` is called once per query with all its candidates (a search has a few dozen)
+    and replaces their scores (4 decimals). Where it fails, or leaves one out, all candidates of that query keep their own scores,
+    so no ranking mixes two scales and no query suffers from another. Ties keep ``pos``.
     """
     if scorer is not None:
-        @F.pandas_udf("double")
-        def run(query: pd.Series, text: pd.Series) -> pd.Series:
+        names = candidates.columns
+
+        def judge(group: pd.DataFrame) -> pd.DataFrame:
             try:
-                return pd.Series(scorer(query.tolist(), text.fillna("").tolist()), index=text.index, dtype="float64")
-            except Exception:  # any failure of the plugged-in model leaves these rows their own scores
-                return pd.Series(None, index=text.index, dtype="float64")
+                scores = pd.Series(scorer(group["query"].tolist(), group["rerank_text"].fillna("").tolist()), dtype="float64")
+            except Exception:  # any failure of the plugged-in model
+                return group[names]
+            whole = len(scores) == len(group) and scores.notna().all()
+            return (group.assign(score=scores.round(4).to_numpy()) if whole else group)[names]
 
         asked = candidates.join(queries.select("query_id", "query"), "query_id")
-        candidates = asked.withColumn("score", F.coalesce(F.round(run("query", "rerank_text"), 4), "score")).drop("query")
+        candidates = asked.groupBy("query_id").applyInPandas(judge, candidates.schema)
     return top_k(candidates, ["query_id"], [F.desc("score"), F.col("pos")], cfg.rerank_top_n)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 from typing import Callable, Iterator
 
 import pandas as pd
@@ -310,21 +311,28 @@ def reverse_samples(graph: PropertyGraph, entities: int = 3, per_entity: int = 5
 
 
 def graph_stats(graph: PropertyGraph) -> DataFrame:
-    """One row of node, edge, embedding and orphan counts; each count is its own subquery."""
-    def count(df: DataFrame) -> Column:
-        return df.agg(F.count(F.lit(1)).alias("n")).scalar()
-
-    spark = graph.entities.sparkSession
-    entities, documents, communities = map(count, (graph.entities, graph.documents, graph.communities))
-    mentions, rels, members = map(count, (graph.mentions, graph.entity_rels, graph.in_community))
-    embedded = lambda df: df.agg(F.count("embedding").alias("n")).scalar()
-    return spark.range(1).select(
-        (entities + documents + communities).alias("nodes"), entities.alias("entities"),
-        documents.alias("documents"), communities.alias("communities"),
-        (mentions + rels + members).alias("relationships"), mentions.alias("mentions"),
-        rels.alias("entity_rels"), embedded(graph.entities).alias("entity_embeddings"),
-        embedded(graph.documents).alias("chunk_embeddings"),
-        count(orphan_entities(graph)).alias("orphan_entities"))
+    """One row of node, edge, embedding and orphan counts, from one pass over each table.
+
+    All six are one union of (kind, id, embedded); only entities and mentions carry an id, by which they meet to tell orphans.
+    """
+    def tagged(kind: str, df: DataFrame, key: Column | None = None) -> DataFrame:
+        embedded = F.col("embedding").isNotNull() if "embedding" in df.columns else F.lit(False)
+        return df.select(F.lit(kind).alias("kind"), (F.lit(None) if key is None else key).cast("string").alias("id"), embedded.alias("embedded"))
+
+    kinds = {"entities": graph.entities, "documents": graph.documents, "communities": graph.communities,
+             "mentions": graph.mentions, "entity_rels": graph.entity_rels, "members": graph.in_community}
+    keys = {"entities": F.col("id"), "mentions": F.col("entity_id")}
+    rows = reduce(DataFrame.union, [tagged(kind, df, keys.get(kind)) for kind, df in kinds.items()])
+    vectors = {"entity_embeddings": "entities", "chunk_embeddings": "documents"}
+    by_id = rows.groupBy("id").agg(
+        *[F.count_if(F.col("kind") == kind).alias(kind) for kind in kinds],
+        *[F.count_if((F.col("kind") == kind) & F.col("embedded")).alias(name) for name, kind in vectors.items()])
+    by_id = by_id.withColumn("orphan_entities", F.when(F.col("mentions") == 0, F.col("entities")).otherwise(0))
+    sums = by_id.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in (*kinds, *vectors, "orphan_entities")])
+    return sums.select(
+        (F.col("entities") + F.col("documents") + F.col("communities")).alias("nodes"), "entities", "documents", "communities",
+        (F.col("mentions") + F.col("entity_rels") + F.col("members")).alias("relationships"), "mentions", "entity_rels",
+        *vectors, "orphan_entities")
 
 
 def integrity(stats: DataFrame) -> DataFrame:

@@ -132,7 +132,7 @@ SELECT entities + documents + communities AS nodes, entities, documents, communi
 
 @query("graph_integrity", STATS_SQL)
 def graph_integrity(spark, d):
-    return integrity(graph_stats(text_graph(spark, d).staged()))
+    return integrity(graph_stats(text_graph(spark, d)))
 
 
 @query("reverse_samples", f"""{TEXT_GRAPH_SQL},

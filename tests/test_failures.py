@@ -44,3 +44,23 @@ def test_ranks_past_a_million_keep_the_source_order(spark):
     video = spark.createDataFrame([], "query_id long, rank long, url string, fetched_at string, title string, transcript string, score double")
     got = answer.merge_candidates(code, entity, web, video).orderBy("pos").collect()
     assert [r["source_type"] for r in got] == ["code", "textbook"]
+
+
+def test_rerank_fails_by_query(spark):
+    """A scorer that fails for one query, or leaves out a candidate of another, leaves only those with their own scores."""
+    rows = [(q, n, "web", f"{q}{n}", None, None, f"text {n}", 0.9 - n / 10) for q in ("good", "bad", "short") for n in range(4)]
+    candidates = spark.createDataFrame(rows, "query_id string, pos long, source_type string, ref string, url string, fetched_at string, rerank_text string, score double")
+    asked = spark.createDataFrame([(q, q) for q in ("good", "bad", "short")], "query_id string, query string")
+
+    def scorer(queries, texts):
+        assert len(set(queries)) == 1 and len(texts) == 4
+        if queries[0] == "bad":
+            raise RuntimeError("no model")
+        return [None if queries[0] == "short" and n == 2 else float(n) for n in range(4)]
+
+    got = {}
+    for r in rerank(candidates, scorer, asked).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["ref"], r["score"]))
+    assert got["good"] == [(f"good{n}", float(n)) for n in (3, 2, 1, 0)]
+    for q in ("bad", "short"):
+        assert [ref for ref, _ in got[q]] == [f"{q}{n}" for n in range(4)] and all(s < 1 for _, s in got[q])
