@@ -22,6 +22,8 @@ from lodeseek.llm.common import Scratch, text_of
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BREAK_ANY_CASE = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 WINDOW = 13
+#: Contaminated: at least one in so many words is hit.
+SHARE = 20
 SHINGLE = 3
 
 
@@ -91,11 +93,20 @@ def find_windows(docs: DataFrame, items: DataFrame, scratch: Scratch, window: in
     return found
 
 
-def scan(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, share: int = 20) -> DataFrame:
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with id and text hash as ``doc_id``: two texts under one id don't share their hits."""
+    return docs.withColumn("doc_id", F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("hash")))
+
+
+def scan(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, items (sorted), contaminated.
 
     ``contaminated`` is n_hit > 0 and ``share`` * n_hit >= n_words.
     """
+    return _scan(keyed(docs.select("doc_id", "text")), items, scratch, window, share).withColumn("doc_id", F.col("doc_id.id"))
+
+
+def _scan(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int, share: int) -> DataFrame:
     found = scratch.put(find_windows(docs, items, scratch, window), "found")
     spans = found.groupBy("doc_id", "start").agg(F.max(F.col("start") + F.col("n")).alias("end"))
     spans = spans.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
@@ -118,5 +129,6 @@ def scan(docs: DataFrame, items: DataFrame, scratch: Scratch, window: int = WIND
 
 def clean_rows(docs: DataFrame, items: DataFrame, scratch: Scratch) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, all columns."""
-    bad = scratch.put(scan(docs, items, scratch).where("contaminated").select(F.col("doc_id").alias("_bad_id")).distinct(), "bad")
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_bad_id")), "left_anti")
+    found = _scan(keyed(docs.select("doc_id", "text")), items, scratch, WINDOW, SHARE)
+    bad = scratch.put(found.where("contaminated").select(F.col("doc_id").alias("_bad")).distinct(), "bad")
+    return docs.join(bad, F.struct(F.col("doc_id").alias("id"), F.xxhash64(text_of()).alias("hash")).eqNullSafe(F.col("_bad")), "left_anti")

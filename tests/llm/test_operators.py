@@ -282,22 +282,52 @@ def test_language_on_rows(spark, docs, empty):
 
 
 def test_block_index_is_exact():
+    """Like vectors share blocks, so a search opens few of them, and finds what a dense product finds."""
     rng = np.random.default_rng(3)
-    rows = []
-    for i in range(700):
-        ids = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
-        w = rng.random(len(ids))
-        rows.append((i, int(rng.integers(2)), ids, w / np.sqrt((w ** 2).sum())))
-    index = toxicity.BlockIndex.build(rows, 40)
-    dense = np.zeros((700, 40))
-    for i, _, ids, w in rows:
+    rows, topics = [], [np.sort(rng.choice(400, 30, replace=False)) for _ in range(12)]
+    for i in range(900):
+        ids = np.sort(rng.choice(topics[i % 12], rng.integers(4, 12), replace=False))
+        w = rng.random(len(ids)) + 0.1
+        rows.append((i, int(rng.integers(2)), 7 * i % 900, ids, w / np.sqrt((w ** 2).sum())))
+    index = toxicity.BlockIndex.build(rows, 400)
+    dense = np.zeros((900, 400))
+    for i, _, _, ids, w in rows:
         dense[i, ids] = w
-    for i in range(0, 700, 23):
-        _, _, ids, w = rows[i]
+    for i in range(0, 900, 23):
+        _, _, digest, ids, w = rows[i]
         places, cosines = index.search(ids, w, 10)
-        exact_scores = np.sort(dense[:, ids] @ w)[::-1][:10]
-        assert np.allclose(cosines, exact_scores, atol=1e-5)
-        assert i not in index.ids[index.search(ids, w, 10, without=i)[0]]
+        assert np.allclose(cosines, np.sort(dense[:, ids] @ w)[::-1][:10], atol=1e-5)
+        others, cosines = index.search(ids, w, 10, without=digest)
+        assert i not in index.ids[others] and np.allclose(cosines, np.sort(np.delete(dense[:, ids] @ w, i))[::-1][:10], atol=1e-5)
+    assert index.opened < 0.5 * index.bounded
+    few = toxicity.BlockIndex.build(rows[:3], 400)
+    assert len(few.search(*rows[0][3:], 10)[0]) <= 3
+
+
+def test_toxicity_against_brute_force(spark, empty):
+    """Scores of all rows from plain dictionaries: cosines with every example but the text itself, votes, curve."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 9))) for _ in range(120)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randrange(1, 30))) for _ in range(90)]
+    texts = [t + (" scum" if i % 7 == 0 else "") for i, t in enumerate(texts)] + texts[:5] + ["", None, "12 !", "abc " * 30_000]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)] + [(3, texts[3], None, None), (None, "scum", None, None)]
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, scratch(spark))
+    vector = toxicity.Vectors(model.terms, model.idf)
+    by_id = {i: t for i, t, *_ in rows}
+    examples = [(int(i), toxic, dict(zip(*map(list, vector(by_id[int(i)]))))) for i, toxic in zip(model.index.ids, model.index.toxic)]
+    for r in toxicity.score(frame(spark, rows), model).collect():
+        text = "scum" if r["doc_id"] is None else by_id[r["doc_id"]]
+        mine = dict(zip(*map(list, vector(text))))
+        if not mine:
+            assert r["score"] == pytest.approx(model.without_terms) and not r["evidence"]
+            continue
+        near_by = sorted(((sum(w * theirs.get(t, 0.0) for t, w in mine.items()), i, toxic) for i, toxic, theirs in examples if by_id[i] != text), reverse=True)
+        votes = [(1 / (toxicity.NEAR + max(0.0, 1 - c)), toxic) for c, _, toxic in near_by[:toxicity.NEIGHBOURS] if c > 0]
+        raw = (sum(v * t for v, t in votes) + model.prior) / (sum(v for v, _ in votes) + 1)
+        assert r["score"] == pytest.approx(0.98 * np.interp(raw, *model.curve) + 0.02 * raw, abs=1e-4)
+        assert text not in [by_id[i] for i in r["evidence"]]
+        assert list(r["nearness"]) == pytest.approx([c for c, *_ in near_by[:3] if c > 0], abs=1e-5)
 
 
 def test_toxicity_on_rows(spark, docs, empty):
@@ -356,5 +386,64 @@ def test_toxicity_learns_from_few_texts_and_all_terms(spark):
     assert set(model.terms) == {t for text in learned for w in text.split() for t in toxicity.terms_of(w)}
     texts = [r[1] for r in rows[:60]] + ["scum", "", None, "xyz"]
     vector = toxicity.Vectors(model.terms, model.idf)
-    together, alone = model.score_all([vector(t) for t in texts]), [model.score_all([vector(t)])[0] for t in texts]
-    assert together == alone and together[60][0] > max(together[i][0] for i in range(60) if i % 12) and together[61:] == [(model.without_terms, [], [])] * 3
+    got = model.judge_all([vector(t) for t in texts], [toxicity.digest_of(t) for t in texts])
+    assert got == [model.judge_all([vector(t)], [toxicity.digest_of(t)])[0] for t in texts]
+    assert got[60][0] > max(got[i][0] for i in range(60) if i % 12) and got[61:] == [(model.without_terms, [], [])] * 3
+
+
+@pytest.mark.parametrize("bound", [near.HEAVY_BYTES, -1])
+def test_prefix_join_finds_all_pairs(spark, monkeypatch, bound):
+    """A large group, near misses of it and a common passage: the prefix join brings every pair at the threshold, through either plan."""
+    monkeypatch.setattr(near, "LIGHT", 4)
+    rng, hasher = random.Random(9), hashing.WordHasher()
+    base, passage = prose(21, 60).split(), prose(22, 30).split()
+    texts = []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3])):
+            words[rng.randrange(60)] = f"z{rng.randrange(10**6)}"
+        texts.append(words)
+    texts += [prose(100 + i, 30).split() + passage for i in range(30)]
+    texts += [t[:-1] + ["end"] for t in texts[60:70]]
+    hashes = [hasher(t) for t in texts]
+    component = [0 if i < 40 else i for i in range(len(texts))]
+    rows = spark.createDataFrame([(i, c, c != 0) for i, c in enumerate(component)], "doc long, component long, minor boolean")
+    words = spark.createDataFrame([(i, bytearray(h.tobytes())) for i, h in enumerate(hashes)], "doc long, words binary")
+    got = {(r["a"], r["b"]) for r in near._prefix_pairs(rows, words, scratch(spark), bound).collect()}
+    need = {(a, b) for a in range(len(texts)) for b in range(a + 1, len(texts)) if component[a] != component[b] and near.alignment(hashes[a], hashes[b]) >= near.THRESHOLD}
+    assert need and need <= got and len(got) < len(texts) ** 2 / 4
+
+
+def test_near_repeated_ids_and_short_texts(spark, empty):
+    """Two texts under one id keep their own words; eight words and nine that share them link."""
+    rng = random.Random(4)
+    rows, pairs = [], []
+    for i in range(120):
+        words = [f"q{rng.randrange(10**6)}" for _ in range(8)]
+        rows += [(1000 + 2 * i, " ".join(words), None, None), (1001 + 2 * i, " ".join([*words, "more"]), None, None)]
+        pairs.append((1000 + 2 * i, 1001 + 2 * i))
+    rows += [(1, prose(31, 80), None, None), (1, prose(32, 80), None, None), (2, prose(32, 79), None, None)]
+    got = {}
+    for r in near.classes(frame(spark, rows), scratch(spark)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["class_id"])
+    assert all(got[b] == {a} for a, b in pairs) and got[2] == {1}
+
+
+def test_contamination_of_repeated_ids(spark):
+    """Two texts under one id, or without one, have their own hits; only the contaminated one goes."""
+    item = prose(41, 20)
+    items = spark.createDataFrame([("a", item)], "item_id string, text string")
+    rows = [(5, item, None, None), (5, prose(42, 30), None, None), (None, item, None, None), (None, prose(43, 30), None, None), (5, item, None, None)]
+    got = sorted((str(r["doc_id"]), r["n_words"], r["n_hit"], r["contaminated"]) for r in contamination.scan(frame(spark, rows), items, scratch(spark)).collect())
+    assert got == [("5", 20, 20, True), ("5", 20, 20, True), ("5", 30, 0, False), ("None", 20, 20, True), ("None", 30, 0, False)]
+    assert sorted(str(r["doc_id"]) for r in contamination.clean_rows(frame(spark, rows), items, scratch(spark)).collect()) == ["5", "None"]
+
+
+def test_language_reads_long_runs_whole():
+    """Text without spaces is labelled by all its letters: two runs that differ only far inside differ in their words."""
+    left, right = "a" * 30 + "bcd" * 20 + "a" * 30, "a" * 30 + "xyz" * 20 + "a" * 30
+    assert "".join(language.WORD.findall(left)) == left and language.WORD.findall(left) != language.WORD.findall(right)
+    assert all(len(w) <= 24 for w in language.WORD.findall(left))
+    pools = [("en", " ".join(["the", "house", "and", "garden", "with", "wood"] * 12)), ("xx", "qzxqzxqzxq" * 40)] * 30
+    label = language.Labeller(language.fit(pools))
+    assert label(["the house and the garden", "with" + "qzxqzxqzxq" * 30 + "with"])[1][0] == "xx"

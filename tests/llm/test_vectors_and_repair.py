@@ -10,6 +10,7 @@ import pytest
 
 from lodeseek.llm import centroids, embedding_near, queries, repair
 from lodeseek.llm.common import Scratch
+from lodeseek.llm.graph import components
 
 VECTORS = "vec_id long, embedding array<double>, label int, n long, x string, node string, component string, digest string, cluster int, distance long"
 
@@ -222,3 +223,18 @@ def test_damage(spark):
         x = "" if kind == 1 else x.translate({46: None, 33: None, 63: None}) if kind == 2 else x
         expected += [(c, t, "user" if kind == 4 else r, x)] * {0: 0, 3: 2}.get(kind, 1)
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, expected))
+
+
+def test_components(spark):
+    """Chains, cycles, stars and double links against a plain union."""
+    rng = random.Random(6)
+    pairs = [(i, i + 1) for i in range(60)] + [(i, i + 1) for i in range(100, 120)] + [(120, 100), (120, 100), (100, 120), (300, 300)]
+    pairs += [(200, 200 + i) for i in range(1, 9)] + [(rng.randrange(1000, 1100), rng.randrange(1000, 1100)) for _ in range(60)]
+    group = {n: n for p in pairs for n in p}
+    for a, b in pairs:
+        old, new = max(group[a], group[b]), min(group[a], group[b])
+        group = {n: new if g == old else g for n, g in group.items()}
+    got = components(spark.createDataFrame(pairs, "a long, b long"), Scratch(spark, "test")).collect()
+    linked = {n for a, b in pairs if a != b for n in (a, b)}
+    assert len(got) == len(linked) and {r["node"]: r["component"] for r in got} == {n: group[n] for n in linked}
+    assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark, "test")).count() == 0
