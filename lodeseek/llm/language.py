@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from lodeseek.llm.common import Scratch, fold_of
 
-WORD = re.compile(r"[^\W\d_]+")
+#: A word is a run of letters; longer runs (text without spaces) are cut into words of 24 letters, so every letter is read.
+WORD = re.compile(r"[^\W\d_]{1,24}")
 #: Bound of the training sample: passages per language, and characters of each.
 SEGMENTS, SEGMENT_CHARS = 1500, 400
 SEQUENCE_WORDS, STRETCH_WORDS = 96, (3, 30)
@@ -38,9 +39,7 @@ CHUNK_WORDS, BLOCK, CACHE_WORDS = 80_000, 32, 200_000
 
 
 def word_features(word: str) -> list[str]:
-    """Affix and n-gram features; long words count by their first and last 12 letters."""
-    if len(word) > 24:
-        word = word[:12] + word[-12:]
+    """Affix and n-gram features."""
     marked = f"^{word}$"
     out = [f"w:{word}"]
     for n in (1, 2, 3, 4):
@@ -134,7 +133,7 @@ def fit(samples: list[tuple[str, str]], seed: int = 7) -> Model | None:
     often = np.bincount(ids)
     for w, i in vocabulary.items():  # the lexicon: words met often enough
         if often[i] >= MIN_SEEN:
-            seen[f"w:{w}" if len(w) <= 24 else f"w:{w[:12]}{w[-12:]}"] = MIN_SEEN
+            seen[f"w:{w}"] = MIN_SEEN
     features = {f: i for i, f in enumerate(sorted(f for f, n in seen.items() if n >= MIN_SEEN))}
     model = Model(labels, features, np.zeros((len(features), len(labels))), np.zeros((len(labels),) * 2))
     picked, counts = [], []
