@@ -25,13 +25,13 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, os.path.join(shared_dir(spark), "llm", f"{label}-{uuid.uuid4().hex}")
-        self.paths: dict[int, str] = {}
+        self.tables = 0
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = os.path.join(self.root, f"{name}-{len(self.paths)}")
+        self.tables += 1
+        path = os.path.join(self.root, f"{name}-{self.tables}")
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 

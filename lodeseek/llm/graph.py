@@ -20,20 +20,21 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node hangs on one node that itself hangs on none."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(edges.select("b", F.lit(0), F.lit(1)))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or (up > 0 and down > 0)").isEmpty()
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``edges`` (a long, b long) -> (node, component), the component being its least node; nodes without links are absent.
 
-    Large and small stars alternate until the table stays the same; their number grows with the logarithm of the size.
+    Large and small stars alternate until only stars are left; their number grows with the logarithm of the size.
     """
     edges = scratch.put(edges.where("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = None
-    while True:
+    while not _settled(edges):
         new = scratch.put(_step(_step(edges, True), False), "stars")
-        sums = new.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
         scratch.drop(edges)
         edges = new
-        if sums == mark:
-            break
-        mark = sums
     return scratch.put(edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         edges.select("b", "b").distinct()), "components")

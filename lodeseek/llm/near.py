@@ -6,9 +6,9 @@ agrees too. Of ``SKETCHES`` sketches, texts at the threshold 0.8 share at least
 
 Equal word sequences are one text from here on. Texts that share a sketch form a bucket. Buckets are never expanded into
 pairs: each first compares its members to its most widely shared text alone. What is still split after that is compared
-in full if small; in a large bucket, neighbours in the order of the other sketches are compared, round after round until
-no new link is found. What large buckets still hold apart then meets in an exact prefix-filtered join: texts this similar
-share one of the rarest fifth of their shingles, so a passage that many texts share joins nothing.
+in full if small; in a large bucket, neighbours in the order of the other sketches are compared. What large buckets still hold apart then meets in an exact prefix-filtered join: texts this similar
+share one of the first fifth of their shingles in any common order, and those of many texts stand last, so a passage that many
+texts share joins nothing. Whatever it finds is aligned, however many sketches it shares.
 
 A candidate pair is verified by a banded alignment of the words (greedy, within the diagonals that the threshold allows):
 similarity = aligned shingles / (shingles of both - aligned). Linked texts form classes.
@@ -20,6 +20,7 @@ The class id is the least doc_id; null ids are not linked. Repeated rows share t
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from typing import Iterator
 
@@ -36,7 +37,11 @@ SHINGLE, THRESHOLD = 5, 0.8
 SKETCHES, PICKS = 20, 3
 #: Sketches that two texts must share to be aligned; members of a bucket that are compared with one another.
 AGREE, SMALL = 3, 32
-#: Neighbours that a member of a larger bucket is compared with in each round.
+#: Texts of fewer shingles need one shared sketch only: at the threshold 8 and 9 words agree in one of 20 with probability 0.99996.
+FEW = 16
+#: Tokens of at most so many texts are ordered by hash; bytes of a table of tokens that may go to the tasks.
+LIGHT, HEAVY_BYTES = 32, 16 << 20
+#: Neighbours that a member of a larger bucket is compared with.
 NEXT = 3
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 #: Cells of one block of the sketch matrix.
@@ -150,33 +155,35 @@ def _similarity(trail: list[dict[int, int]], x: int, y: int, shingles_a: int, sh
     return matched / (shingles_a + shingles_b - matched)
 
 
+def _digest(words: list[str]) -> bytes:
+    return hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:16]
+
+
 def _sketch_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
-        digests, values = [], []
+        digests, values, few = [], [], []
         for text in batch.column(1).to_pylist():
             words = WORD.findall(text.lower()) if text else []
-            if not words:
-                digests.append(None)
-                values.append(None)
-                continue
-            digests.append(hashlib.sha256(" ".join(words).encode("utf-8", "surrogatepass")).digest()[:16])
-            values.append(sketches(ngrams(hasher(words), SHINGLE)).view(np.int64))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64()))],
-                                         ["doc_id", "digest", "sketch"])
+            digests.append(_digest(words) if words else None)
+            values.append(sketches(ngrams(hasher(words), SHINGLE)).view(np.int64) if words else None)
+            few.append(len(words) < FEW + SHINGLE)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(values, pa.list_(pa.int64())), pa.array(few)],
+                                         ["doc_id", "digest", "sketch", "few"])
 
 
 def _word_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hasher = WordHasher()
     for batch in batches:
-        words = [(hasher(WORD.findall(t.lower())) >> np.uint64(32)).astype(np.uint32).tobytes() for t in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.binary())], ["doc", "words"])
+        texts = [WORD.findall(t.lower()) for t in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_digest(t) for t in texts], pa.binary()), pa.array([hasher(t).tobytes() for t in texts], pa.binary())],
+                                         ["digest", "words"])
 
 
 def _align_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (batch.column(i).to_pylist() for i in (2, 3))
-        scores = [alignment(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)) for x, y in zip(a, b)]
+        scores = [alignment(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b)]
         linked = pa.array([s >= THRESHOLD - 1e-12 for s in scores], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(linked)
 
@@ -190,12 +197,12 @@ def _verified(pairs: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame
 
 
 def _agreeing(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs that share enough sketches."""
-    left = texts.select(F.col("doc").alias("a"), F.col("sketch").alias("_sa"))
-    right = texts.select(F.col("doc").alias("b"), F.col("sketch").alias("_sb"))
+    """The pairs that share enough sketches: one where a text has few shingles, as there a sketch agrees more rarely."""
+    left = texts.select(F.col("doc").alias("a"), F.col("sketch").alias("_sa"), F.col("few").alias("_fa"))
+    right = texts.select(F.col("doc").alias("b"), F.col("sketch").alias("_sb"), F.col("few").alias("_fb"))
     both = pairs.join(left, "a").join(right, "b")
     agree = F.aggregate(F.zip_with("_sa", "_sb", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, x: n + x)
-    return both.where(agree >= AGREE).select("a", "b")
+    return both.where(agree >= F.when(F.col("_fa") | F.col("_fb"), 1).otherwise(AGREE)).select("a", "b")
 
 
 def _whole(members: DataFrame) -> DataFrame:
@@ -205,6 +212,13 @@ def _whole(members: DataFrame) -> DataFrame:
     return left.join(right, "key").where("a < b and _ca != _cb").select("a", "b")
 
 
+def _split(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """``buckets`` (key, i, doc) that hold several components: key, i, doc, component, n (members)."""
+    named = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("key", "i", "doc", F.coalesce("component", "doc").alias("component"))
+    split = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
+    return named.join(split.where("_lo != _hi").select("key", "n"), "key")
+
+
 def _neighbours(members: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs of different components next to each other in a bucket, ordered by the sketches that follow the bucket's own.
 
@@ -219,45 +233,123 @@ def _neighbours(members: DataFrame, texts: DataFrame) -> DataFrame:
     return rows.select(F.least("doc", "other.doc").alias("a"), F.greatest("doc", "other.doc").alias("b"))
 
 
-def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def packed(rows):
-        docs, components, tokens = zip(*rows)
-        lengths = [len(t) for t in tokens]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(docs, lengths), pa.int64()), pa.array(np.repeat(components, lengths), pa.int64()),
-             pa.array(np.repeat(lengths, lengths), pa.int64()), pa.array(np.concatenate(tokens).view(np.int64))],
-            ["doc", "component", "size", "token"])
-
-    rows, cells = [], 0
+def _apart(members: DataFrame) -> DataFrame:
+    """(doc, component, minor) of buckets that are still split. A text is minor if in one of its buckets another component is the
+    largest: of two texts of one bucket in different components one is."""
+    counts = members.groupBy("key", "component").agg(F.count(F.lit(1)).alias("_m"))
+    tops = counts.groupBy("key").agg(F.max_by("component", F.struct("_m", "component")).alias("_top"))
+    return members.join(tops, "key").groupBy("doc", "component").agg(F.bool_or(F.col("component") != F.col("_top")).alias("minor"))
+
+
+def _tokens(raw: bytes) -> np.ndarray:
+    return labelled(ngrams(np.frombuffer(raw, np.uint64), SHINGLE)).view(np.int64)
+
+
+def _token_counts(known: np.ndarray | None = None):
+    """Texts per token (of the ``known`` ones) with the least and largest component, added up in blocks of bounded size."""
+    def packed(tokens, components):
+        token, component = np.concatenate(tokens), np.concatenate(components)
+        order = np.lexsort((component, token))
+        token, component = token[order], component[order]
+        first = np.flatnonzero(np.r_[True, token[1:] != token[:-1]]) if len(token) else np.zeros(0, np.int64)
+        last = np.r_[first[1:], len(token)] if len(token) else first
+        return pa.RecordBatch.from_arrays([pa.array(token[first]), pa.array(last - first), pa.array(component[first]), pa.array(component[last - 1])],
+                                          ["token", "n", "lo", "hi"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, components, cells = [], [], 0
+        for batch in batches:
+            for component, raw in zip(batch.column("component").to_pylist(), batch.column("words").to_pylist()):
+                found = _tokens(raw)
+                tokens.append(found if known is None else found[is_in(found, known)])
+                components.append(np.full(len(tokens[-1]), component))
+                cells += len(tokens[-1])
+                if cells >= CELLS:
+                    yield packed(tokens, components)
+                    tokens, components, cells = [], [], 0
+        if tokens:
+            yield packed(tokens, components)
+
+    return run
+
+
+def is_in(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which tokens a sorted array has."""
+    if not len(known):
+        return np.zeros(len(tokens), bool)
+    return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
+
+
+def prefix_of(tokens: np.ndarray, known: np.ndarray, heavy: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a text's prefix and how many of its tokens stand from each on. Unknown tokens stand first and join nothing, as do
+    heavy ones of one component; heavy ones stand last, the rest goes by hash."""
+    is_known, is_heavy = is_in(tokens, known), is_in(tokens, heavy)
+    at = np.minimum(np.searchsorted(heavy, tokens), max(0, len(heavy) - 1))
+    n = np.where(is_heavy, counts[at], 0) if len(heavy) else np.zeros(len(tokens), np.int64)
+    places = len(tokens) - math.ceil(len(tokens) * THRESHOLD - 1e-9) + 1
+    order = np.lexsort((tokens, n, is_known))[:places]
+    open_ = is_known[order] & (~is_heavy[order] | shared[at[order]] if len(heavy) else True)
+    return tokens[order][open_], (len(tokens) - np.arange(len(order)))[open_]
+
+
+def _prefix_rows(*tables: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                tokens = [_tokens(raw) for raw in part.column("words").to_pylist()]
+                found = [prefix_of(t, *tables) for t in tokens]
+                lengths = [len(f[0]) for f in found]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate([f[0] for f in found])), pa.array(np.repeat(part.column("doc").to_numpy(), lengths)),
+                     pa.array(np.repeat(part.column("component").to_numpy(), lengths)), pa.array(np.repeat([len(t) for t in tokens], lengths)),
+                     pa.array(np.concatenate([f[1] for f in found]))], ["token", "doc", "component", "size", "rest"])
+
+    return run
+
+
+def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for doc, component, raw in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            rows.append((doc, component, labelled(ngrams(np.frombuffer(raw, np.uint32).astype(np.uint64), SHINGLE))))
-            cells += len(rows[-1][2])
-            if cells >= CELLS:
-                yield packed(rows)
-                rows, cells = [], 0
-    if rows:
-        yield packed(rows)
-
-
-def _prefix_pairs(apart: DataFrame, words: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of ``apart`` (doc, component) in different components that share a token of their prefixes.
-
-    Similarity t needs t * size shared shingles, so the size - ceil(t * size) + 1 rarest of each text can't all differ.
-    Of the shared tokens the first stands before all others, so what follows it in both texts must be enough for
-    t / (1 + t) of both sizes (positional bound): texts that share less than that never become a pair. Prefix tokens
-    that one component alone has join nothing and are dropped before the join.
+        for doc, component, raw in zip(*(batch.column(c).to_pylist() for c in ("doc", "component", "words"))):
+            tokens = _tokens(raw)
+            for at in range(0, len(tokens), CELLS):
+                part = tokens[at:at + CELLS]
+                yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(np.full(len(part), v)) for v in (doc, component, len(tokens)))],
+                                                 ["token", "doc", "component", "size"])
+
+
+def _prefixes(rows: DataFrame, scratch: Scratch, bound: int) -> DataFrame:
+    """(token, doc, component, size, rest) of the prefixes of ``rows`` (doc, component, minor, words).
+
+    One text of every pair is minor, so only tokens of minor texts can meet. The order of tokens needs no exact counts: those of
+    at most ``LIGHT`` texts go by hash, so that what meets in the join is bounded; only heavier ones are counted into a table.
+    Up to ``bound`` bytes the tokens of minor texts go to the tasks, beyond it all tokens are joined with the table.
+    """
+    kinds, sums = "token long, n long, lo long, hi long", [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
+    seen = scratch.put(rows.where("minor").mapInArrow(_token_counts(), kinds).groupBy("token").agg(*sums), "minor_tokens")
+    light = scratch.size(seen) <= bound
+    known = seen.select("token").orderBy("token").toArrow().column(0).to_numpy() if light else None
+    counted = seen.union(rows.where("not minor").mapInArrow(_token_counts(known), kinds)).groupBy("token").agg(*sums)
+    heavy = scratch.put(counted.where(F.col("n") > LIGHT).select("token", "n", (F.col("lo") != F.col("hi")).alias("shared")), "heavy")
+    if light:
+        table = heavy.orderBy("token").toArrow()
+        arrays = [table.column(c).to_numpy() for c in ("token", "n", "shared")]
+        return rows.mapInArrow(_prefix_rows(known, *arrays), "token long, doc long, component long, size long, rest long")
+    tokens = rows.mapInArrow(_token_rows, "token long, doc long, component long, size long").join(heavy, "token", "left")
+    place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("n", F.lit(0)), "token"))
+    tokens = tokens.withColumn("_r", place).where(F.col("_r") <= F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-9) + 1)
+    return tokens.where(F.coalesce("shared", F.lit(True))).select("token", "doc", "component", "size", (F.col("size") - F.col("_r") + 1).alias("rest"))
+
+
+def _prefix_pairs(apart: DataFrame, words: DataFrame, scratch: Scratch, bound: int = HEAVY_BYTES) -> DataFrame:
+    """Pairs of ``apart`` (doc, component, minor) in different components, one of them minor, that share a token of their prefixes.
+
+    Similarity t needs t * size shared shingles, so of each text the first size - ceil(t * size) + 1 in a common order can't
+    all differ. Of the shared tokens the first stands before all others, so what follows it in both texts must be enough for
+    t / (1 + t) of both sizes (positional bound): texts that share less than that never become a pair.
     """
-    rows = apart.join(words, "doc").select("doc", "component", "words").mapInArrow(
-        _shingle_rows, "doc long, component long, size long, token long")
-    rows = scratch.put(rows, "shingles")
-    counts = scratch.put(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-                         .where("_lo != _hi").select("token", "n"), "shared")
-    # tokens of one component rank first: they use up places of a prefix like any other rare token
-    rank = Window.partitionBy("doc").orderBy(F.coalesce("n", F.lit(0)), "token")
-    need = F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-9) + 1
-    prefix = rows.join(counts, "token", "left").withColumn("_r", F.row_number().over(rank)).where((F.col("_r") <= need) & F.col("n").isNotNull())
-    prefix = scratch.put(prefix.select("token", "doc", "component", "size", (F.col("size") - F.col("_r") + 1).alias("rest")), "prefix")
+    rows = scratch.put(apart.join(words, "doc").select("doc", "component", "minor", "words"), "apart_words")
+    prefix = scratch.put(_prefixes(rows, scratch, bound), "prefix")
     left, right = (prefix.select("token", F.col("doc").alias(x), F.col("component").alias(f"_c{x}"), F.col("size").alias(f"_n{x}"),
                                  F.col("rest").alias(f"_r{x}")) for x in "ab")
     enough = F.least("_ra", "_rb") >= THRESHOLD / (1 + THRESHOLD) * (F.col("_na") + F.col("_nb")) - 1e-9
@@ -267,47 +359,46 @@ def _prefix_pairs(apart: DataFrame, words: DataFrame, scratch: Scratch) -> DataF
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, class_id, class_size of every row."""
     rows = scratch.put(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        _sketch_rows, "doc_id long, digest binary, sketch array<long>"), "sketches")
-    texts = scratch.put(rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
-        F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch")), "texts")
+        _sketch_rows, "doc_id long, digest binary, sketch array<long>, few boolean"), "sketches")
+    texts = rows.where("digest is not null and doc_id is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("sketch").alias("sketch"), F.first("few").alias("few"))
+    texts = scratch.put(texts.withColumn("doc", F.monotonically_increasing_id()), "texts")  # a number of its own: rows may share a doc_id
     bands = texts.select("doc", F.posexplode("sketch").alias("i", "_v")).select("doc", "i", F.xxhash64("i", "_v").alias("key"))
     sizes = scratch.put(bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "sizes")
     members = scratch.put(bands.join(sizes, "key"), "members")
     spread = members.groupBy("doc").agg(F.sum("n").alias("spread"))
     members = scratch.put(members.drop("n").join(spread, "doc"), "members")
-    wanted = scratch.put(members.select("doc").distinct(), "wanted")
-    sources = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text")).where("text is not null")
-    words = scratch.put(sources.join(scratch.small(wanted), "doc", "left_semi").mapInArrow(_word_rows, "doc long, words binary")
-                        .dropDuplicates(["doc"]), "words")
+    wanted = scratch.put(texts.select("digest", "doc", "least").join(members.select("doc").distinct(), "doc"), "wanted")
+    sources = docs.select(F.col("doc_id").cast("long").alias("least"), F.col("text").cast("string").alias("text")).where("text is not null")
+    words = scratch.put(sources.join(scratch.small(wanted), "least", "left_semi").select("text").mapInArrow(_word_rows, "digest binary, words binary")
+                        .dropDuplicates(["digest"]).join(wanted.select("digest", "doc"), "digest").select("doc", "words"), "words")
     # first round: every member against the most widely shared text of its bucket
     hub = F.max_by("doc", F.struct("spread", -F.col("doc"))).alias("hub")
     hubs = members.groupBy("key").agg(hub)
     pairs = members.join(hubs, "key").where("doc != hub").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct()
     pairs = scratch.put(_agreeing(pairs, texts), "pairs")
     links = _verified(pairs, words, scratch)
-    tested, buckets, more = pairs, members.select("key", "i", "doc"), True
-    while more:
+    tested = pairs
+    found = components(links, scratch)
+    named = scratch.put(_split(members.select("key", "i", "doc"), found), "buckets")
+    # second round: small buckets in full, members of large ones against their neighbours
+    pairs = _whole(named.where(F.col("n") <= SMALL)).union(_neighbours(named.where(F.col("n") > SMALL), texts)).distinct()
+    pairs = scratch.put(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), texts), "pairs")
+    new = _verified(pairs, words, scratch)
+    large = named.where(F.col("n") > SMALL).select("key", "i", "doc")
+    if not new.isEmpty():
+        links, tested = scratch.put(links.union(new), "links"), tested.union(pairs)
         found = components(links, scratch)
-        named = buckets.join(found.withColumnRenamed("node", "doc"), "doc", "left").select(
-            "key", "i", "doc", F.coalesce("component", "doc").alias("component"))
-        split = named.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("_lo"), F.max("component").alias("_hi"))
-        named = scratch.put(named.join(split.where("_lo != _hi").select("key", "n"), "key"), "buckets")
-        pairs = _whole(named.where(F.col("n") <= SMALL)).union(_neighbours(named.where(F.col("n") > SMALL), texts)).distinct()
-        pairs = scratch.put(_agreeing(pairs.join(tested, ["a", "b"], "left_anti"), texts), "pairs")
-        new = _verified(pairs, words, scratch)
-        more = not new.isEmpty()
-        if more:
-            links, tested, buckets = scratch.put(links.union(new), "links"), scratch.put(tested.union(pairs), "tested"), named.drop("component", "n")
-    apart = scratch.put(named.where(F.col("n") > SMALL).select("doc", "component").distinct(), "apart")
+    apart = scratch.put(_apart(_split(large, found)), "apart")
     if not apart.isEmpty():
         pairs = _prefix_pairs(apart, words, scratch).join(tested, ["a", "b"], "left_anti")
-        new = _verified(scratch.put(_agreeing(pairs, texts), "pairs"), words, scratch)
+        new = _verified(scratch.put(pairs, "pairs"), words, scratch)
         if not new.isEmpty():
             found = components(scratch.put(links.union(new), "links"), scratch)
     # back to the rows: only texts with copies or links can have another class than their own id
-    joined = texts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("class_id", F.coalesce("component", "doc"))
-    sizes = joined.groupBy("class_id").agg(F.sum("copies").alias("class_size")).where("class_size > 1")
-    named = scratch.put(joined.join(sizes, "class_id").select("digest", "class_id", "class_size"), "named")
+    joined = texts.join(found.withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    sizes = joined.groupBy("component").agg(F.min("least").alias("class_id"), F.sum("copies").alias("class_size")).where("class_size > 1")
+    named = scratch.put(joined.join(sizes, "component").select("digest", "class_id", "class_size"), "named")
     out = rows.select("doc_id", "digest").join(named, "digest", "left")
     alone = F.col("doc_id").isNull()
     return out.select("doc_id", F.when(alone, None).otherwise(F.coalesce("class_id", "doc_id")).alias("class_id"),
