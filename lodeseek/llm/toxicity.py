@@ -307,10 +307,13 @@ def fit(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> Model:
     copies = texts.join(known.select("digest", F.col("doc_id").alias("_id"), "text").dropDuplicates(["digest", "_id"]), "digest")
     known = scratch.put(copies.where("doc_id = _id").select("doc_id", "mark", "text", "digest"), "known")
     lettered = F.col("text").rlike(r"\p{L}")
-    totals = known.agg(F.sum("mark"), F.count(F.lit(1))).first()
+    totals = known.agg(F.sum("mark"), F.count(F.lit(1)), F.count_if(lettered)).first()
     positive, count = int(totals[0] or 0), int(totals[1])
     prior = positive / count if count else 0.0
-    sample = scratch.put(known.where(lettered).orderBy("digest").limit(EXAMPLES).select("doc_id", "mark", "text"), "sample")
+    # the least digests lie below this share of their range, so only about twice as many texts as are taken meet in one task
+    share = min(1.0, 2 * EXAMPLES / max(1, int(totals[2])))
+    low = F.conv(F.substring("digest", 1, 8), 16, 10).cast("double") < share * (1 << 32)
+    sample = scratch.put(known.where(lettered & low).orderBy("digest").limit(EXAMPLES).select("doc_id", "mark", "text"), "sample")
     taken = sample.mapInArrow(_word_counts, "doc_id long, mark int, digest long, words array<string>, counts array<long>").toArrow().to_pylist()
     terms = {t: i for i, t in enumerate(sorted({t for r in taken for w in r["words"] for t in terms_of(w)}))}
     shared = docs.sparkSession.sparkContext.broadcast(frozenset(terms))
