@@ -102,7 +102,7 @@ def _best_of_block(index: KeywordIndex, weights: DataFrame, schema, k: int, doc_
     names = spark.createDataFrame(list(enumerate(terms.dictionary.to_pylist())), "t int, term string")
     average = index.totals()["avg_len"]
     gain = F.col("tf") * (cfg.bm25_k1 + 1) / (F.col("tf") + cfg.bm25_k1 * (1 - cfg.bm25_b + cfg.bm25_b * F.col("length") / average))
-    hits = index.postings(names.select("term")).join(F.broadcast(names), "term").select(F.col("doc_id").alias(doc_id), "t", gain.alias("gain"))
+    hits = index.postings(names).select(F.col("doc_id").alias(doc_id), "t", gain.alias("gain"))
     return hits.repartition(doc_id).sortWithinPartitions(doc_id, "t").mapInArrow(scorer, schema)
 
 

@@ -2,37 +2,47 @@
 
 Four tables of one :class:`~lodeseek.sources.store.Store`, so that a change of the corpus is one version of all of them:
 
-``documents``  doc_id, gen, length, terms: what is indexed, and under which generation
-``postings``   term, doc_id, gen, tf, length: a log in buckets of the term; a row counts while its document has that generation
+``documents``  doc_id, gen, length, terms, tfs: what is indexed, and under which generation
+``postings``   term, gen, docs, tfs, lengths: a log in buckets of the term; an entry counts while its document has that generation
 ``terms``      term, df
 ``shares``     df, terms: how many terms have each document frequency
 
 A change of documents writes their postings under a new generation and touches only the buckets of their old and new terms;
 postings of earlier generations are told apart when they are read and removed by :meth:`KeywordIndex.compact`. The corpus
 totals (number and mean length of documents, number of terms, mean weight) follow from ``shares`` and are noted with the version.
-Texts are read when they are indexed and never for a query.
+Texts are read when they are indexed and never for a query. Tasks count the words of a document and turn their documents into
+lists of postings, one row per term and ``PACK`` postings, so that single words and single postings are never shuffled.
 """
 
 from __future__ import annotations
 
 import os
 import uuid
+from typing import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lodeseek.functions.text import words
-from lodeseek.runtime import shared_dir, stage
+from lodeseek.runtime import plan_bytes, shared_dir, stage
 from lodeseek.sources.store import BUCKET_BYTES, Change, Spec, Store
 
+#: Postings a task turns into lists at once.
+PACK = 1 << 20
+#: Terms of a query that travel to every task.
+BROADCAST_TERMS = 200_000
+
 
 def _tables(doc_type: T.DataType) -> dict[str, Spec]:
     def schema(**columns):
         return T.StructType([T.StructField(n, t) for n, t in columns.items()])
 
-    whole, text = T.LongType(), T.StringType()
+    whole, text, numbers = T.LongType(), T.StringType(), T.ArrayType(T.IntegerType())
     return {
-        "documents": Spec(schema(doc_id=doc_type, gen=whole, length=whole, terms=T.ArrayType(text)), ("doc_id",)),
-        "postings": Spec(schema(term=text, doc_id=doc_type, gen=whole, tf=whole, length=whole), ("term",), replace=False),
+        "documents": Spec(schema(doc_id=doc_type, gen=whole, length=whole, terms=T.ArrayType(text), tfs=numbers), ("doc_id",)),
+        "postings": Spec(schema(term=text, gen=whole, docs=T.ArrayType(doc_type), tfs=numbers, lengths=numbers), ("term",), replace=False),
         "terms": Spec(schema(term=text, df=whole), ("term",)),
         "shares": Spec(schema(df=whole, terms=whole), ("df",)),
     }
@@ -42,6 +52,50 @@ def raw_weight(n, df):
     return F.log(n - df + 0.5) - F.log(df + 0.5)
 
 
+def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), values)
+
+
+def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, gen, length, tokens) -> (doc_id, gen, length, terms, tfs)."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(tokens).to_numpy())
+        flat = tokens.flatten().dictionary_encode()
+        n = max(1, len(flat.dictionary))
+        keys, tf = np.unique(doc * np.int64(n) + flat.indices.to_numpy(), return_counts=True)
+        sizes = np.bincount(keys // n, minlength=batch.num_rows)
+        yield pa.RecordBatch.from_arrays(
+            [*[batch.column(c) for c in ("doc_id", "gen", "length")], _lists(sizes, flat.dictionary.take(pa.array(keys % n))),
+             _lists(sizes, pa.array(tf.astype(np.int32)))], ["doc_id", "gen", "length", "terms", "tfs"])
+
+
+def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    doc_ids, gens, lengths, terms, tfs = (pa.concat_arrays([b.column(c) for b in batches]) for c in ("doc_id", "gen", "length", "terms", "tfs"))
+    doc = np.repeat(np.arange(len(doc_ids)), pc.list_value_length(terms).to_numpy())
+    flat = terms.flatten().dictionary_encode()
+    codes = flat.indices.to_numpy()
+    order = np.argsort(codes, kind="stable")
+    sizes, rows = np.bincount(codes, minlength=len(flat.dictionary)), pa.array(doc[order])
+    return pa.RecordBatch.from_arrays(
+        [flat.dictionary, gens.take(pa.array(np.zeros(len(sizes), np.int64))), _lists(sizes, doc_ids.take(rows)),
+         _lists(sizes, tfs.flatten().take(pa.array(order))), _lists(sizes, lengths.cast(pa.int32()).take(rows))],
+        ["term", "gen", "docs", "tfs", "lengths"])
+
+
+def pack_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Documents of one generation -> (term, gen, docs, tfs, lengths), a row per term and about ``PACK`` postings."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch.column("tfs").flatten())
+        if n >= PACK:
+            yield _packed(held)
+            held, n = [], 0
+    if n:
+        yield _packed(held)
+
+
 class KeywordIndex:
     """The index in a folder. Ids are unique; a null text has no terms and is a document all the same."""
 
@@ -77,21 +131,24 @@ class KeywordIndex:
         gone = old.agg(count, F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first() if old is not None else {"n": 0, "length": 0}
         parts, added = [], {"n": 0, "length": 0}
         if docs is not None:
-            tokens = docs.dropDuplicates(["doc_id"]).select("doc_id", F.coalesce(words("text"), F.array().cast("array<string>")).alias("tokens"))
-            fresh = stage(tokens.select("doc_id", F.lit(gen).cast("long").alias("gen"), F.size("tokens").cast("long").alias("length"), "tokens"), "documents")
-            counted = fresh.select("doc_id", "gen", "length", F.explode("tokens").alias("term")).groupBy("doc_id", "gen", "length", "term").agg(count)
-            change.append("postings", counted.withColumnRenamed("n", "tf"))
-            change.upsert("documents", fresh.withColumn("terms", F.array_distinct("tokens")))
-            parts.append(fresh.select(F.explode(F.array_distinct("tokens")).alias("term"), F.lit(1).alias("more")))
+            told = docs.agg(count, F.count_distinct(F.struct("doc_id")).alias("ids"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+            docs = docs.dropDuplicates(["doc_id"]) if told["ids"] < told["n"] else docs
+            tokens = docs.select("doc_id", F.lit(gen).cast("long").alias("gen"), F.coalesce(words("text"), F.array().cast("array<string>")).alias("tokens"))
+            tokens = tokens.select("doc_id", "gen", F.size("tokens").cast("long").alias("length"), "tokens")
+            specs = self.store.tables
+            # both tables take about as many bytes as the texts
+            fresh = change.upsert("documents", tokens.mapInArrow(count_words, specs["documents"].schema), unique=True, size=told["bytes"])
+            lists = change.append("postings", fresh.mapInArrow(pack_postings, specs["postings"].schema), size=told["bytes"])
+            parts.append(lists.select("term", F.size("docs").cast("long").alias("more")))
             added = fresh.agg(count, F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
         if gone["n"]:
-            parts.append(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("more")))
+            parts.append(old.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("more")))
             notes["stale"] = True
             if docs is None:
                 change.delete("documents", old)
         if parts:
             moved = parts[0].union(parts[1]) if len(parts) > 1 else parts[0]
-            self._count(change, stage(moved.groupBy("term").agg(F.sum("more").alias("more")).where("more != 0"), "moved"))
+            self._count(change, stage(moved.groupBy("term").agg(F.sum("more").alias("more")).where("more != 0"), "moved"), gone["n"] > 0)
         change.note("n_docs", notes.get("n_docs", 0) + added["n"] - gone["n"])
         change.note("length", notes.get("length", 0) + added["length"] - gone["length"])
         n = F.lit(change.notes["n_docs"])
@@ -99,14 +156,15 @@ class KeywordIndex:
         change.note("n_terms", sums["n"] or 0)
         change.note("mean_weight", sums["w"] / sums["n"] if sums["n"] else 0.0)
 
-    def _count(self, change: Change, moved: DataFrame) -> None:
-        """Bring document frequencies, and their distribution, up to date with ``moved`` (term, more)."""
+    def _count(self, change: Change, moved: DataFrame, fewer: bool) -> None:
+        """Bring document frequencies, and their distribution, up to date with ``moved`` (term, more), negative only if ``fewer``."""
         before = change.rows("terms", moved.select("term"))
         after = moved.join(before, "term", "left").select(
             "term", F.col("df").alias("old"), (F.coalesce("df", F.lit(0)) + F.col("more")).alias("df"))
         after = stage(after, "terms")
-        change.upsert("terms", after.where("df > 0"))
-        change.delete("terms", after.where("df <= 0"))
+        change.upsert("terms", after.where("df > 0"), unique=True, size=plan_bytes(after))
+        if fewer:
+            change.delete("terms", after.where("df <= 0"))
         shift = after.select(F.explode(F.array(F.struct(F.col("old").alias("df"), F.lit(-1).alias("more")), F.struct(F.col("df"), F.lit(1).alias("more")))).alias("s"))
         shift = stage(shift.select("s.*").where("df > 0").groupBy("df").agg(F.sum("more").alias("more")), "shares")
         shares = stage(shift.join(change.rows("shares", shift.select("df")), "df", "left").select("df", (F.coalesce("terms", F.lit(0)) + F.col("more")).alias("terms")), "shares")
@@ -116,7 +174,12 @@ class KeywordIndex:
     def compact(self) -> None:
         """Remove the postings of earlier generations."""
         with self.store.change() as change:
-            change.overwrite("postings", self._valid(change.rows("postings"), change.rows("documents")))
+            valid = self._valid(self._entries(change.rows("postings")), change.rows("documents"))
+            # short lists: no task gathers a frequent term
+            lists = F.pmod(F.xxhash64("doc_id"), F.lit(1 + change.notes.get("n_docs", 0) // 4096)).alias("_part")
+            entry = F.collect_list(F.struct("doc_id", "tf", "length")).alias("e")
+            packed = valid.groupBy("term", "gen", lists).agg(entry)
+            change.overwrite("postings", packed.select("term", "gen", *[F.col(f"e.{c}").alias(n) for c, n in (("doc_id", "docs"), ("tf", "tfs"), ("length", "lengths"))]))
             change.note("stale", False)
 
     # -- reading --------------------------------------------------------------
@@ -136,11 +199,19 @@ class KeywordIndex:
         return found.select("term", F.when(raw < 0, F.lit(floor * (totals["mean_idf"] or 0.0))).otherwise(raw).alias("idf"))
 
     def postings(self, terms: DataFrame) -> DataFrame:
-        """(term, doc_id, tf, length) from the buckets of ``terms`` (term); the caller joins the terms it wants."""
-        rows = self.store.near("postings", terms)
+        """(term, doc_id, tf, length) of ``terms`` (term, each once), and what other columns it has, from the buckets of the terms."""
+        terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+        rows = self._entries(self.store.near("postings", terms.select("term")).join(terms, "term"))
         if self.store.state()[1].get("stale"):
-            rows = self._valid(rows.join(F.broadcast(terms) if terms.count() <= 100_000 else terms, "term", "left_semi"), self.store.read("documents"))
-        return rows.select("term", "doc_id", "tf", "length")
+            rows = self._valid(rows, self.store.read("documents"))
+        return rows.drop("gen")
+
+    @staticmethod
+    def _entries(postings: DataFrame) -> DataFrame:
+        """One row per posting."""
+        others = [c for c in postings.columns if c not in ("docs", "tfs", "lengths")]
+        entry = F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("lengths").alias("length"))
+        return postings.select(*others, F.inline(entry).alias("doc_id", "tf", "length"))
 
     @staticmethod
     def _valid(postings: DataFrame, documents: DataFrame) -> DataFrame:

@@ -216,13 +216,17 @@ class Change:
         wanted = [r[0] for r in keys.select(bucket_of(self.store.tables[table].key, layout.buckets)).distinct().collect()]
         return self.store._rows(table, layout, wanted)
 
-    def upsert(self, table: str, rows: DataFrame) -> None:
-        """Add rows, replacing those of the same key. Of several rows with one key in ``rows`` one is taken, the same on every read."""
+    def upsert(self, table: str, rows: DataFrame, unique: bool = False, size: int | None = None) -> DataFrame:
+        """Add rows, replacing those of the same key. Of several rows with one key in ``rows`` one is taken, the same on every read.
+
+        ``unique`` says that no key repeats, ``size`` about how many bytes the rows take: then they are written once and not
+        staged before. Returns the rows as written, readable until the change ends.
+        """
         spec = self.store.tables[table]
         rows = rows.select(*spec.schema.names)
-        if spec.replace:
+        if spec.replace and not unique:
             rows = rows.dropDuplicates(list(spec.key))
-        self._add(table, rows.withColumn(_GONE, F.lit(False)))
+        return self._add(table, rows.withColumn(_GONE, F.lit(False)), size)
 
     append = upsert
 
@@ -254,14 +258,16 @@ class Change:
         staged = stage(rows, "change")
         return staged, plan_bytes(staged)  # of a written table: the bytes of its files
 
-    def _add(self, table: str, rows: DataFrame) -> None:
-        staged, size = self._staged(rows)
+    def _add(self, table: str, rows: DataFrame, size: int | None = None) -> DataFrame:
+        if size is None:
+            rows, size = self._staged(rows)
         layout = self.layouts[table]
         self._grow(table, layout, -(-(layout.size + size) // self.store.bucket_bytes))
-        self._put(table, layout, staged)
+        folder = self._put(table, layout, rows)
         crowded = [b for b, p in layout.parts.items() if len(p) > MERGE_AFTER]
         if crowded:
             self._put(table, layout, stage(self.store._stamped(table, layout, crowded), "merged"), crowded)
+        return self.store._open(table, [folder]).select(*self.store.tables[table].schema.names)
 
     def _grow(self, table: str, layout: Layout, wanted: int) -> None:
         """Split buckets, in turn, until there are ``wanted``; at most doubled per step so that a parent is split once."""
@@ -273,7 +279,7 @@ class Change:
             if moved is not None:
                 self._put(table, layout, moved, split)
 
-    def _put(self, table: str, layout: Layout, rows: DataFrame, instead_of: Iterable[int] = ()) -> None:
+    def _put(self, table: str, layout: Layout, rows: DataFrame, instead_of: Iterable[int] = ()) -> str:
         """Write rows into a folder of their own and list it under its buckets, those of ``instead_of`` losing what they had."""
         spec, self._step = self.store.tables[table], self._step + 1
         folder = f"{table}-{uuid.uuid4().hex}"
@@ -294,3 +300,4 @@ class Change:
                 sizes[name] = sizes.get(name, 0) + status.getLen()
         for name, size in sizes.items():
             layout.parts.setdefault(int(name.split("=")[1]), []).append((f"{folder}/{name}", size))
+        return folder

@@ -157,3 +157,14 @@ def test_stage_bounded_and_spread(spark):
     assert "broadcast" in bounded(df)._jdf.queryExecution().logical().toString().lower()
     assert "broadcast" not in bounded(df, max_rows=10)._jdf.queryExecution().logical().toString().lower()
     assert spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
+def test_postings_are_lists(spark, tmp_path):
+    """One row per term and task, not per document; repeated ids are indexed once."""
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("one two two three").alias("text"))
+    index = KeywordIndex(spark, str(tmp_path / "index"))
+    index.put(docs.unionByName(docs.where("doc_id < 10")).coalesce(4))
+    assert index.store.read("postings").count() <= 3 * spark.sparkContext.defaultParallelism * 4
+    assert index.totals()["n_docs"] == 3000 and index.totals()["avg_len"] == 4
+    found = index.postings(spark.createDataFrame([("two",)], "term string"))
+    assert found.count() == 3000 and found.where("tf = 2 and length = 4").count() == 3000
