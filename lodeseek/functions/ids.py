@@ -12,10 +12,15 @@ ENTITY_PREFIX = "ent_"
 EMPTY_SLUG = "unknown"
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, also inside the lambdas of array functions, which share no subexpressions."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def slug(text) -> Column:
     joined = F.regexp_replace(F.lower(col_of(text).cast("string")), NOT_WORD, "_")
     trimmed = F.regexp_replace(joined, "^_+|_+$", "")
-    return F.when(trimmed == "", F.lit(EMPTY_SLUG)).otherwise(trimmed)
+    return let(trimmed, lambda t: F.when(t == "", F.lit(EMPTY_SLUG)).otherwise(t))
 
 
 def entity_id(name) -> Column:
@@ -30,6 +35,11 @@ def bare(identifier) -> Column:
     ).otherwise(slug(i))
 
 
+def bare_entity(identifier) -> Column:
+    """:func:`bare` of what :func:`entity_id` made."""
+    return col_of(identifier).substr(F.lit(len(ENTITY_PREFIX) + 1), F.lit(2**31 - 1))
+
+
 def relation_id(source, rel_type, target) -> Column:
     return F.concat_ws("_", F.lit("rel"), bare(source), slug(rel_type), bare(target))
 

@@ -9,7 +9,7 @@ from typing import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodeseek.functions.ids import entity_id, relation_id
+from lodeseek.functions.ids import bare_entity, entity_id, relation_id, slug
 from lodeseek.functions.text import failure_reason
 from lodeseek.functions.vectors import Embedder, embed_text
 from lodeseek.operators.filters import retryable
@@ -99,32 +99,36 @@ def normalize(graph_docs: DataFrame) -> DataFrame:
     (entity_id, type, name, properties) in first-seen order; relations as
     (src, type, dst, rel_id, properties).
     """
-    def candidate(identifier: Column, kind: Column, props: Column) -> Column:
+    def candidate(identifier: Column, known: Column, kind: Column, props: Column) -> Column:
         name = F.coalesce(F.try_element_at(props, F.lit("name")), identifier)
-        return F.struct(entity_id(identifier).alias("entity_id"), kind.alias("type"),
-                        name.alias("name"), props.alias("properties"))
+        return F.struct(known.alias("entity_id"), kind.alias("type"), name.alias("name"), props.alias("properties"))
 
     no_props = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
-    declared = F.transform("nodes", lambda n: candidate(n["id"], n["type"], n["properties"]))
-    endpoints = F.flatten(F.transform("rels", lambda r: F.array(
-        candidate(r["source"], r["source_type"], no_props), candidate(r["target"], r["target_type"], no_props))))
+    # ids are made once per node, relation end and kind of relation
+    ends = F.transform("rels", lambda r: F.struct(entity_id(r["source"]).alias("src"), entity_id(r["target"]).alias("dst")))
+    kinds = F.array_compact(F.array_distinct(F.col("rels.type")))
+    slugs = F.map_from_arrays("_kinds", F.transform("_kinds", slug))
+    declared = F.transform("nodes", lambda n: candidate(n["id"], entity_id(n["id"]), n["type"], n["properties"]))
+    endpoints = F.flatten(F.zip_with("rels", "_ends", lambda r, e: F.array(
+        candidate(r["source"], e["src"], r["source_type"], no_props), candidate(r["target"], e["dst"], r["target_type"], no_props))))
+    # sort_array compares by the types' own order; array_sort would run a lambda per comparison
     placed = F.transform("_all", lambda n, i: F.struct(
         n["entity_id"].alias("entity_id"), i.alias("pos"), n["type"].alias("type"), n["name"].alias("name")))
     first = F.filter("_sorted", lambda n, i: (i == 0) | (
         F.get("_sorted", i - 1)["entity_id"] != n["entity_id"]))
-    in_order = F.array_sort(F.transform(first, lambda n: F.struct(
+    in_order = F.sort_array(F.transform(first, lambda n: F.struct(
         n["pos"].alias("pos"), n["entity_id"].alias("entity_id"), n["type"].alias("type"), n["name"].alias("name"))))
     nodes = F.transform(in_order, lambda n: F.struct(
         n["entity_id"].alias("entity_id"), n["type"].alias("type"), n["name"].alias("name"),
         F.get("_all", n["pos"])["properties"].alias("properties")))
-    rels = F.transform("rels", lambda r: F.struct(
-        entity_id(r["source"]).alias("src"), r["type"].alias("type"), entity_id(r["target"]).alias("dst"),
-        relation_id(entity_id(r["source"]), r["type"], entity_id(r["target"])).alias("rel_id"),
+    rels = F.zip_with("rels", "_ends", lambda r, e: F.struct(
+        e["src"].alias("src"), r["type"].alias("type"), e["dst"].alias("dst"),
+        F.concat_ws("_", F.lit("rel"), bare_entity(e["src"]), F.try_element_at("_slugs", r["type"]), bare_entity(e["dst"])).alias("rel_id"),
         r["properties"].alias("properties")))
     return (
-        graph_docs.withColumn("_all", F.concat(declared, endpoints))
-        .withColumn("_sorted", F.array_sort(placed))
-        .withColumn("nodes", nodes).withColumn("rels", rels).drop("_all", "_sorted")
+        graph_docs.withColumn("_ends", ends).withColumn("_kinds", kinds).withColumn("_slugs", slugs)
+        .withColumn("_all", F.concat(declared, endpoints)).withColumn("_sorted", F.sort_array(placed))
+        .withColumn("nodes", nodes).withColumn("rels", rels).drop("_all", "_sorted", "_ends", "_kinds", "_slugs")
     )
 
 

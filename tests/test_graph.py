@@ -219,3 +219,16 @@ def test_graph_index_run(spark, tmp_path):
     assert {r["outcome"] for r in run.outcomes.collect()} == {"ok", "empty"}
     again = run_graph_index(spark, str(folder), store, retry_failed=True).stats.first()
     assert (again["documents"], again["entities"], again["entity_rels"]) == (3, 4, stats["entity_rels"])
+
+
+def test_ids_are_made_once(spark):
+    """The plan makes the id of a node or of a relation's end in one place each, and ids stay as the id rule has them."""
+    from lodeseek.functions.ids import entity_id, relation_id
+    from lodeseek.operators.graph_build import normalize, relation_rows, term_graph
+
+    chunks = spark.createDataFrame([("c1", "Größenwahn __Verstand__ ent_already Größenwahn longword1 Longwords"), ("c2", "short"), ("c3", None)], "chunk_id string, text string")
+    found = normalize(term_graph(chunks))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("[^\\p{L}\\p{N}_]+") <= 4  # before: 32
+    rows = relation_rows(found)
+    want = rows.where(~F.col("rel_id").eqNullSafe(relation_id("src", "type", "dst")) | (entity_id("src") != F.col("src")))
+    assert rows.count() == 3 and want.count() == 0
