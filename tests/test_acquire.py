@@ -88,3 +88,13 @@ def test_cache(spark):
     assert stored.first()["cache_key"] == hashlib.sha256(b"hello").hexdigest()[:16]
     again = Q.cached(results.limit(0), stored, asked, asked)
     assert [tuple(r) for r in again.collect()] == [("q1", "v1")]
+
+
+def test_pages_reach_python_in_small_batches(spark):
+    """Not ten thousand pages at once, as in an Arrow batch."""
+    from lodeseek.functions.html import extract_text
+
+    out = spark.createDataFrame([("<body>a<nav>b</nav> c</body>",), (None,)], "html string").select(extract_text("html").alias("t"))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
+    assert [r["t"] for r in out.collect()] == ["a c", ""]
