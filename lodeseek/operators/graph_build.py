@@ -296,10 +296,9 @@ def reverse_samples(graph: PropertyGraph, entities: int = 3, per_entity: int = 5
     """(entity, chunks, sources): entities with the most of their first five chunks.
 
     The five smallest distinct chunk ids and sources per entity are kept by a group
-    limit before anything is gathered, so a hot entity stays five rows.
+    limit before anything is gathered, so a hot entity stays five rows. Of the graph only mentions and documents are read, once.
     """
-    pairs = graph.mentions.join(
-        graph.documents.select("chunk_id", "source"), "chunk_id")
+    pairs = stage(graph.mentions.join(graph.documents.select("chunk_id", "source"), "chunk_id"), "pairs")
 
     def smallest(column: str, out: str) -> DataFrame:
         few = top_k(pairs.select("entity_id", column).where(F.col(column).isNotNull()).distinct(),

@@ -143,7 +143,7 @@ FROM m GROUP BY id ORDER BY least(count(DISTINCT chunk_id), 5) DESC, id LIMIT 3
 """)
 def reverse_samples_query(spark, d):
     """A three-row report by design."""
-    few = reverse_samples(text_graph(spark, d).staged())
+    few = reverse_samples(text_graph(spark, d))
     return few.select("entity", F.array_join("chunks", ",").alias("chunks"), F.array_join("sources", ",").alias("sources"))
 
 

@@ -232,3 +232,15 @@ def test_ids_are_made_once(spark):
     rows = relation_rows(found)
     want = rows.where(~F.col("rel_id").eqNullSafe(relation_id("src", "type", "dst")) | (entity_id("src") != F.col("src")))
     assert rows.count() == 3 and want.count() == 0
+
+
+def test_reverse_samples_writes_no_other_table(spark, monkeypatch):
+    """The report reads mentions and documents only; the whole graph was written for it before."""
+    from lodeseek.plans import registry
+
+    def refuse(graph):
+        raise AssertionError("the whole graph is written")
+
+    registry.load_all()
+    monkeypatch.setattr(G.PropertyGraph, "staged", refuse)
+    assert registry.QUERIES["reverse_samples"](spark, "/root/testdata/sf0.001").count() == 3
