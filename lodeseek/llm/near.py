@@ -7,8 +7,8 @@ agrees too. Of ``SKETCHES`` sketches, texts at the threshold 0.8 share at least
 Equal word sequences are one text from here on. Texts that share a sketch form a bucket. Buckets are never expanded into
 pairs: each first compares its members to its most widely shared text alone. What is still split after that is compared
 in full if small; in a large bucket, neighbours in the order of the other sketches are compared. What large buckets still hold apart then meets in an exact prefix-filtered join: texts this similar
-share one of the first fifth of their shingles in any common order, and those of many texts stand last, so a passage that many
-texts share joins nothing. Whatever it finds is aligned, however many sketches it shares.
+share one of the first fifth of their shingles in any common order. Those of one text stand first and are dropped, those of many texts stand
+last, so a passage that many texts share joins nothing. Whatever it finds is aligned, however many sketches it shares.
 
 A candidate pair is verified by a banded alignment of the words (greedy, within the diagonals that the threshold allows):
 similarity = aligned shingles / (shingles of both - aligned). Linked texts form classes.
@@ -39,8 +39,10 @@ SKETCHES, PICKS = 20, 3
 AGREE, SMALL = 3, 32
 #: Texts of fewer shingles need one shared sketch only: at the threshold 8 and 9 words agree in one of 20 with probability 0.99996.
 FEW = 16
-#: Tokens of at most so many texts are ordered by hash; bytes of a table of tokens that may go to the tasks.
+#: Tokens of at most so many texts are not counted one by one; bytes of a table of tokens that may go to the tasks.
 LIGHT, HEAVY_BYTES = 32, 16 << 20
+#: Slots of a hashed table of counts: of one block, of all at most; counts end at ``FULL``.
+SLOT_BLOCK, MOST_SLOTS, FULL = 1 << 16, 1 << 24, 255
 #: Neighbours that a member of a larger bucket is compared with.
 NEXT = 3
 _SEEDS = mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -245,8 +247,52 @@ def _tokens(raw: bytes) -> np.ndarray:
     return labelled(ngrams(np.frombuffer(raw, np.uint64), SHINGLE)).view(np.int64)
 
 
-def _token_counts(known: np.ndarray | None = None):
-    """Texts per token (of the ``known`` ones) with the least and largest component, added up in blocks of bounded size."""
+def slots_for(cells: int) -> int:
+    """Slots of a table for so many tokens, a power of two; beyond ``MOST_SLOTS`` counts are larger than needed, never too small."""
+    return min(MOST_SLOTS, max(SLOT_BLOCK, 1 << (8 * cells).bit_length()))
+
+
+def _slot_counts(slots: int):
+    """Texts and minor texts per slot of a hashed table, as blocks of (block, places, texts, minors): each task sums what it reads."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, minors = np.zeros(slots, np.uint8), np.zeros(slots, bool)
+        for batch in batches:
+            for minor, raw in zip(batch.column("minor").to_pylist(), batch.column("words").to_pylist()):
+                at, n = np.unique(slot_of(_tokens(raw), slots), return_counts=True)
+                texts[at] = np.minimum(texts[at] + n, FULL)
+                if minor:
+                    minors[at] = True
+        for block in range(slots // SLOT_BLOCK):
+            part = slice(block * SLOT_BLOCK, (block + 1) * SLOT_BLOCK)
+            places = np.flatnonzero(texts[part])
+            if len(places):
+                columns = places.astype(np.uint16), texts[part][places], minors[part][places].view(np.uint8)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in columns)],
+                                                 ["block", "places", "texts", "minors"])
+
+    return run
+
+
+def _slot_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row (block, rank) of each block, whose parts stand in one task: texts per slot up to ``FULL``; 0 where no two texts or no minor one can meet."""
+    sums: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for batch in batches:
+        for block, *parts in zip(*(c.to_pylist() for c in batch.columns)):
+            texts, minors = sums.setdefault(block, (np.zeros(SLOT_BLOCK, np.uint8), np.zeros(SLOT_BLOCK, bool)))
+            places, n, minor = np.frombuffer(parts[0], np.uint16), np.frombuffer(parts[1], np.uint8), np.frombuffer(parts[2], np.uint8)
+            texts[places] = np.minimum(texts[places].astype(np.int64) + n, FULL)
+            minors[places] |= minor.astype(bool)
+    for block, (texts, minors) in sums.items():
+        rank = np.where(minors & (texts > 1), texts, 0).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([rank.tobytes()], pa.binary())], ["block", "rank"])
+
+
+def slot_of(tokens: np.ndarray, slots: int) -> np.ndarray:
+    return (mix(tokens.view(np.uint64)) & np.uint64(slots - 1)).astype(np.int64)
+
+
+def _token_counts(shared):
+    """Texts per token whose slot has more than ``LIGHT``, with the least and largest component, added up in blocks of bounded size."""
     def packed(tokens, components):
         token, component = np.concatenate(tokens), np.concatenate(components)
         order = np.lexsort((component, token))
@@ -257,11 +303,12 @@ def _token_counts(known: np.ndarray | None = None):
                                           ["token", "n", "lo", "hi"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ranks = shared.value
         tokens, components, cells = [], [], 0
         for batch in batches:
             for component, raw in zip(batch.column("component").to_pylist(), batch.column("words").to_pylist()):
                 found = _tokens(raw)
-                tokens.append(found if known is None else found[is_in(found, known)])
+                tokens.append(found[ranks[slot_of(found, len(ranks))] > LIGHT])
                 components.append(np.full(len(tokens[-1]), component))
                 cells += len(tokens[-1])
                 if cells >= CELLS:
@@ -280,25 +327,26 @@ def is_in(tokens: np.ndarray, known: np.ndarray) -> np.ndarray:
     return known[np.minimum(np.searchsorted(known, tokens), len(known) - 1)] == tokens
 
 
-def prefix_of(tokens: np.ndarray, known: np.ndarray, heavy: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of a text's prefix and how many of its tokens stand from each on. Unknown tokens stand first and join nothing, as do
-    heavy ones of one component; heavy ones stand last, the rest goes by hash."""
-    is_known, is_heavy = is_in(tokens, known), is_in(tokens, heavy)
+def prefix_of(tokens: np.ndarray, rank: np.ndarray, heavy: np.ndarray, counts: np.ndarray, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of a text's prefix and how many of its tokens stand from each on. Tokens of rank 0 stand first and join nothing, as do
+    heavy ones of one component; then light ones by the rank of their slot, heavy ones by their count."""
+    is_heavy = is_in(tokens, heavy)
     at = np.minimum(np.searchsorted(heavy, tokens), max(0, len(heavy) - 1))
     n = np.where(is_heavy, counts[at], 0) if len(heavy) else np.zeros(len(tokens), np.int64)
     places = len(tokens) - math.ceil(len(tokens) * THRESHOLD - 1e-9) + 1
-    order = np.lexsort((tokens, n, is_known))[:places]
-    open_ = is_known[order] & (~is_heavy[order] | shared[at[order]] if len(heavy) else True)
+    order = np.lexsort((tokens, rank, n, rank > 0))[:places]
+    open_ = (rank[order] > 0) & (~is_heavy[order] | shared[at[order]] if len(heavy) else True)
     return tokens[order][open_], (len(tokens) - np.arange(len(order)))[open_]
 
 
-def _prefix_rows(*tables: np.ndarray):
+def _prefix_rows(ranks, *tables: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = ranks.value
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 tokens = [_tokens(raw) for raw in part.column("words").to_pylist()]
-                found = [prefix_of(t, *tables) for t in tokens]
+                found = [prefix_of(t, table[slot_of(t, len(table))], *tables) for t in tokens]
                 lengths = [len(f[0]) for f in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([f[0] for f in found])), pa.array(np.repeat(part.column("doc").to_numpy(), lengths)),
@@ -318,23 +366,33 @@ def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                                  ["token", "doc", "component", "size"])
 
 
+def _slot_ranks(rows: DataFrame, scratch: Scratch) -> np.ndarray:
+    """The hashed table of :func:`_slot_sums`, at most ``MOST_SLOTS`` bytes: summed in the tasks and then by block, so no token is a row."""
+    slots = slots_for(int(rows.agg(F.sum(F.length("words"))).first()[0] or 0) // 8)
+    parts = rows.mapInArrow(_slot_counts(slots), "block int, places binary, texts binary, minors binary")
+    sums = scratch.put(parts.repartition("block").mapInArrow(_slot_sums, "block int, rank binary"), "slots").toArrow()
+    ranks = np.zeros(slots, np.uint8)
+    for block, raw in zip(sums.column("block").to_pylist(), sums.column("rank")):
+        ranks[block * SLOT_BLOCK:(block + 1) * SLOT_BLOCK] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return ranks
+
+
 def _prefixes(rows: DataFrame, scratch: Scratch, bound: int) -> DataFrame:
     """(token, doc, component, size, rest) of the prefixes of ``rows`` (doc, component, minor, words).
 
-    One text of every pair is minor, so only tokens of minor texts can meet. The order of tokens needs no exact counts: those of
-    at most ``LIGHT`` texts go by hash, so that what meets in the join is bounded; only heavier ones are counted into a table.
-    Up to ``bound`` bytes the tokens of minor texts go to the tasks, beyond it all tokens are joined with the table.
+    One text of every pair is minor, so only tokens of minor texts can meet. The order of tokens needs no exact counts, only a rank that
+    is the same in every text: texts counted by slot of a hashed table. Tokens alone in their slot join nothing and stand first, so texts hand on
+    only tokens that may meet. A slot counts no less than any of its tokens, so tokens of more than ``LIGHT`` texts are counted
+    one by one only where the slot has as many. Up to ``bound`` bytes these go to the tasks, beyond it all tokens are joined with them.
     """
-    kinds, sums = "token long, n long, lo long, hi long", [F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")]
-    seen = scratch.put(rows.where("minor").mapInArrow(_token_counts(), kinds).groupBy("token").agg(*sums), "minor_tokens")
-    light = scratch.size(seen) <= bound
-    known = seen.select("token").orderBy("token").toArrow().column(0).to_numpy() if light else None
-    counted = seen.union(rows.where("not minor").mapInArrow(_token_counts(known), kinds)).groupBy("token").agg(*sums)
+    ranks = rows.sparkSession.sparkContext.broadcast(_slot_ranks(rows, scratch))
+    counted = rows.mapInArrow(_token_counts(ranks), "token long, n long, lo long, hi long").groupBy("token").agg(
+        F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     heavy = scratch.put(counted.where(F.col("n") > LIGHT).select("token", "n", (F.col("lo") != F.col("hi")).alias("shared")), "heavy")
-    if light:
+    if scratch.size(heavy) <= bound:
         table = heavy.orderBy("token").toArrow()
         arrays = [table.column(c).to_numpy() for c in ("token", "n", "shared")]
-        return rows.mapInArrow(_prefix_rows(known, *arrays), "token long, doc long, component long, size long, rest long")
+        return rows.mapInArrow(_prefix_rows(ranks, *arrays), "token long, doc long, component long, size long, rest long")
     tokens = rows.mapInArrow(_token_rows, "token long, doc long, component long, size long").join(heavy, "token", "left")
     place = F.row_number().over(Window.partitionBy("doc").orderBy(F.coalesce("n", F.lit(0)), "token"))
     tokens = tokens.withColumn("_r", place).where(F.col("_r") <= F.col("size") - F.ceil(F.col("size") * THRESHOLD - 1e-9) + 1)

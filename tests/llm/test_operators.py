@@ -414,6 +414,18 @@ def test_prefix_join_finds_all_pairs(spark, monkeypatch, bound):
     assert need and need <= got and len(got) < len(texts) ** 2 / 4
 
 
+def test_prefixes_hold_only_tokens_that_can_meet(spark):
+    """Texts around a common passage: a token of one text joins nothing and isn't a row, and no light token is counted as a row of its own."""
+    hasher, passage = hashing.WordHasher(), prose(51, 20)
+    texts = [hasher(f"{prose(500 + i, 100)} {passage}".split()) for i in range(50)] + [hasher(prose(60, 100).split())] * 2
+    rows = spark.createDataFrame([(i, i, True, bytearray(t.tobytes())) for i, t in enumerate(texts)], "doc long, component long, minor boolean, words binary")
+    prefix, store = near._prefixes(rows, scratch(spark), near.HEAVY_BYTES).collect(), scratch(spark)
+    assert {50, 51} <= {r["doc"] for r in prefix} and len(prefix) < 52 * 21 / 2
+    ranks = near._slot_ranks(rows, store)
+    counted = rows.mapInArrow(near._token_counts(spark.sparkContext.broadcast(ranks)), "token long, n long, lo long, hi long")
+    assert counted.count() < 17 * spark.sparkContext.defaultParallelism
+
+
 def test_near_repeated_ids_and_short_texts(spark, empty):
     """Two texts under one id keep their own words; eight words and nine that share them link."""
     rng = random.Random(4)
