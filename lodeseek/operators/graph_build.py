@@ -226,21 +226,32 @@ def load_documents(existing: DataFrame, chunks: DataFrame) -> DataFrame:
         "id", pick("chunk_id"), pick("text"), pick("source"), pick("heading_path"), "embedding")
 
 
-def load_graph(graph: PropertyGraph, chunks: DataFrame, normalized: DataFrame) -> PropertyGraph:
-    """Add one extraction run to the graph with merge semantics on every key."""
-    ordered = normalized.join(chunks.select("chunk_id", "seq"), "chunk_id") if "seq" not in normalized.columns else normalized
-    nodes = node_rows(ordered, "seq")
-    merged = merge_entities(nodes)
+def merge_graphs(graph: PropertyGraph, fresh: PropertyGraph) -> PropertyGraph:
+    """Add the entities, documents, mentions and relations of ``fresh``, each key once, with merge semantics on every key."""
     old = graph.entities.select(
         "id", *(F.col(c).alias(f"_{c}") for c in ("name", "description", "type")), "embedding", "community")
     newer = lambda c: F.coalesce(F.col(c), F.col(f"_{c}")).alias(c)
-    entities = old.join(merged, "id", "full_outer").select(
+    entities = old.join(fresh.entities.select("id", "name", "description", "type"), "id", "full_outer").select(
         "id", newer("name"), newer("description"), newer("type"), "embedding", "community")
-    rels = graph.entity_rels.unionByName(relation_rows(ordered).select("src", "type", "dst", "rel_id"))
     return replace(
-        graph, entities=entities, documents=load_documents(graph.documents, chunks),
-        mentions=graph.mentions.unionByName(merge_mentions(nodes)).distinct(),
-        entity_rels=merge_relations(rels))
+        graph, entities=entities, documents=load_documents(graph.documents, fresh.documents),
+        mentions=graph.mentions.unionByName(fresh.mentions).distinct(),
+        entity_rels=merge_relations(graph.entity_rels.unionByName(fresh.entity_rels)))
+
+
+def extracted_graph(chunks: DataFrame, normalized: DataFrame) -> PropertyGraph:
+    """One extraction run as a graph of its own, without vectors and communities."""
+    ordered = normalized.join(chunks.select("chunk_id", "seq"), "chunk_id") if "seq" not in normalized.columns else normalized
+    nodes, empty = node_rows(ordered, "seq"), empty_graph(chunks.sparkSession)
+    none = lambda c: F.lit(None).cast(empty.entities.schema[c].dataType).alias(c)
+    return replace(
+        empty, entities=merge_entities(nodes).select("*", none("embedding"), none("community")), documents=document_rows(chunks),
+        mentions=merge_mentions(nodes), entity_rels=merge_relations(relation_rows(ordered)))
+
+
+def load_graph(graph: PropertyGraph, chunks: DataFrame, normalized: DataFrame) -> PropertyGraph:
+    """Add one extraction run to the graph with merge semantics on every key."""
+    return merge_graphs(graph, extracted_graph(chunks, normalized))
 
 
 def uncovered_chunks(chunks: DataFrame, covered: DataFrame) -> DataFrame:

@@ -16,7 +16,7 @@ from lodeseek.operators.community import (
 from lodeseek.operators.filters import retryable, select_chunks
 from lodeseek.operators.graph_build import (
     EMPTY, OK, PropertyGraph, allowed_only, embed_missing, empty_graph, existing_chunk_ids, extract_with_retry,
-    graph_stats, integrity, load_graph, normalize, retry_targets, stamp_relation_ids, term_graph,
+    extracted_graph, graph_stats, integrity, merge_graphs, normalize, retry_targets, stamp_relation_ids, term_graph,
 )
 from lodeseek.runtime import ship_package, stage
 from lodeseek.sources.store import Change, Spec, Store
@@ -63,12 +63,11 @@ def load_chunks(change: Change, chunks: DataFrame, normalized: DataFrame) -> Non
 
     Only rows of the keys that the run touches are looked up, in their buckets, and written; the rest of the graph isn't read.
     """
-    spark = chunks.sparkSession
-    fresh = load_graph(empty_graph(spark), chunks, normalized).staged()
+    fresh = extracted_graph(chunks, normalized).staged()
     touched = {name: getattr(fresh, name).select(*KEYS[name]) for name in ("entities", "documents", "mentions", "entity_rels")}
     old = PropertyGraph(**{name: change.rows(name, keys).join(keys, list(KEYS[name]), "left_semi") if (keys := touched.get(name)) is not None
                            else getattr(fresh, name) for name in TABLES})
-    merged = load_graph(old, chunks, normalized)
+    merged = merge_graphs(old, fresh)
     merged = replace(merged, entity_rels=stamp_relation_ids(merged.entity_rels).drop("stamped"))
     for name in touched:
         change.upsert(name, getattr(merged, name))

@@ -442,7 +442,7 @@ def graph_load(spark, d):
     half = chunks.count() // 2
     path = os.path.join(shared_dir(spark), "stages", f"graph-{uuid.uuid4().hex}")
     store = graph_store(spark, path)
-    parts = {side: (chunks.where(where), found.join(chunks.where(where).select("chunk_id"), "chunk_id", "left_semi"))
+    parts = {side: (chunks.where(where), found.where(where))
              for side, where in (("early", F.col("seq") < half), ("late", F.col("seq") >= half))}
     for side in ("early", "late"):
         with store.change() as change:
