@@ -2,7 +2,8 @@
 
 Four tables of one :class:`~lodeseek.sources.store.Store`, so that a change of the corpus is one version of all of them:
 
-``documents``  doc_id, gen, length, terms, tfs: what is indexed, and under which generation
+``documents``  doc_id, gen, length, terms, tfs: what is indexed, and under which generation; the terms, which hold no white space,
+               are one text joined by spaces, a third of the bytes of an array of strings when rows are shuffled
 ``postings``   term, gen, docs, tfs, lengths: a log in buckets of the term; an entry counts while its document has that generation
 ``terms``      term, df
 ``shares``     df, terms: how many terms have each document frequency
@@ -26,6 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from lodeseek.functions.text import words
+from lodeseek.operators.bounded import bounded
 from lodeseek.runtime import plan_bytes, shared_dir, stage
 from lodeseek.sources.store import BUCKET_BYTES, Change, Spec, Store
 
@@ -41,7 +43,7 @@ def _tables(doc_type: T.DataType) -> dict[str, Spec]:
 
     whole, text, numbers = T.LongType(), T.StringType(), T.ArrayType(T.IntegerType())
     return {
-        "documents": Spec(schema(doc_id=doc_type, gen=whole, length=whole, terms=T.ArrayType(text), tfs=numbers), ("doc_id",)),
+        "documents": Spec(schema(doc_id=doc_type, gen=whole, length=whole, terms=text, tfs=numbers), ("doc_id",)),
         "postings": Spec(schema(term=text, gen=whole, docs=T.ArrayType(doc_type), tfs=numbers, lengths=numbers), ("term",), replace=False),
         "terms": Spec(schema(term=text, df=whole), ("term",)),
         "shares": Spec(schema(df=whole, terms=whole), ("df",)),
@@ -57,7 +59,7 @@ def _lists(sizes: np.ndarray, values: pa.Array) -> pa.Array:
 
 
 def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, gen, length, tokens) -> (doc_id, gen, length, terms, tfs)."""
+    """(doc_id, gen, length, tokens) -> (doc_id, gen, length, terms joined by spaces, tfs)."""
     for batch in batches:
         tokens = batch.column("tokens")
         doc = np.repeat(np.arange(batch.num_rows), pc.list_value_length(tokens).to_numpy())
@@ -65,15 +67,15 @@ def count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = max(1, len(flat.dictionary))
         keys, tf = np.unique(doc * np.int64(n) + flat.indices.to_numpy(), return_counts=True)
         sizes = np.bincount(keys // n, minlength=batch.num_rows)
+        terms = pc.binary_join(_lists(sizes, flat.dictionary.take(pa.array(keys % n))), " ")
         yield pa.RecordBatch.from_arrays(
-            [*[batch.column(c) for c in ("doc_id", "gen", "length")], _lists(sizes, flat.dictionary.take(pa.array(keys % n))),
-             _lists(sizes, pa.array(tf.astype(np.int32)))], ["doc_id", "gen", "length", "terms", "tfs"])
+            [*[batch.column(c) for c in ("doc_id", "gen", "length")], terms, _lists(sizes, pa.array(tf.astype(np.int32)))], ["doc_id", "gen", "length", "terms", "tfs"])
 
 
 def _packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
     doc_ids, gens, lengths, terms, tfs = (pa.concat_arrays([b.column(c) for b in batches]) for c in ("doc_id", "gen", "length", "terms", "tfs"))
-    doc = np.repeat(np.arange(len(doc_ids)), pc.list_value_length(terms).to_numpy())
-    flat = terms.flatten().dictionary_encode()
+    doc = np.repeat(np.arange(len(doc_ids)), pc.list_value_length(tfs).to_numpy())
+    flat = pc.split_pattern(terms, " ").flatten().dictionary_encode()
     codes = flat.indices.to_numpy()
     order = np.argsort(codes, kind="stable")
     sizes, rows = np.bincount(codes, minlength=len(flat.dictionary)), pa.array(doc[order])
@@ -87,6 +89,7 @@ def pack_postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Documents of one generation -> (term, gen, docs, tfs, lengths), a row per term and about ``PACK`` postings."""
     held, n = [], 0
     for batch in batches:
+        batch = batch.filter(pc.greater(pc.list_value_length(batch.column("tfs")), 0))  # an empty text would split into one empty term
         held.append(batch)
         n += len(batch.column("tfs").flatten())
         if n >= PACK:
@@ -124,9 +127,10 @@ class KeywordIndex:
 
     def _change(self, change: Change, docs: DataFrame | None, ids: DataFrame) -> None:
         gen, notes = change.seq + 1, change.notes
-        ids = ids.distinct()
-        known = change.rows("documents", ids).join(ids, "doc_id", "left_semi") if notes.get("n_docs") else None
-        old = stage(known, "old-documents") if known is not None else None
+        old = None
+        if notes.get("n_docs"):
+            known = change.rows("documents", bounded(ids.distinct(), label="ids"), exact=True)
+            old = stage(known.select("doc_id", "length", "terms"), "old-documents")
         count = F.count(F.lit(1)).alias("n")
         gone = old.agg(count, F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first() if old is not None else {"n": 0, "length": 0}
         parts, added = [], {"n": 0, "length": 0}
@@ -142,7 +146,7 @@ class KeywordIndex:
             parts.append(lists.select("term", F.size("docs").cast("long").alias("more")))
             added = fresh.agg(count, F.coalesce(F.sum("length"), F.lit(0)).alias("length")).first()
         if gone["n"]:
-            parts.append(old.select(F.explode("terms").alias("term"), F.lit(-1).cast("long").alias("more")))
+            parts.append(old.where("length > 0").select(F.explode(F.split("terms", " ")).alias("term"), F.lit(-1).cast("long").alias("more")))
             notes["stale"] = True
             if docs is None:
                 change.delete("documents", old)

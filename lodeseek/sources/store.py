@@ -149,21 +149,22 @@ class Store:
             return self.spark.createDataFrame([], self._stored(table))
         return self.spark.read.schema(self._stored(table)).parquet(*[os.path.join(self.path, "data", f) for f in folders])
 
-    def _stamped(self, table: str, layout: Layout, buckets: Iterable[int] | None) -> DataFrame:
-        """Valid rows with their stamps. Only buckets with deltas are shuffled by key."""
+    def _stamped(self, table: str, layout: Layout, buckets: Iterable[int] | None, only: DataFrame | None = None) -> DataFrame:
+        """Valid rows with their stamps, of the keys ``only`` if given. Only buckets with deltas are shuffled by key."""
         spec = self.tables[table]
         merged, mixed = layout.folders(buckets)
+        opened = self._open if only is None else lambda *a: self._open(*a).join(only, list(spec.key), "left_semi")
         if not spec.replace:
-            return self._open(table, merged + mixed)
-        out = self._open(table, merged).where(~F.col(_GONE))
+            return opened(table, merged + mixed)
+        out = opened(table, merged).where(~F.col(_GONE))
         if mixed:
             newest = Window.partitionBy(*spec.key).orderBy(F.col(_SEQ).desc())
-            latest = self._open(table, mixed).withColumn("_nth", F.row_number().over(newest)).where((F.col("_nth") == 1) & ~F.col(_GONE))
+            latest = opened(table, mixed).withColumn("_nth", F.row_number().over(newest)).where((F.col("_nth") == 1) & ~F.col(_GONE))
             out = out.unionByName(latest.drop("_nth"))
         return out
 
-    def _rows(self, table: str, layout: Layout, buckets: Iterable[int] | None = None) -> DataFrame:
-        return self._stamped(table, layout, buckets).select(*self.tables[table].schema.names)
+    def _rows(self, table: str, layout: Layout, buckets: Iterable[int] | None = None, only: DataFrame | None = None) -> DataFrame:
+        return self._stamped(table, layout, buckets, only).select(*self.tables[table].schema.names)
 
     # -- changing -------------------------------------------------------------
 
@@ -208,13 +209,16 @@ class Change:
         self.store, self.layouts, self.notes, self.seq, self.written = store, layouts, dict(notes), seq or 0, []
         self._step = 0
 
-    def rows(self, table: str, keys: DataFrame | None = None) -> DataFrame:
-        """Rows as this change sees them, of the buckets of ``keys`` if given."""
+    def rows(self, table: str, keys: DataFrame | None = None, exact: bool = False) -> DataFrame:
+        """Rows as this change sees them, of the buckets of ``keys`` if given; ``exact`` leaves only the rows of these keys.
+
+        Others are left out before the newest row of a key is looked for, so only rows of ``keys`` are shuffled for that.
+        """
         layout = self.layouts[table]
         if keys is None:
             return self.store._rows(table, layout)
         wanted = [r[0] for r in keys.select(bucket_of(self.store.tables[table].key, layout.buckets)).distinct().collect()]
-        return self.store._rows(table, layout, wanted)
+        return self.store._rows(table, layout, wanted, keys if exact else None)
 
     def upsert(self, table: str, rows: DataFrame, unique: bool = False, size: int | None = None) -> DataFrame:
         """Add rows, replacing those of the same key. Of several rows with one key in ``rows`` one is taken, the same on every read.
@@ -266,21 +270,28 @@ class Change:
         folder = self._put(table, layout, rows)
         crowded = [b for b, p in layout.parts.items() if len(p) > MERGE_AFTER]
         if crowded:
-            self._put(table, layout, stage(self.store._stamped(table, layout, crowded), "merged"), crowded)
+            self._put(table, layout, self.store._stamped(table, layout, crowded), crowded)
         return self.store._open(table, [folder]).select(*self.store.tables[table].schema.names)
 
     def _grow(self, table: str, layout: Layout, wanted: int) -> None:
-        """Split buckets, in turn, until there are ``wanted``; at most doubled per step so that a parent is split once."""
+        """Split buckets, in turn, until there are ``wanted``; at most doubled per step so that a parent is split once.
+
+        A task that reads a file of a parent writes its two halves: nothing is shuffled, unless deltas have to be merged.
+        """
         while layout.buckets < wanted:
             target = min(wanted, 2 * layout.buckets)
             split = sorted({parent_of(b) for b in range(layout.buckets, target)} & set(layout.parts))
-            moved = stage(self.store._stamped(table, layout, split), "split") if split else None
+            moved = self.store._stamped(table, layout, split) if split else None
+            merging = self.store.tables[table].replace and any(len(layout.parts[b]) > 1 for b in split)
             layout.buckets = target
             if moved is not None:
-                self._put(table, layout, moved, split)
+                self._put(table, layout, moved, split, dealt=merging)
+
+    def _put(self, table: str, layout: Layout, rows: DataFrame, instead_of: Iterable[int] = (), dealt: bool = True) -> str:
+        """Write rows into a folder of their own and list it under its buckets, those of ``instead_of`` losing what they had.
 
-    def _put(self, table: str, layout: Layout, rows: DataFrame, instead_of: Iterable[int] = ()) -> str:
-        """Write rows into a folder of their own and list it under its buckets, those of ``instead_of`` losing what they had."""
+        Rows are dealt out by bucket first; without ``dealt`` each task writes the buckets it has.
+        """
         spec, self._step = self.store.tables[table], self._step + 1
         folder = f"{table}-{uuid.uuid4().hex}"
         self.written.append(folder)
@@ -288,7 +299,8 @@ class Change:
             rows = rows.withColumn(_SEQ, F.lit((self.seq + 1) * 1000 + self._step))
         names = [*spec.schema.names, _SEQ, _GONE]
         path = os.path.join(self.store.path, "data", folder)
-        rows.select(*names, bucket_of(spec.key, layout.buckets).alias(_BUCKET)).hint("rebalance", F.col(_BUCKET)).write.partitionBy(_BUCKET).parquet(path)
+        rows = rows.select(*names, bucket_of(spec.key, layout.buckets).alias(_BUCKET))
+        (rows.hint("rebalance", F.col(_BUCKET)) if dealt else rows).write.partitionBy(_BUCKET).parquet(path)
         for bucket in instead_of:
             layout.parts.pop(bucket, None)
         fs, p = self.store._fs(path)

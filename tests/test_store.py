@@ -108,3 +108,25 @@ def test_empty_changes(spark, store):
     with store.change() as change:
         change.upsert("keyed", rows(spark, (None, "n"), (None, "n"), (1, None)))
     assert sorted(map(str, (tuple(r) for r in store.read("keyed").collect()))) == ["(1, None)", "(None, 'n')"]
+
+
+def test_splits_shuffle_nothing_and_exact_rows_shuffle_their_keys_only(spark, tmp_path, monkeypatch):
+    """Buckets are split by the tasks that read them, without a copy; of a change's rows only those asked for reach the window."""
+    from lodeseek.sources import store as S
+
+    spec = Spec(T.StructType([T.StructField("k", T.LongType()), T.StructField("v", T.StringType())]), ("k",))
+    store, labels, dealt = Store(spark, str(tmp_path / "s"), {"t": spec}, bucket_bytes=4_000), [], []
+    monkeypatch.setattr(S, "stage", lambda df, label="stage", f=S.stage: labels.append(label) or f(df, label))
+    monkeypatch.setattr(S.Change, "_put", lambda self, *a, f=S.Change._put, **b: dealt.append(b.get("dealt", True)) or f(self, *a, **b))
+    rows = spark.range(600).select(F.col("id").alias("k"), F.sha2(F.col("id").cast("string"), 256).alias("v"))
+    for part in (rows.where("k < 300"), rows.where("k >= 300")):
+        with store.change() as change:
+            change.upsert("t", part, unique=True)
+    assert False in dealt and "split" not in labels
+    with store.change() as change:
+        change.upsert("t", spark.createDataFrame([(5, "new")], "k long, v string"))
+        keys = spark.createDataFrame([(5,), (7,), (10_000,)], "k long")
+        found = {r["k"]: r["v"] for r in change.rows("t", keys, exact=True).collect()}
+        assert set(found) == {5, 7} and found[5] == "new"
+        change.delete("t", keys)
+    assert store.read("t").count() == 598 and store.read("t").where("k in (5, 7)").isEmpty()
