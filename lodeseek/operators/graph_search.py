@@ -9,11 +9,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodeseek.config import DEFAULTS, Tunables
 from lodeseek.functions.text import col_of, py_strip
 from lodeseek.functions.vectors import graph_score
-from lodeseek.operators.bounded import bounded
+from lodeseek.operators.bounded import BROADCAST_ROWS, bounded
 from lodeseek.operators.graph_build import PropertyGraph
 from lodeseek.operators.ordered import top_k
 from lodeseek.operators.vector import vector_topk
-from lodeseek.runtime import stage
+from lodeseek.runtime import plan_bytes, stage
 
 # Query signals per mode. Hybrid ones are looked for in the stripped,
 # lower-cased query, the others in the query as written.
@@ -30,6 +30,8 @@ LOCAL_SIGNALS = (
     "뭐예요", "뭐야", "무엇", "정의", "뜻", "개념이", "이 뭔", "란?", "이란", "가 뭐",
 )
 MODES = ("local", "global", "hybrid")
+#: Estimated bytes of the edges of one part; as rows in memory they take several times that.
+EDGE_PART_BYTES = 512 << 10
 
 
 def _any_of(text: Column, signals) -> Column:
@@ -79,17 +81,26 @@ def rank_chunks(graph: PropertyGraph, queries: DataFrame, cfg: Tunables = DEFAUL
         "query_id", "rank", "chunk_id", "text", "source", "heading_path", graph_score("score").alias("score"))
 
 
-def expand_relations(graph: PropertyGraph, seeds: DataFrame, cfg: Tunables = DEFAULTS) -> DataFrame:
+def expand_relations(graph: PropertyGraph, seeds: DataFrame, cfg: Tunables = DEFAULTS, max_seeds: int = BROADCAST_ROWS) -> DataFrame:
     """(source, pos, rel_id, type, target, target_name): first outgoing edges per seed entity.
 
     ``seeds`` has an ``id`` column. Edges are cut to the seeds first and to
     ``rels_per_entity`` per seed by a group limit, so a hub never gathers its edges.
+    With many seeds the edges are dealt out by target, in parts as many as their size asks for,
+    and only what the limit leaves meets the seeds.
     """
-    sources = bounded(seeds.select(F.col("id").alias("src")).distinct(), label="seeds")
-    edges = graph.entity_rels.select("src", "type", "dst", "rel_id").join(sources, "src").distinct()
+    sources = stage(seeds.select(F.col("id").alias("src")).distinct(), "seeds")
+    few = sources.count() <= max_seeds
+    edges = graph.entity_rels.select("src", "type", "dst", "rel_id")
+    if few:
+        edges = edges.join(F.broadcast(sources), "src").distinct()
+    else:
+        partitions = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        edges = edges.repartition(max(partitions, -(-plan_bytes(edges) // EDGE_PART_BYTES)), "dst").distinct()
     targets = graph.entities.select(F.col("id").alias("dst"), F.col("name").alias("target_name"))
     order = [F.col("rel_id").asc_nulls_last(), F.col("type"), F.col("dst")]
     kept = top_k(edges.join(targets, "dst"), ["src"], order, cfg.rels_per_entity, "pos")
+    kept = kept if few else kept.join(sources, "src", "left_semi")
     return kept.select(F.col("src").alias("source"), "pos", "rel_id", "type", F.col("dst").alias("target"), "target_name")
 
 

@@ -244,3 +244,24 @@ def test_reverse_samples_writes_no_other_table(spark, monkeypatch):
     registry.load_all()
     monkeypatch.setattr(G.PropertyGraph, "staged", refuse)
     assert registry.QUERIES["reverse_samples"](spark, "/root/testdata/sf0.001").count() == 3
+
+
+def test_many_seeds_expand_like_few(spark):
+    """With more seeds than travel, edges are dealt out in parts of bounded size, whatever the session's number is."""
+    from dataclasses import replace
+
+    from lodeseek.operators import graph_search as S
+    from lodeseek.operators.graph_build import empty_graph
+
+    empty = empty_graph(spark)
+    names = [(f"n{i}", f"name {i}") for i in range(30)]
+    entities = spark.createDataFrame(names, "id string, name string")
+    rows = [("n0", "USES", f"n{i}", f"r{i:02d}") for i in range(30)] + [("n1", "USES", "n2", None), ("n1", "USES", "n2", None)]
+    rows += [("n2", "USES", "gone", "r0"), ("n3", "PART_OF", "n1", "r1"), ("n4", "USES", "n1", "r2")]
+    rels = spark.createDataFrame(rows, "src string, type string, dst string, rel_id string")
+    graph = replace(empty, entities=entities, entity_rels=rels)
+    seeds = entities.where("id <> 'n4'")
+    few, many = (sorted(map(str, S.expand_relations(graph, seeds, max_seeds=n).collect())) for n in (100, 0))
+    assert few == many and len(few) == 8 + 1 + 1
+    plan = S.expand_relations(graph, seeds, max_seeds=0)._jdf.queryExecution().toString()
+    assert "RepartitionByExpression [dst" in plan
