@@ -19,7 +19,7 @@ LANG = r"^https?://[^/]+/([a-z]+)/"
 
 @query("web_extract")
 def web_extract(spark, d):
-    """Readable text of every page; the parser is checked by its own tests."""
+    """The whole readable text of every page; the parser is checked by its own tests."""
     return table(spark, d, "pages").select("page_id", extract_text("html").alias("text"))
 
 

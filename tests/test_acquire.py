@@ -98,3 +98,15 @@ def test_pages_reach_python_in_small_batches(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "BatchEvalPython" in plan and "ArrowEvalPython" not in plan
     assert [r["t"] for r in out.collect()] == ["a c", ""]
+
+
+def test_web_extract_returns_whole_texts(spark, tmp_path):
+    """Only the first 2,000 characters came out before."""
+    from lodeseek.plans import registry
+
+    registry.load_all()
+    words = [f"word{n}" for n in range(3000)]
+    page = "<body><nav>menu</nav><article>" + "".join(f"<p>{w}</p>" for w in words) + "</article></body>"
+    spark.createDataFrame([(1, page), (2, "<p>short</p>"), (3, None)], "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {r["page_id"]: r["text"] for r in registry.QUERIES["web_extract"](spark, str(tmp_path)).collect()}
+    assert got == {1: " ".join(words), 2: "short", 3: ""}
