@@ -265,3 +265,103 @@ def test_many_seeds_expand_like_few(spark):
     assert few == many and len(few) == 8 + 1 + 1
     plan = S.expand_relations(graph, seeds, max_seeds=0)._jdf.queryExecution().toString()
     assert "RepartitionByExpression [dst" in plan
+
+
+def plain_communities(pairs, awake, max_rounds=12, max_levels=10):
+    """The rounds of joins and sums in plain Python: {name: community}; ``awake(node, round)``."""
+    from lodeseek.operators.community import MIN_GAIN, SETTLED
+
+    names = sorted({x for pair in pairs for x in pair})
+    number = {x: n + 1 for n, x in enumerate(names)}
+    arcs = {}
+    for a, b in pairs:
+        for u, v in ((number[a], number[b]), (number[b], number[a])):
+            arcs[u, v] = arcs.get((u, v), 0.0) + 1.0
+    two_m, place, value = sum(arcs.values()), {x: number[x] for x in names}, None
+
+    def score(arcs, comm, k):
+        total = {}
+        for n, c in comm.items():
+            total[c] = total.get(c, 0.0) + k[n]
+        return sum(w for (u, v), w in arcs.items() if comm[u] == comm[v]) / two_m - sum(t * t for t in total.values()) / (two_m * two_m)
+
+    for level in range(max_levels):
+        k = {}
+        for (u, _), w in arcs.items():
+            k[u] = k.get(u, 0.0) + w
+        comm = {n: n for n in k}
+        before = score(arcs, comm, k) if value is None else value
+        for turn in range(max_rounds):
+            total, new = {}, dict(comm)
+            for n, c in comm.items():
+                total[c] = total.get(c, 0.0) + k[n]
+            for n in comm:
+                if awake(n, level * 1000 + turn):
+                    near = {comm[n]: 0.0}
+                    for (u, v), w in arcs.items():
+                        if u == n and v != n:
+                            near[comm[v]] = near.get(comm[v], 0.0) + w
+                    gain = {c: round(w - (total[c] - (k[n] if c == comm[n] else 0.0)) * k[n] / two_m, 9) for c, w in near.items()}
+                    new[n] = max(near, key=lambda c: (gain[c], c == comm[n], -c))
+            moved = sum(new[n] != comm[n] for n in comm)
+            comm = new
+            if moved <= len(comm) * SETTLED:
+                break
+        value = score(arcs, comm, k)
+        if value - before < MIN_GAIN:
+            break
+        place = {x: comm[n] for x, n in place.items()}
+        merged = {}
+        for (u, v), w in arcs.items():
+            merged[comm[u], comm[v]] = merged.get((comm[u], comm[v]), 0.0) + w
+        arcs = merged
+    groups = {}
+    for x, c in place.items():
+        groups.setdefault(c, []).append(x)
+    order = sorted(groups.values(), key=lambda g: (-len(g), min(g)))
+    return {x: f"comm_{n}" for n, g in enumerate(order) for x in g}
+
+
+@pytest.mark.parametrize("travels", ["whole", "by hash", "sorted"])
+def test_communities_are_those_of_the_plain_method(spark, monkeypatch, travels):
+    """Reading on only links of awake nodes, merging half of the arcs and joining the levels last changes no assignment."""
+    import random
+
+    from lodeseek.config import DEFAULTS
+    from lodeseek.operators import community as C
+
+    monkeypatch.setattr(C, "BROADCAST_ROWS", 200_000 if travels == "whole" else 0)
+    monkeypatch.setattr(C, "HASHED_ROWS", 0 if travels == "sorted" else 1_000_000)
+    rng = random.Random(5)
+    pairs = {(f"n{a:03d}", f"n{b:03d}") for a, b in ((rng.randrange(90), rng.randrange(90)) for _ in range(260)) if a < b and (a // 9 == b // 9 or rng.random() < 0.35)}
+    pairs |= {("hub", f"n{n:03d}") for n in range(0, 90, 4)} | {("x", "y"), ("lone", "loop")}
+    turns = spark.range(1, 120).crossJoin(spark.createDataFrame([(lev * 1000 + n,) for lev in range(10) for n in range(12)], "turn int"))
+    up = {(r["id"], r["turn"]) for r in turns.where(F.pmod(F.xxhash64("id", F.lit(DEFAULTS.community_seed), "turn"), F.lit(2)) == 0).collect()}
+    found = spark.createDataFrame(sorted(pairs), "a string, b string")
+    got = {r["entity_id"]: r["comm_id"] for r in detect_communities(found).collect()}
+    assert got == plain_communities(pairs, lambda n, turn: (n, turn) in up) and len(set(got.values())) > 3
+
+
+def test_a_round_deals_out_few_rows(spark, monkeypatch):
+    """Links are sent twice at most, and only those of the half of the nodes that may move; before, all were sent three times."""
+    from lodeseek.operators import community as C
+
+    plans = []
+
+    def staged(df, label="stage"):
+        out = stage(df, label)
+        if label == "member":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return out
+
+    monkeypatch.setattr(C, "stage", staged)
+    pairs = [(f"{c}{a}", f"{c}{b}") for c in range(6) for a in "abcde" for b in "abcde" if a < b] + [(f"{c}a", f"{(c + 1) % 6}b") for c in range(6)]
+    keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        monkeypatch.setattr(C, "BROADCAST_ROWS", 0, raising=False)
+        assert detect_communities(undirected_edges(edges(spark, pairs))).count() == 30
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
+    of_links = plans[1].count("Exchange hashpartitioning(v#") + plans[1].count("Exchange hashpartitioning(node#")
+    assert "xxhash64(u#" in plans[1] and of_links <= 3 and plans[1].count("SortMergeJoin") <= 1
