@@ -18,7 +18,8 @@ from lodeseek.operators.graph_build import (
     EMPTY, OK, PropertyGraph, allowed_only, embed_missing, empty_graph, existing_chunk_ids, extract_with_retry,
     extracted_graph, graph_stats, integrity, merge_graphs, normalize, retry_targets, stamp_relation_ids, term_graph,
 )
-from lodeseek.runtime import ship_package, stage
+from lodeseek.operators.bounded import staged_hint
+from lodeseek.runtime import free_shuffles, plan_bytes, ship_package, stage, unstage
 from lodeseek.sources.store import Change, Spec, Store
 from lodeseek.sources.files import default_graph_schema, failed_chunks, graph_schema, markdown_docs, write_json_report
 
@@ -58,19 +59,77 @@ def load_saved(spark: SparkSession, store: str) -> PropertyGraph:
     return PropertyGraph(*(tables.read(name) for name in TABLES))
 
 
-def load_chunks(change: Change, chunks: DataFrame, normalized: DataFrame) -> None:
+def load_chunks(change: Change, chunks: DataFrame, normalized: DataFrame, spent: bool = False) -> None:
     """Merge one extraction run into the stored graph.
 
-    Only rows of the keys that the run touches are looked up, in their buckets, and written; the rest of the graph isn't read.
+    Only rows of the keys that the run touches are looked up, in their buckets; the rest of the graph isn't read. Rows that are
+    stored already as they are aren't written again, texts are read and sent only where they are new or changed, and what was
+    written on the way is removed. ``chunks`` is read several times; with ``spent``, ``normalized`` is a staged frame that is removed
+    once its rows are merged.
     """
-    fresh = extracted_graph(chunks, normalized).staged()
-    touched = {name: getattr(fresh, name).select(*KEYS[name]) for name in ("entities", "documents", "mentions", "entity_rels")}
-    old = PropertyGraph(**{name: change.rows(name, keys).join(keys, list(KEYS[name]), "left_semi") if (keys := touched.get(name)) is not None
-                           else getattr(fresh, name) for name in TABLES})
-    merged = merge_graphs(old, fresh)
+    narrow = ("entity_rels", "mentions", "entities")
+    fresh = extracted_graph(chunks, normalized)
+    fresh = replace(fresh, **{name: _written(getattr(fresh, name), name) for name in narrow})
+    if spent:
+        unstage(normalized)
+    stored = {name: _written(change.rows(name, keys).join(keys, list(KEYS[name]), "left_semi"), f"stored-{name}")
+              for name in narrow for keys in (getattr(fresh, name).select(*KEYS[name]),)}
+    documents, old_documents, unique, size, staged = _changed_documents(change, fresh.documents)
+    merged = merge_graphs(replace(fresh, **stored, documents=old_documents), replace(fresh, documents=documents))
     merged = replace(merged, entity_rels=stamp_relation_ids(merged.entity_rels).drop("stamped"))
-    for name in touched:
-        change.upsert(name, getattr(merged, name))
+    for name in narrow:
+        changed = _written(_changed(getattr(merged, name), stored[name], KEYS[name]), f"changed-{name}")
+        unstage(getattr(fresh, name), stored[name])
+        change.upsert(name, changed, unique=True, size=plan_bytes(changed))  # by the merge each key is there once
+        unstage(changed)
+        free_shuffles(chunks.sparkSession)
+    change.upsert("documents", merged.documents, unique=unique, size=size)
+    unstage(*staged)
+    free_shuffles(chunks.sparkSession)
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    """``df`` staged, and what was shuffled for it removed."""
+    staged = stage(df, label)
+    free_shuffles(df.sparkSession)
+    return staged
+
+
+def _changed(rows: DataFrame, stored: DataFrame, key: tuple[str, ...]) -> DataFrame:
+    """The rows that aren't stored as they are."""
+    rest = [c for c in rows.columns if c not in key]
+    was = stored.select(*key, F.struct(*key, *rest).alias("_was"))
+    same = F.col("_was").isNotNull()
+    for c in rest:
+        same = same & F.col(c).eqNullSafe(F.col(f"_was.{c}"))
+    return rows.join(was, list(key), "left").where(~same).select(*rows.columns)
+
+
+def _changed_documents(change: Change, fresh: DataFrame) -> tuple[DataFrame, DataFrame, bool, int, list[DataFrame]]:
+    """New or changed documents, the stored ones of their ids, whether no id repeats, about their bytes, and what is staged for them.
+
+    Found by ids and digests, so no text is sent for documents that are stored as they are or weren't stored at all.
+    """
+    said = F.sha2(F.to_json(F.struct("chunk_id", "text", "source", "heading_path")), 256).alias("said")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("bytes")
+    told = _written(fresh.select("id", said, size), "told")
+    ids = told.select("id")
+    same, few_same = staged_hint(
+        told.join(change.rows("documents", ids, shown=["id", said]), ["id", "said"], "left_semi").select("id", "said").distinct(), label="same")
+    changed = told.join(few_same(same), ["id", "said"], "left_anti")
+    count, total, most = changed.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes")).agg(
+        F.sum("n"), F.sum("bytes"), F.max("n")).first()
+    replaced, few = staged_hint(
+        changed.select("id").join(change.rows("documents", ids, shown=["id"]), "id", "left_semi").distinct(), label="replaced")
+    stored = change.rows("documents", ids)
+    unstage(told)
+    free_shuffles(fresh.sparkSession)
+    old = stored.limit(0) if replaced.isEmpty() else stored.join(few(replaced), "id", "left_semi")
+    if not count:
+        fresh = fresh.limit(0)
+    elif not same.isEmpty():
+        fresh = fresh.withColumn("said", said).join(few_same(same), ["id", "said"], "left_anti").drop("said")
+    return fresh, old, most == 1, (total or 0) // 2, [same, replaced]  # texts are written at about half their bytes
 
 
 def embed_stored(change: Change, embedder: Embedder | None = None) -> None:

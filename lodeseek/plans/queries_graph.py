@@ -24,7 +24,7 @@ from lodeseek.plans.graph_index import graph_store, load_chunks, load_saved
 from lodeseek.plans.queries_index import LINES_SQL, document_lines, slug_sql
 from lodeseek.plans.queries_rank import VECTOR_QUESTIONS_SQL, label_vectors, six
 from lodeseek.plans.registry import query, table
-from lodeseek.runtime import shared_dir, stage
+from lodeseek.runtime import free_shuffles, shared_dir, small_files, stage, unstage
 
 # ---- a text graph: long words of every document line --------------------------
 
@@ -437,18 +437,20 @@ UNION ALL SELECT 'document', 'chunk_' || seq, source, lang FROM chunks
 """)
 def graph_load(spark, d):
     """The stored graph after three loads: the earlier chunks, the later ones, and the earlier ones once more but without nodes."""
-    chunks = stage(line_chunks(spark, d), "chunks")
-    found = stage(normalize(term_graph(chunks)), "found")
-    half = chunks.count() // 2
     path = os.path.join(shared_dir(spark), "stages", f"graph-{uuid.uuid4().hex}")
     store = graph_store(spark, path)
-    parts = {side: (chunks.where(where), found.where(where))
-             for side, where in (("early", F.col("seq") < half), ("late", F.col("seq") >= half))}
-    for side in ("early", "late"):
+    with small_files(spark):
+        chunks = stage(line_chunks(spark, d), "chunks")
+        half = chunks.count() // 2
+        parts = {side: chunks.where(where) for side, where in (("early", F.col("seq") < half), ("late", F.col("seq") >= half))}
+        for part in parts.values():
+            found = stage(normalize(term_graph(part)).select("chunk_id", "seq", "nodes", "rels"), "found")
+            free_shuffles(spark)
+            with store.change() as change:
+                load_chunks(change, part, found, spent=True)
         with store.change() as change:
-            load_chunks(change, *parts[side])
-    with store.change() as change:
-        load_chunks(change, parts["early"][0], found.limit(0))
+            load_chunks(change, parts["early"], spark.createDataFrame([], found.schema))
+        unstage(chunks)
     graph = load_saved(spark, path)
     rows = [
         graph.entities.select(F.lit("entity").alias("kind"), F.col("id").alias("a"), F.col("name").alias("b"), F.lit("").alias("c")),

@@ -149,11 +149,13 @@ class Store:
             return self.spark.createDataFrame([], self._stored(table))
         return self.spark.read.schema(self._stored(table)).parquet(*[os.path.join(self.path, "data", f) for f in folders])
 
-    def _stamped(self, table: str, layout: Layout, buckets: Iterable[int] | None, only: DataFrame | None = None) -> DataFrame:
-        """Valid rows with their stamps, of the keys ``only`` if given. Only buckets with deltas are shuffled by key."""
+    def _stamped(self, table: str, layout: Layout, buckets: Iterable[int] | None, only: DataFrame | None = None,
+                 shown: list | None = None) -> DataFrame:
+        """Valid rows with their stamps, of the keys ``only`` if given. Only buckets with deltas are shuffled by key, with what is ``shown``."""
         spec = self.tables[table]
         merged, mixed = layout.folders(buckets)
-        opened = self._open if only is None else lambda *a: self._open(*a).join(only, list(spec.key), "left_semi")
+        cut = self._open if shown is None else lambda *a: self._open(*a).select(*shown, _SEQ, _GONE)
+        opened = cut if only is None else lambda *a: cut(*a).join(only, list(spec.key), "left_semi")
         if not spec.replace:
             return opened(table, merged + mixed)
         out = opened(table, merged).where(~F.col(_GONE))
@@ -163,8 +165,10 @@ class Store:
             out = out.unionByName(latest.drop("_nth"))
         return out
 
-    def _rows(self, table: str, layout: Layout, buckets: Iterable[int] | None = None, only: DataFrame | None = None) -> DataFrame:
-        return self._stamped(table, layout, buckets, only).select(*self.tables[table].schema.names)
+    def _rows(self, table: str, layout: Layout, buckets: Iterable[int] | None = None, only: DataFrame | None = None,
+              shown: list | None = None) -> DataFrame:
+        rows = self._stamped(table, layout, buckets, only, shown)
+        return rows.select(*self.tables[table].schema.names) if shown is None else rows.drop(_SEQ, _GONE)
 
     # -- changing -------------------------------------------------------------
 
@@ -209,16 +213,17 @@ class Change:
         self.store, self.layouts, self.notes, self.seq, self.written = store, layouts, dict(notes), seq or 0, []
         self._step = 0
 
-    def rows(self, table: str, keys: DataFrame | None = None, exact: bool = False) -> DataFrame:
+    def rows(self, table: str, keys: DataFrame | None = None, exact: bool = False, shown: list | None = None) -> DataFrame:
         """Rows as this change sees them, of the buckets of ``keys`` if given; ``exact`` leaves only the rows of these keys.
 
-        Others are left out before the newest row of a key is looked for, so only rows of ``keys`` are shuffled for that.
+        Others are left out before the newest row of a key is looked for, so only rows of ``keys`` are shuffled for that. ``shown``
+        are the columns to return, the key among them, made of a row before it is shuffled.
         """
         layout = self.layouts[table]
         if keys is None:
-            return self.store._rows(table, layout)
+            return self.store._rows(table, layout, shown=shown)
         wanted = [r[0] for r in keys.select(bucket_of(self.store.tables[table].key, layout.buckets)).distinct().collect()]
-        return self.store._rows(table, layout, wanted, keys if exact else None)
+        return self.store._rows(table, layout, wanted, keys if exact else None, shown)
 
     def upsert(self, table: str, rows: DataFrame, unique: bool = False, size: int | None = None) -> DataFrame:
         """Add rows, replacing those of the same key. Of several rows with one key in ``rows`` one is taken, the same on every read.

@@ -365,3 +365,43 @@ def test_a_round_deals_out_few_rows(spark, monkeypatch):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)
     of_links = plans[1].count("Exchange hashpartitioning(v#") + plans[1].count("Exchange hashpartitioning(node#")
     assert "xxhash64(u#" in plans[1] and of_links <= 3 and plans[1].count("SortMergeJoin") <= 1
+
+
+def test_a_load_leaves_no_copies(spark, tmp_path):
+    """Rows that are stored as they are aren't written again, and nothing stays of what a load writes on the way; both did before."""
+    import os
+
+    from lodeseek.plans.graph_index import graph_store, load_chunks, load_saved
+    from lodeseek.runtime import shared_dir
+
+    def staged():
+        top = os.path.join(shared_dir(spark).removeprefix("file:"), "stages")
+        return {x for x in os.listdir(top) if not x.startswith("change-")} if os.path.isdir(top) else set()
+
+    def load(some, found):
+        with store.change() as change:
+            load_chunks(change, some, found)
+        return {name: sum(map(len, layout.parts.values())) for name, layout in store.state()[0].items()}
+
+    def rows():
+        graph = load_saved(spark, str(tmp_path))
+        return [sorted(map(str, getattr(graph, n).collect())) for n in ("entities", "documents", "mentions", "entity_rels")]
+
+    docs = G.normalize(spark.createDataFrame([
+        doc("chunk_0", [("A", "old"), ("B", None)], [("A", "USES", "B")]),
+        doc("chunk_2", [("a", "new"), ("C", None)], [("a", "USES", "C"), ("a", "USES", "C")])], DOC))
+    store, some, before = graph_store(spark, str(tmp_path)), chunks(spark, 3), staged()
+    first = load(some, docs)
+    assert first["documents"] == first["entities"] == 1 and staged() == before
+    was = rows()
+    assert load(some, docs) == first and rows() == was and [len(t) for t in was] == [3, 3, 4, 2]
+    # one document changed, one is new; copies of an id are one document, and one without an id is kept
+    more = spark.createDataFrame([(1, "chunk_1", "other", "s", "h"), (2, "chunk_2", "text 2", "s", "h"), (3, "chunk_3", None, "s", "h"),
+                                  (3, "chunk_3", None, "s", "h"), (None, None, "lost", "s", None)], some.schema)
+    third = load(more, G.normalize(spark.createDataFrame([doc("chunk_3", [("A", "newer"), ("B", None)])], DOC)))
+    assert third["documents"] == 2 and third["entity_rels"] == first["entity_rels"] and staged() == before
+    graph = load_saved(spark, str(tmp_path))
+    assert {(r["id"], r["text"]) for r in graph.documents.collect()} == {
+        ("chunk_0", "text 0"), ("chunk_1", "other"), ("chunk_2", "text 2"), ("chunk_3", None), (None, "lost")}
+    assert {r["id"]: r["description"] for r in graph.entities.collect()} == {"ent_a": "newer", "ent_b": None, "ent_c": None}
+    assert graph.documents.count() == 5 and graph.mentions.count() == 6 and graph.entity_rels.count() == 2
